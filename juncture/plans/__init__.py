@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["barcodes"]
+MODULES = ["barcodes", "expressions"]
 
 
 def load_all():
