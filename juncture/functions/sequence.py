@@ -38,13 +38,25 @@ def rna_to_dna(seq: Column | str) -> Column:
     return F.translate(as_col(seq), "Uu", "Tt")
 
 
+def with_chars(seq: Column | str, body) -> Column:
+    """``body(chars)`` over the characters of a text, split once.
+
+    ``substr`` walks a UTF-8 text from its start, so per-position work on a long sequence goes
+    through an array.  The array is bound as a lambda variable; spelled out inside another lambda
+    it would be split again for every element.
+    """
+    return F.get(F.transform(F.array(F.split(as_col(seq), "")), body), F.lit(0))
+
+
 def kmers(seq: Column | str, k: int) -> Column:
     """Every substring of length ``k``; empty when the text is shorter."""
+
+    def cut(chars: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(chars) - (k - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(chars, i, F.lit(k)), ""))
+
     s = as_col(seq)
-    n = F.length(s)
-    return F.when(n < k, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substr(s, i, F.lit(k)))
-    )
+    return F.when(F.length(s) < k, F.array().cast("array<string>")).otherwise(with_chars(s, cut))
 
 
 def window_kmers(window: Column | str, k: int) -> Column:
@@ -69,10 +81,15 @@ def motif_positions(seq: Column | str, motif: str, offset: int) -> Column:
     A positive offset marks the base that many places after the motif start (first exonic base
     of an acceptor); a negative one the base before it (last exonic base of a donor).
     """
-    s = F.upper(as_col(seq))
-    hits = F.transform(
-        F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.when(F.substr(s, i, F.lit(2)) == motif.upper(), 1).otherwise(0)
-    )
+    first, second = motif.upper()
+
+    def track(chars: Column) -> Column:
+        return F.transform(
+            F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))),
+            lambda c, i: F.when((c == first) & (F.get(chars, i + 1) == second), 1).otherwise(0),
+        )
+
+    hits = with_chars(F.upper(as_col(seq)), track)
     pad = F.array_repeat(F.lit(0), abs(offset))
     if offset > 0:
         return F.concat(pad, F.slice(hits, F.lit(1), F.greatest(F.size(hits) - (offset - 1), F.lit(0))))
@@ -83,5 +100,10 @@ def translate_sequence(seq: Column | str, stop: str = "_") -> Column:
     """Protein of the codons that end before the last base."""
     s = as_col(seq)
     n = F.floor((F.length(s) - 1) / 3).cast("int")
-    codons = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substr(s, i * 3 + 1, F.lit(3)))
-    return F.when(n < 1, F.lit("")).otherwise(F.array_join(F.transform(codons, lambda c: amino_acid(c, stop)), ""))
+
+    def protein(chars: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: amino_acid(F.array_join(F.slice(chars, i * 3 + 1, F.lit(3)), ""), stop)
+        )
+
+    return F.when(n < 1, F.lit("")).otherwise(F.array_join(with_chars(s, protein), ""))

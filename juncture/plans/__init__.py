@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["barcodes", "expressions"]
+MODULES = ["barcodes", "expressions", "sources"]
 
 
 def load_all():

@@ -152,6 +152,42 @@ select concat('BC', lpad(cast(l_orderkey as varchar(20)), 9, '0')) as barcode,
 from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, 1 as mate from lineitem
       union all select l_orderkey, l_linenumber, l_partkey, l_suppkey, 2 as mate from lineitem) m"""
 
+# packed annotation text of each variant, one column per format
+VIEWS["fx_vcf"] = """
+select chrom, pos, ref, alt,
+       concat(alt, '|G', cast(pos % 5 as varchar(20)), '|0.', lpad(cast(pos * 13 % 100 as varchar(20)), 2, '0'), '|0.', lpad(cast(pos * 29 % 100 as varchar(20)), 2, '0'),
+              '|0.', lpad(cast((pos + ascii(alt)) * 17 % 100 as varchar(20)), 2, '0'), '|0.', lpad(cast(pos * 7 % 50 as varchar(20)), 2, '0'),
+              '|', cast(pos % 40 - 20 as varchar(20)), '|', cast(pos % 30 as varchar(20)), '|', cast(pos % 11 - 5 as varchar(20)), '|', cast(pos % 23 as varchar(20))) as site_info,
+       concat('lcr;AC=', cast(pos % 9 as varchar(20)), ';AN=', cast(20000 + pos % 7 as varchar(20)), ';nhomalt=', cast(pos % 2 as varchar(20)), ';VT=snv') as freq_info,
+       concat(alt, ',N') as alts,
+       concat(alt, ':type', cast(pos % 4 as varchar(20)), ':0.', lpad(cast(pos * 11 % 100 as varchar(20)), 2, '0'), ':', case when pos % 3 = 0 then '.' else '0.25' end,
+              ':', case when pos % 5 = 0 then 'COMMON' else '0.5' end, ':0.1:.:0.', cast(pos % 9 as varchar(20)),
+              ',N:typeN:.:.:.:.:.:.') as class_info,
+       case when pos % 10 <> 0 then concat('ENS1|', cast(pos % 50 - 25 as varchar(20)), ':0.', lpad(cast(pos * 3 % 100 as varchar(20)), 2, '0'), '|',
+              cast(pos % 35 - 10 as varchar(20)), ':-0.', lpad(cast(pos * 19 % 100 as varchar(20)), 2, '0'), '|Warnings') end as shift_info,
+       concat('Con=g|x|0.', lpad(cast(pos % 100 as varchar(20)), 2, '0'), ';ConML=g|0.', lpad(cast(pos * 3 % 100 as varchar(20)), 2, '0')) as constraint_info
+from fx_scores"""
+
+# gene models: one gene row, two transcripts (all exons; odd exons only), their exons and coding parts
+VIEWS["fx_gtf"] = """
+select 'chr11' as chrom, 'sim' as source, 'gene' as feature, min(start_pos) as start_pos, max(end_pos) as end_pos, '.' as score, strand, '.' as frame,
+       concat('gene_id "', gene, '"; gene_type "coding";') as attribute
+from fx_exons group by gene, strand
+union all
+select 'chr11', 'sim', 'transcript', min(start_pos), max(end_pos), '.', strand, '.', concat('gene_id "', gene, '"; transcript_id "', gene, 'T1.2"; gene_type "coding";')
+from fx_exons group by gene, strand
+union all
+select 'chr11', 'sim', 'transcript', min(start_pos), max(end_pos), '.', strand, '.', concat('gene_id "', gene, '"; transcript_id "', gene, 'T2.1"; gene_type "coding";')
+from fx_exons where exon_num % 2 = 1 group by gene, strand
+union all
+select 'chr11', 'sim', 'exon', start_pos, end_pos, '.', strand, '.', concat('gene_id "', gene, '"; transcript_id "', gene, 'T1.2"; gene_type "coding";') from fx_exons
+union all
+select 'chr11', 'sim', 'exon', start_pos, end_pos, '.', strand, '.', concat('gene_id "', gene, '"; transcript_id "', gene, 'T2.1"; gene_type "coding";') from fx_exons where exon_num % 2 = 1
+union all
+select 'chr11', 'sim', 'CDS', start_pos, end_pos, '.', strand, '0', concat('gene_id "', gene, '"; transcript_id "', gene, 'T1.2"; gene_type "coding";') from fx_exons
+union all
+select 'chr11', 'sim', 'CDS', start_pos, end_pos, '.', strand, '0', concat('gene_id "', gene, '"; transcript_id "', gene, 'T2.1"; gene_type "coding";') from fx_exons where exon_num % 2 = 1"""
+
 _NAME = re.compile(r"\bfx_[a-z0-9_]+\b")
 
 
