@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["barcodes", "expressions", "sources"]
+MODULES = ["barcodes", "expressions", "sources", "reads"]
 
 
 def load_all():

@@ -36,7 +36,8 @@ from orders o join fx_base b on b.pos = 1227 + o.o_custkey"""
 VIEWS["fx_reads"] = """
 select concat('BC', lpad(cast(l_orderkey as varchar(20)), 9, '0')) as barcode,
        concat('S', cast(l_suppkey % 4 as varchar(20))) as sample,
-       concat(cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20))) as qname,
+       concat(cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20)), '-', cast(l_partkey as varchar(20)), '-',
+              cast(l_suppkey as varchar(20)), '-', cast(cast(l_quantity as int) as varchar(20))) as qname,
        case when l_partkey % 29 = 0 then 'unmapped' when l_partkey % 31 = 0 then 'bad_ends'
             when l_partkey % 37 = 0 then 'bad_starts' when l_partkey % 41 = 0 then 'soft_clipped' end as status,
        case when l_partkey % 29 = 0 or l_partkey % 31 = 0 or l_partkey % 37 = 0 or l_partkey % 41 = 0 then null
@@ -126,12 +127,13 @@ from fx_long"""
 VIEWS["fx_mates"] = """
 select concat('BC', lpad(cast(l_orderkey as varchar(20)), 9, '0')) as barcode,
        concat('S', cast(l_suppkey % 4 as varchar(20))) as sample,
-       concat(cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20))) as qname,
+       concat(cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20)), '-', cast(l_partkey as varchar(20)), '-',
+              cast(l_suppkey as varchar(20)), '-', cast(cast(l_quantity as int) as varchar(20))) as qname,
        m.mate,
        cast(case when l_partkey % 47 = 0 then 0 else 1 end
             + case when l_partkey % 29 = 0 then 4 else 0 end
             + case when l_partkey % 53 = 0 then 8 else 0 end
-            + case when m.mate = 1 then 64 else 128 end
+            + case when m.mate = 1 then 64 else 128 + 16 end
             + case when l_partkey % 43 = 0 then 256 else 0 end as int) as flag,
        cast(case when m.mate = 1 then (case when l_partkey % 31 = 0 then 700 else 627 end)
                  when l_partkey % 3 = 0 then 3429 else 1300 + l_partkey % 5 end as int) as pos,
@@ -142,15 +144,16 @@ select concat('BC', lpad(cast(l_orderkey as varchar(20)), 9, '0')) as barcode,
                    when l_partkey % 3 = 0 then '70M2781N50M'
                    when l_partkey % 11 = 0 then '70M539N20M4D60M1I9M'
                    when l_partkey % 13 = 0 then '70M570N30M30D33M'
-                   when l_partkey % 17 = 0 then '65M575N93M'
+                   when l_partkey % 17 = 0 then concat(cast(69 - l_partkey % 3 as varchar(20)), 'M', cast(571 + l_partkey % 3 + l_partkey % 7 as varchar(20)), 'N90M')
                    else '70M570N2M1D87M3S' end
             else case when l_partkey % 3 = 0 then '48M1N52M'
                    when l_partkey % 37 = 0 then '55M'
-                   when l_partkey % 2 = 0 then concat(cast(60 - l_partkey % 5 as varchar(20)), 'M2118N50M')
+                   when l_partkey % 2 = 0 then concat(cast(60 - l_partkey % 5 as varchar(20)), 'M', cast(2119 + l_partkey % 3 as varchar(20)), 'N50M')
                    else concat(cast(51 - l_partkey % 5 as varchar(20)), 'M2127N40M2D8M') end end as cigar,
+       substr('ACGTTGCA', cast(1 + l_partkey % 4 as int), cast(3 + l_partkey % 2 as int)) as seq,
        case when l_partkey % 19 = 0 then 2 when l_partkey % 23 = 0 then 1 end as hi
-from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, 1 as mate from lineitem
-      union all select l_orderkey, l_linenumber, l_partkey, l_suppkey, 2 as mate from lineitem) m"""
+from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, 1 as mate from lineitem
+      union all select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, 2 as mate from lineitem) m"""
 
 # packed annotation text of each variant, one column per format
 VIEWS["fx_vcf"] = """

@@ -24,11 +24,11 @@ def _(t):
 
 
 @query("read_alignments", "qname:s flag:i pos:i cigar:s seq:s barcode:s hi:i is_paired:b is_unmapped:b mate_unmapped:b is_read2:b is_secondary:b",
-       """select qname, flag, pos, cigar, concat('ACGT', qname) as seq, barcode, hi, flag % 2 = 1 as is_paired, (flag // 4) % 2 = 1 as is_unmapped,
+       """select qname, flag, pos, cigar, seq, barcode, hi, flag % 2 = 1 as is_paired, (flag // 4) % 2 = 1 as is_unmapped,
        (flag // 8) % 2 = 1 as mate_unmapped, (flag // 128) % 2 = 1 as is_read2, (flag // 256) % 2 = 1 as is_secondary from fx_mates""")
 def _(t):
     m = t("fx_mates")
-    fields = ["qname", "flag", F.lit("vec"), "pos", F.lit("60"), "cigar", F.lit("="), F.lit("0"), F.lit("0"), F.concat(F.lit("ACGT"), "qname"), F.lit("*")]
+    fields = ["qname", "flag", F.lit("vec"), "pos", F.lit("60"), "cigar", F.lit("="), F.lit("0"), F.lit("0"), "seq", F.lit("*")]
     tag = F.when(F.col("mate") == 1, F.concat(F.lit("RX:Z:"), "barcode")).otherwise(F.concat(F.lit("BC:Z:"), "barcode"))
     line = F.concat_ws("\t", *fields, F.lit("NM:i:0"), tag, F.when(F.col("hi").isNotNull(), F.concat(F.lit("HI:i:"), F.col("hi").cast("string"))))
     head = t.spark.createDataFrame([("@HD\tVN:1.6",), ("@SQ\tSN:vec\tLN:9000",)], "line string")
