@@ -68,7 +68,7 @@ def _usage_aggregates(isos: list[str], passes: Column) -> list[Column]:
     return out
 
 
-def _summary(df: DataFrame, keys: list[str], min_usable: int, sums: dict[str, str], isos: list[str], extra=()) -> DataFrame:
+def _summary(df: DataFrame, keys: list[str], min_usable: int | Column, sums: dict[str, str], isos: list[str], extra=()) -> DataFrame:
     passes = F.col("usable_reads") > min_usable
     zero = F.lit(0).cast("long")
     aggs = [
@@ -117,7 +117,7 @@ def _single_variant_rows(sa: DataFrame, rna: DataFrame, group: list[str]) -> Dat
     return rna.join(one, "barcode")
 
 
-def variant_summary(sa: DataFrame, rna: DataFrame, min_usable: int, isos: list[str], group: list[str] | None = None) -> DataFrame:
+def variant_summary(sa: DataFrame, rna: DataFrame, min_usable: int | Column, isos: list[str], group: list[str] | None = None) -> DataFrame:
     """Isoform usage per variant over barcodes that carry exactly that variant.
 
     ``group`` adds keys such as the sample, so all samples run in one plan.
@@ -130,7 +130,7 @@ def variant_summary(sa: DataFrame, rna: DataFrame, min_usable: int, isos: list[s
 
 
 def variant_summary_pe(
-    sa: DataFrame, rna: DataFrame, min_usable: int, cols: list[str], isos: list[str], group: list[str] | None = None
+    sa: DataFrame, rna: DataFrame, min_usable: int | Column, cols: list[str], isos: list[str], group: list[str] | None = None
 ) -> DataFrame:
     """As :func:`variant_summary`, with the summed columns chosen by the caller."""
     group = group or []
@@ -150,7 +150,7 @@ def subassembly_barcode_count(tbv: DataFrame, sa: DataFrame) -> DataFrame:
     return tbv.join(counts, "varlist")
 
 
-def wildtype_summary(rna: DataFrame, min_usable: int, isos: list[str], chrom: str, group: list[str] | None = None) -> DataFrame:
+def wildtype_summary(rna: DataFrame, min_usable: int | Column, isos: list[str], chrom: str, group: list[str] | None = None) -> DataFrame:
     """One wild-type row with spread.
 
     The weighted spread expands to sums, so one pass is enough:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["barcodes", "expressions", "sources", "reads"]
+MODULES = ["barcodes", "expressions", "sources", "reads", "isoforms", "statistics", "evaluation"]
 
 
 def load_all():

@@ -123,6 +123,13 @@ select varlist, split_part(varlist, ':', 1) as chrom, cast(split_part(varlist, '
        sample, n_bc_passfilt, sum_reads, wmean_skip, wmean_full
 from fx_long"""
 
+# barcodes far from the exon, as a null distribution
+VIEWS["fx_null"] = """
+select c.sample, c.barcode, c.usable_reads, c.iso_skip / (c.usable_reads * 1e0) as skip_psi, c.iso_full / (c.usable_reads * 1e0) as full_psi
+from fx_bcs c join fx_subasm s on c.barcode = s.barcode
+where c.usable_reads > 0 and s.n_variants_passing = 1
+  and (cast(split_part(s.variant_list, ':', 2) as int) < 1300 or cast(split_part(s.variant_list, ':', 2) as int) > 1350)"""
+
 # raw mates: two rows per line item, positions 1-based, constant exons (649,696) and (3478,3533)
 VIEWS["fx_mates"] = """
 select concat('BC', lpad(cast(l_orderkey as varchar(20)), 9, '0')) as barcode,
