@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["barcodes", "expressions", "sources", "reads", "isoforms", "statistics", "evaluation"]
+MODULES = ["barcodes", "expressions", "sources", "reads", "isoforms", "statistics", "evaluation", "annotation"]
 
 
 def load_all():

@@ -77,16 +77,16 @@ from fx_subasm"""
 
 VIEWS["fx_freq_v2"] = """
 select chrom, pos, ref, alt, cast(1 + pos % 9 as int) as n_alt, 20000 as n_allele, cast(pos % 2 as int) as n_homo
-from fx_scores where pos % 3 = 0"""
+from fx_scores where score_a < 0.35"""
 
 VIEWS["fx_freq_v3"] = """
 select chrom, pos, ref, alt, cast(1 + pos % 5 as int) as n_alt, 30000 as n_allele, 0 as n_homo
-from fx_scores where pos % 4 = 0"""
+from fx_scores where score_b > 0.8"""
 
 VIEWS["fx_clinical"] = """
 select pos as hg19_pos, ref, alt,
        case pos % 3 when 0 then 'Likely_benign' when 1 then 'Pathogenic' else 'Uncertain_significance' end as clinvar_interp
-from fx_scores where pos % 6 = 1 or pos % 10 = 0"""
+from fx_scores where score_a >= 0.7 or score_b < -1.4"""
 
 # exons: one per supplier, eight to a gene, 1-based inclusive
 VIEWS["fx_exons"] = """
