@@ -71,10 +71,14 @@ def with_window(
 
 
 def check_reference(df: DataFrame, window: str, left: int, ref: str = "ref") -> DataFrame:
-    """Stop when the reference base of a variant differs from the sequence."""
+    """Stop when the reference base of a variant differs from the sequence.
+
+    The check sits in the window, not in the key: a key takes part in inferred join filters, which
+    may run before the filters of the caller.
+    """
     here = F.substr(F.col(window), F.lit(left + 1), F.length(ref))
-    ok = F.when(here == F.upper(ref), F.col(ref)).otherwise(F.raise_error(F.concat(F.lit("reference mismatch at "), F.col("pos").cast("string"))))
-    return df.withColumn(ref, ok)
+    bad = F.raise_error(F.concat(F.lit("reference mismatch at "), F.col("pos").cast("string"))).cast("string")
+    return df.withColumn(window, F.when(here == F.upper(ref), F.col(window)).otherwise(bad))
 
 
 def splice_dinucleotide_flags(tbv: DataFrame, chunks: DataFrame, sdv: str, suffix: str = "") -> DataFrame:

@@ -318,9 +318,11 @@ def _(t):
     return A.merge_cadd(t("fx_tbv").filter("sample = 'S0'"), cadd, VAR)
 
 
+_TRAIN = "exists (select 1 from fx_freq_v3 f where f.pos = s.pos and f.ref = s.ref and f.alt = s.alt)"
+
+
 @query("mask_training", f"{KEYS} in_train:b score_a_not:d score_b_not:d",
-       """select chrom, pos, ref, alt, pos in (select pos from fx_freq_v3) as in_train, case when pos not in (select pos from fx_freq_v3) then score_a end as score_a_not,
-       case when pos not in (select pos from fx_freq_v3) then score_b end as score_b_not from fx_scores""")
+       f"select chrom, pos, ref, alt, {_TRAIN} as in_train, case when not {_TRAIN} then score_a end as score_a_not, case when not {_TRAIN} then score_b end as score_b_not from fx_scores s")
 def _(t):
     return A.mask_training(t("fx_scores"), t("fx_freq_v3"), ["score_a", "score_b"], "in_train", ["chrom", *VAR])
 

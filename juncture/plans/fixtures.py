@@ -162,6 +162,12 @@ select concat('BC', lpad(cast(l_orderkey as varchar(20)), 9, '0')) as barcode,
 from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, 1 as mate from lineitem
       union all select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, 2 as mate from lineitem) m"""
 
+# variant pairs: each variant with a second change a few bases further on
+VIEWS["fx_pairs"] = """
+select s.chrom, s.pos, s.ref, s.alt, s.score_a, s.score_b, b.pos as pos2, b.base as ref2,
+       substr('ACGT', cast(1 + instr('ACGT', b.base) % 4 as int), 1) as alt2
+from fx_scores s join fx_base b on b.pos = s.pos + 3 + s.pos % 5"""
+
 # packed annotation text of each variant, one column per format
 VIEWS["fx_vcf"] = """
 select chrom, pos, ref, alt,
