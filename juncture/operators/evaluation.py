@@ -87,9 +87,12 @@ def _balanced_area(hist: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def balanced_pr_bootstrap(
-    df: DataFrame, truth: str, pred: str, category: str, key: str, bootstraps: int = 100, seed: int = 1124, whole: str = "Transcriptome"
+    df: DataFrame, truth: str, pred: str, category: str, key: str, bootstraps: int = 100, seed: int = 1124, whole: str = "Transcriptome", draw=None
 ) -> DataFrame:
-    """Mean and 95% interval of the balanced area over resamples of each category."""
+    """Mean and 95% interval of the balanced area over resamples of each category.
+
+    ``draw`` picks a row as in :func:`juncture.operators.statistics.bootstrap_null_by_count`.
+    """
     from juncture.operators.statistics import hashed_draw, index_rows
     from juncture.sources.sinks import explode_range
 
@@ -99,7 +102,7 @@ def balanced_pr_bootstrap(
     sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("m"))
     grid = explode_range(sizes.withColumns({"_lo": F.lit(0), "_hi": F.lit(bootstraps - 1)}), "_lo", "_hi", "b")
     grid = explode_range(grid.withColumn("_hi", (F.col("m") - 1).cast("int")), "_lo", "_hi", "d").drop("_lo", "_hi")
-    drawn = grid.withColumn("idx", hashed_draw(seed)(F.col("m"), F.col("b"), F.col("d"), F.col("m")))
+    drawn = grid.withColumn("idx", (draw or hashed_draw(seed))(F.col("m"), F.col("b"), F.col("d"), F.col("m")))
     sample = drawn.join(index_rows(rows, "_k", ["group"]), ["group", "idx"])
     area = _balanced_area(score_histogram(sample, truth, [pred], ["group", "b"], ["raw"]), ["group", "b"])
     return area.groupBy("group", "pred").agg(

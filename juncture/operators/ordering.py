@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
-
+from juncture.sources.sinks import shared_folder
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; make a local one only where none is named."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="juncture-checkpoint-"))
+BUCKETS = 256
 
 
 def number_rows(df: DataFrame, order: list[Column], out: str = "n") -> DataFrame:
@@ -25,7 +16,7 @@ def number_rows(df: DataFrame, order: list[Column], out: str = "n") -> DataFrame
     Rows are range-partitioned by the order and written to the checkpoint folder, so the numbers
     inside each range and the offsets between ranges come from the same fixed partitions.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     # one row per partition: a small table whatever the size of the data

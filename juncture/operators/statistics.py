@@ -495,9 +495,10 @@ def linear_fit(df: DataFrame, xs: list[str], y: str) -> DataFrame:
 
 
 def sample_transcripts(gtf: DataFrame, genes: int, per_gene: int = 1, seed: int = 1005) -> DataFrame:
-    """Random genes, then random transcripts of each; the order is a hash, so a seed fixes the choice."""
+    """Random genes, then random transcripts of each; the order is a digest, so a seed fixes the choice."""
+
     def lot(c: str) -> Column:
-        return F.xxhash64(F.lit(seed), F.col(c))
+        return F.md5(F.concat_ws("|", F.lit(seed).cast("string"), c))
 
     chosen = gtf.select("gene_id").distinct().orderBy(lot("gene_id"), "gene_id").limit(genes)
     tx = gtf.filter(F.col("feature") == "transcript").select("gene_id", "transcript_id").distinct().join(chosen, "gene_id", "left_semi")
@@ -519,12 +520,13 @@ def sample_positions(gtf: DataFrame, base: DataFrame, n: int, exonic: float = 0.
     span = explode_range(cds.join(has_exon, "transcript_id", "left_semi"), "lo", "hi", "pos").select(*keys, "pos")
     inside = explode_range(exons.select(*keys, "start_pos", "end_pos"), "start_pos", "end_pos", "pos").select(*keys, "pos").distinct()
     marked = span.join(inside.withColumn("exonic", F.lit(True)), [*keys, "pos"], "left").withColumn("exonic", F.coalesce("exonic", F.lit(False)))
-    lot = F.xxhash64(F.lit(seed), F.col("transcript_id"), F.col("pos"))
+    place = F.concat_ws("|", F.lit(seed).cast("string"), "transcript_id", F.col("pos").cast("string"))
+    lot = F.md5(place)
     order = F.row_number().over(Window.partitionBy("transcript_id", "exonic").orderBy(lot, "pos"))
     wanted = F.when(F.col("exonic"), F.lit(n_ex)).otherwise(F.lit(n - n_ex))
     picked = marked.withColumn("_r", order).filter(F.col("_r") <= wanted).drop("_r")
     ref = base.select("chrom", "pos", F.upper("base").alias("ref"))
     out = picked.join(ref, ["chrom", "pos"])
     others = F.array_except(F.array(*[F.lit(b) for b in "ACGT"]), F.array("ref"))
-    which = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("transcript_id"), F.col("pos")), F.size(others)).cast("int")
-    return out.withColumn("alt", F.get(others, which))
+    drawn = F.array_min(F.transform(others, lambda b: F.struct(F.md5(F.concat_ws("|", place, b)).alias("lot"), b.alias("base"))))
+    return out.withColumn("alt", drawn["base"])

@@ -28,7 +28,7 @@ def best(src, value, keys=""):
     return f"(select * from (select *, row_number() over (partition by {k}pred order by {value} desc, {_ORDER}) as rk from {src}) where rk = 1)"
 
 
-_AREA = f"""(select pred, form, sum(p / (pp * 1e0) * (tp / ((tp + fp) * 1e0) + case when tp0 + fp0 = 0 then 1 else tp0 / ((tp0 + fp0) * 1e0) end) / 2) as auc from {points()} group by pred, form)"""
+_AREA = f"""(select pred, form, sum(p / nullif(pp * 1e0, 0) * (tp / ((tp + fp) * 1e0) + case when tp0 + fp0 = 0 then 1 else tp0 / ((tp0 + fp0) * 1e0) end) / 2) as auc from {points()} group by pred, form)"""
 
 
 @query("pr_curve", "pred:s form:s auc:d", f"select * from {best(_AREA, 'auc')}")
@@ -47,13 +47,25 @@ def _(t):
     return E.balanced_pr_curve(t("fx_eval"), "truth", PREDS, "category")
 
 
-@query("balanced_pr_bootstrap", "group:s pred:s mean:d low:d high:d")
+_ROWS = """(select *, row_number() over (partition by g order by md5(cast(doc_id as varchar)), doc_id) - 1 as idx, count(*) over (partition by g) as m from (
+  select doc_id, truth, category as g, pred_a from fx_eval union all select doc_id, truth, 'Transcriptome', pred_a from fx_eval))"""
+_DRAWN = f"""select g || '|' || b as gb, truth, 'pred_a' as pred, 'raw' as form, r.pred_a as score from (
+  select g, m, b, d, (((m * 1000003 + b * 7919 + d * 104729) * 48271) % 2147483647) % m as idx from (select distinct g, m from {_ROWS}), (select unnest(range(20)) as b), lateral (select unnest(range(m)) as d)) x
+  join {_ROWS} r using (g, idx)"""
+
+
+@query("balanced_pr_bootstrap", "group:s pred:s mean:d low:d high:d",
+       f"""select split_part(gb, '|', 1) as "group", pred, avg(a) as mean, quantile_cont(a, 0.025) as low, quantile_cont(a, 0.975) as high from (
+       select gb, pred, case when max(pp) >= 2 and max(nn) >= 2 then sum(p / nullif(pp * 1e0, 0) * ({_BAL.format(x='tp / ((tp + fp) * 1e0)')} + case when tp0 + fp0 = 0 then 1 else {_BAL.format(x='tp0 / ((tp0 + fp0) * 1e0)')} end) / 2) end as a
+       from (select *, pp / ((pp + nn) * 1e0) as r from {points('gb', _DRAWN)}) group by 1, 2) group by 1, 2""")
 def _(t):
-    return E.balanced_pr_bootstrap(t("fx_eval"), "truth", "pred_a", "category", "doc_id", bootstraps=20)
+    from juncture.operators.statistics import arithmetic_draw
+
+    return E.balanced_pr_bootstrap(t("fx_eval"), "truth", "pred_a", "category", "doc_id", bootstraps=20, draw=arithmetic_draw)
 
 
-_ROC = f"""(select category, pred, form, sum(n / (nn * 1e0) * (tp / (pp * 1e0) + tp0 / (pp * 1e0)) / 2) as auc,
-   case when max(tp / (pp * 1e0) - fp / (nn * 1e0)) > 0 then arg_max(score, row(tp / (pp * 1e0) - fp / (nn * 1e0), score)) end as youden from {points('category')} group by category, pred, form)"""
+_ROC = f"""(select category, pred, form, sum(n / nullif(nn * 1e0, 0) * (tp / nullif(pp * 1e0, 0) + tp0 / nullif(pp * 1e0, 0)) / 2) as auc,
+   case when max(tp / nullif(pp * 1e0, 0) - fp / nullif(nn * 1e0, 0)) > 0 then arg_max(score, row(tp / nullif(pp * 1e0, 0) - fp / nullif(nn * 1e0, 0), score)) end as youden from {points('category')} group by category, pred, form)"""
 
 
 @query("roc_curve", "category:s pred:s form:s auc:d youden:d", f"select * from {best(_ROC, 'auc', 'category')}")

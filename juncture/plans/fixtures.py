@@ -5,6 +5,7 @@ Every view is portable SQL over whole base tables, so its size grows with them.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import SparkSession
@@ -229,11 +230,22 @@ def with_views(text: str, extra: list[str] | None = None) -> str:
     return f"with {ctes}\n{text}"
 
 
+_SOURCE = re.compile(r"\b(from|join)\s+(" + "|".join(BASE_TABLES) + r")\b", re.IGNORECASE)
+
+
+def view_name(sf_dir: str, table: str) -> str:
+    """Name of the temporary view of a base table; private to one data directory."""
+    return f"jn_{hashlib.md5(sf_dir.encode()).hexdigest()[:8]}_{table}"
+
+
+def for_dir(text: str, sf_dir: str) -> str:
+    """Point the base tables of a query at one data directory."""
+    return _SOURCE.sub(lambda m: f"{m[1]} {view_name(sf_dir, m[2])}", text)
+
+
 def register_base(spark: SparkSession, sf_dir: str) -> None:
     """Expose the base tables of ``sf_dir`` as temporary views of the session."""
-    key = "juncture.fixture.dir"
-    if spark.conf.get(key, "") == sf_dir and spark.catalog.tableExists("conversations"):
+    if spark.catalog.tableExists(view_name(sf_dir, BASE_TABLES[-1])):
         return
     for name in BASE_TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    spark.conf.set(key, sf_dir)
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(view_name(sf_dir, name))

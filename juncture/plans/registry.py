@@ -30,11 +30,9 @@ class Tables:
 
     def __call__(self, name: str) -> DataFrame:
         if name in fixtures.VIEWS:
-            return self.spark.sql(fixtures.with_views(f"select * from {name}", [name]))
-        return self.spark.table(name)
-
-    def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(fixtures.with_views(text))
+            text = fixtures.with_views(f"select * from {name}", [name])
+            return self.spark.sql(fixtures.for_dir(text, self.sf_dir)).alias(name)
+        return self.spark.table(fixtures.view_name(self.sf_dir, name)).alias(name)
 
 
 @dataclass(frozen=True)

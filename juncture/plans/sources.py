@@ -48,14 +48,13 @@ def _(t):
     return t("fx_mates").withColumn("blocks", isoform_text(RD.cigar_to_blocks("pos", "cigar")))
 
 
-_VCF_LINES = F.concat_ws("\t", "chrom", "pos", F.lit("."), "ref", "alts", F.lit("."), F.lit("."), "freq_info")
-
-
 @query("read_vcf", "chrom:s pos:i ref:s alt:s alt_index:i info:s",
        "select chrom, pos, ref, alt, 0 as alt_index, freq_info as info from fx_vcf union all select chrom, pos, ref, 'N', 1, freq_info from fx_vcf")
 def _(t):
     head = t.spark.createDataFrame([("##fileformat=VCFv4.2",), ("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO",)], "line string")
-    lines = head.union(t("fx_vcf").select(_VCF_LINES.alias("line")))
+    dot = F.lit(".")
+    body = F.concat_ws("\t", "chrom", "pos", dot, "ref", "alts", dot, dot, "freq_info")
+    lines = head.union(t("fx_vcf").select(body.alias("line")))
     return text.read_vcf(t.spark, _text(t, lines, "vcf"), explode_alt=True)
 
 

@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 from juncture.functions.columns import attach
 from juncture.operators import statistics as S
 from juncture.operators.barcodes import variant_summary_pe
-from juncture.plans.barcodes import ISOS, SAMPLES
-from juncture.plans.expressions import CODON_SQL  # noqa: F401  (same reference text as the oracles there)
+from juncture.plans.barcodes import SAMPLES
 from juncture.plans.isoforms import CUT_SQL
 from juncture.plans.registry import query
 from juncture.sources.text import with_gtf_ids
@@ -284,12 +283,21 @@ def _(t):
     return S.linear_fit(df, xs, "num_reads")
 
 
-@query("sample_transcripts", "gene_id:s transcript_id:s")
+@query("sample_transcripts", "gene_id:s transcript_id:s",
+       """with g as (select distinct gene from fx_exons order by md5(concat('1005|', gene)), gene limit 5), x as (select gene as gene_id, concat(gene, s) as transcript_id from g, (select unnest(['T1.2', 'T2.1']) as s))
+       select gene_id, transcript_id from (select *, row_number() over (partition by gene_id order by md5(concat('1005|', transcript_id)), transcript_id) as k from x) where k = 1""")
 def _(t):
     return S.sample_transcripts(with_gtf_ids(t("fx_gtf")), 5, 1)
 
 
-@query("sample_positions", "chrom:s strand:s transcript_id:s pos:i exonic:b ref:s alt:s")
+@query("sample_positions", "chrom:s strand:s transcript_id:s pos:i exonic:b ref:s alt:s",
+       """with x as (select gene, strand, start_pos, end_pos, concat(gene, 'T1.2') as tx from fx_exons union all select gene, strand, start_pos, end_pos, concat(gene, 'T2.1') from fx_exons where exon_num % 2 = 1),
+       s as (select tx, strand, unnest(range(min(start_pos), max(end_pos))) as pos from x group by tx, strand),
+       m as (select s.*, exists (select 1 from x where x.tx = s.tx and s.pos between start_pos and end_pos) as exonic from s),
+       r as (select *, row_number() over (partition by tx, exonic order by md5(concat('1005|', tx, '|', pos)), pos) as k from m),
+       c as (select r.*, b.base as ref, a.alt, row_number() over (partition by r.tx, r.pos order by md5(concat('1005|', tx, '|', r.pos, '|', a.alt))) as j
+         from r join fx_base b on b.pos = r.pos join (select unnest(['A', 'C', 'G', 'T']) as alt) a on a.alt <> b.base where k <= 20)
+       select '11' as chrom, strand, tx as transcript_id, pos, exonic, ref, alt from c where j = 1""")
 def _(t):
     gtf = with_gtf_ids(t("fx_gtf")).withColumn("chrom", F.lit("11"))
     return S.sample_positions(gtf, t("fx_base"), 40)

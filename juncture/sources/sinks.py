@@ -17,13 +17,20 @@ GRCH37_CONTIGS = {
 }
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder the cluster shares; a local one only where none is named."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; a local one only where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="juncture-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for an intermediate table."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_tsv(df: DataFrame, path: str) -> str:
