@@ -260,10 +260,12 @@ def exon_region(exons: DataFrame, numbers: tuple[int, int] | None = None, flank:
     rows = exons.withColumn("_n", F.row_number().over(order))
     if numbers:
         rows = rows.filter(F.col("_n").between(*numbers))
-    longest = exons.groupBy("chrom").agg(F.max("end_pos").alias("_max"))
-    out = rows.groupBy("gene", "chrom").agg(F.min("start_pos").alias("_s"), F.max("end_pos").alias("_e")).join(longest, "chrom")
+    # one entry per chromosome, looked up as a scalar
+    longest = exons.groupBy("chrom").agg(F.max("end_pos").alias("_max")).agg(F.map_from_entries(F.collect_list(F.struct("chrom", "_max"))).alias("m"))
+    out = rows.groupBy("gene", "chrom").agg(F.min("start_pos").alias("_s"), F.max("end_pos").alias("_e"))
+    limit = F.try_element_at(longest.scalar(), F.col("chrom"))
     return out.select(
-        "gene", "chrom", F.greatest(F.col("_s") - flank, F.lit(0)).alias("start_pos"), F.least(F.col("_e") + flank, F.col("_max")).alias("end_pos")
+        "gene", "chrom", F.greatest(F.col("_s") - flank, F.lit(0)).alias("start_pos"), F.least(F.col("_e") + flank, limit).alias("end_pos")
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from juncture.functions.columns import ratio
+from juncture.functions.columns import attach, ratio
 from juncture.operators.ordering import with_running
 
 FORMS = ["raw", "neg", "abs"]
@@ -152,8 +152,6 @@ def _best_threshold(df: DataFrame, truth: str, preds: list[str], score: Column,
     """
     run = _with_totals(score_histogram(df, truth, preds), [], below="_low").filter(F.col("_low").isNotNull())
     events = df.filter(F.col(truth)).agg(F.count(F.lit(1)).alias("_e"))
-    from juncture.functions.columns import attach
-
     run = attach(run, events)
     mid = (F.col("score") + F.col("_low")) / 2
     place = F.when(F.col("form") == "neg", -mid).otherwise(mid)
@@ -222,18 +220,20 @@ def spearman(df: DataFrame, y: str, preds: list[str]) -> DataFrame:
     return out.withColumn("best", F.greatest("raw", "abs"))
 
 
-def rank_curve(df: DataFrame, col: str, by: str) -> DataFrame:
-    """Scores of each class from the largest down: rank of the first row of each tie, and its size."""
-    hist = df.filter(F.col(col).isNotNull()).groupBy(by, F.col(col).cast("double").alias("score")).agg(F.count(F.lit(1)).alias("n"))
-    run = with_running(hist, "score", {"n": "cn"}, [by])
-    total = hist.groupBy(by).agg(F.sum("n").alias("total"))
-    out = run.join(total, by).withColumn("rank", F.col("cn") - F.col("n"))
+def rank_curve(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
+    """Scores, of each class if there is one, from the largest down: rank of the first row of each tie, and its size."""
+    keys = [by] if by else []
+    hist = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    run = with_running(hist, "score", {"n": "cn"}, keys)
+    total = hist.groupBy(*keys).agg(F.sum("n").alias("total"))
+    out = run.join(total, keys) if keys else attach(run, total)
+    out = out.withColumn("rank", F.col("cn") - F.col("n"))
     return out.withColumn("rank_share", ratio("rank", F.col("total") - 1)).drop("cn")
 
 
 def value_at_percentile(df: DataFrame, col: str, percentile: float) -> DataFrame:
     """The score that calls the given percent of the rows."""
-    curve = rank_curve(df.withColumn("_all", F.lit(1)), col, "_all")
+    curve = rank_curve(df, col)
     k = F.floor(F.col("total") * percentile * 0.01)
     return curve.filter((F.col("rank") <= k) & (k < F.col("rank") + F.col("n"))).select("score")
 

@@ -13,10 +13,8 @@ BLOCKS = "array<struct<start:int,end:int>>"
 
 def cigar_ops(cigar: Column | str) -> Column:
     """CIGAR text as an array of (op, n)."""
-    c = as_col(cigar)
-    n = F.regexp_extract_all(c, F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(1)).cast("array<int>")
-    op = F.regexp_extract_all(c, F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(2))
-    return F.arrays_zip(op.alias("op"), n.alias("n"))
+    parts = F.filter(F.split(as_col(cigar), "(?<=[MIDNSHP=X])"), lambda t: F.length(t) > 1)
+    return F.transform(parts, lambda t: F.struct(F.right(t, F.lit(1)).alias("op"), F.substr(t, F.lit(1), F.length(t) - 1).cast("int").alias("n")))
 
 
 def cigar_to_blocks(pos: Column | str, cigar: Column | str) -> Column:
@@ -58,22 +56,31 @@ def read_status(record: Column | str = "flag", counting: bool = False) -> Column
 def pair_reads(reads: DataFrame, keys: tuple[str, ...] = ("sample", "barcode", "qname")) -> DataFrame:
     """One row per query name with both mates, the leftmost one first.
 
-    One aggregation instead of a self-join: the mates meet in a single shuffle on the name.
+    One aggregation instead of a self-join.  A name has two records, so aggregating before the
+    shuffle would only sort the input once more: rows are partitioned by name first, and blocks are
+    worked out after the mates have met.
     """
-    record = F.struct("flag", "pos", "cigar", cigar_to_blocks("pos", "cigar").alias("blocks"))
+    record = F.struct("flag", "pos", "cigar")
     second = flag(0x80)
-    both = reads.groupBy(*keys).agg(
-        F.min(F.when(~second, record)).alias("_1"),
-        F.min(F.when(second, record)).alias("_2"),
+    both = (
+        reads.select(*keys, "flag", "pos", "cigar")
+        .repartition(*keys)
+        .groupBy(*keys)
+        .agg(F.min(F.when(~second, record)).alias("_1"), F.min(F.when(second, record)).alias("_2"))
     )
     both = both.filter(F.col("_1").isNotNull() & F.col("_2").isNotNull())
-    swap = F.coalesce(F.get("_1.blocks", F.lit(0))["start"] > F.get("_2.blocks", F.lit(0))["start"], F.lit(False))
+    both = both.withColumns({f"_b{m}": cigar_to_blocks(f"_{m}.pos", f"_{m}.cigar") for m in "12"})
+    swap = F.coalesce(F.get("_b1", F.lit(0))["start"] > F.get("_b2", F.lit(0))["start"], F.lit(False))
+
+    def mate(m: str) -> Column:
+        return F.struct(F.col(f"_{m}.flag").alias("flag"), F.col(f"_{m}.pos").alias("pos"), F.col(f"_{m}.cigar").alias("cigar"), F.col(f"_b{m}").alias("blocks"))
+
     return both.select(
         *keys,
         F.col("_1.flag").alias("flag1"),
         F.col("_2.flag").alias("flag2"),
-        F.when(swap, F.col("_2")).otherwise(F.col("_1")).alias("left"),
-        F.when(swap, F.col("_1")).otherwise(F.col("_2")).alias("right"),
+        F.when(swap, mate("2")).otherwise(mate("1")).alias("left"),
+        F.when(swap, mate("1")).otherwise(mate("2")).alias("right"),
     )
 
 
