@@ -62,14 +62,20 @@ def pair_reads(reads: DataFrame, keys: tuple[str, ...] = ("sample", "barcode", "
     """
     record = F.struct("flag", "pos", "cigar")
     second = flag(0x80)
+    one, two = F.min(F.when(~second, record)), F.min(F.when(second, record))
     both = (
         reads.select(*keys, "flag", "pos", "cigar")
         .repartition(*keys)
         .groupBy(*keys)
-        .agg(F.min(F.when(~second, record)).alias("_1"), F.min(F.when(second, record)).alias("_2"))
+        .agg(
+            one.alias("_1"),
+            two.alias("_2"),
+            # results of the aggregate, so that no later filter is rewritten in terms of them
+            cigar_to_blocks(one["pos"], one["cigar"]).alias("_b1"),
+            cigar_to_blocks(two["pos"], two["cigar"]).alias("_b2"),
+        )
     )
     both = both.filter(F.col("_1").isNotNull() & F.col("_2").isNotNull())
-    both = both.withColumns({f"_b{m}": cigar_to_blocks(f"_{m}.pos", f"_{m}.cigar") for m in "12"})
     swap = F.coalesce(F.get("_b1", F.lit(0))["start"] > F.get("_b2", F.lit(0))["start"], F.lit(False))
 
     def mate(m: str) -> Column:
@@ -201,8 +207,11 @@ def normalize_junctions_pe(
         .when(~F.col("_n.ds"), "bad_ends")
         .when(~F.col("_n.us"), "bad_starts")
     )
-    df = df.withColumn("status", status)
-    return df.withColumn("isoform", F.when(F.col("status").isNull(), F.col("_n.out"))).drop("_a", "_b", "_all", "_n")
+    df = df.withColumn("_s", status)
+    result = F.struct(F.col("_s").alias("status"), F.when(F.col("_s").isNull(), F.col("_n.out")).alias("isoform"))
+    # a one-row generator keeps filters on the status from being pushed into these expressions,
+    # where they would be evaluated again
+    return df.select(*pairs.columns, F.inline(F.array(result)))
 
 
 def repair_constant_junctions(reads: DataFrame, vector: DataFrame, cnst: tuple[tuple[int, int], tuple[int, int]]) -> DataFrame:
