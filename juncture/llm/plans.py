@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juncture.llm import exact_dedup, mixing
+from juncture.llm import bpe, chat, exact_dedup, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
+    """Path of a public vocabulary and the pattern that cuts texts into pieces."""
+    import public_tokenizers
+
+    return public_tokenizers.path(vocabulary), public_tokenizers.PATTERN
+
+
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -26,7 +33,20 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_source_mixing, op2_exact_dedup)}
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # a conversation whose texts look like the template's own markers
+    said = "\\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], convs.schema)
+    segments = chat.format_conversations(convs.unionByName(probe))
+    return chat.read_back(segments, in_order=True)
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), *tokenizer())
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_source_mixing, op2_exact_dedup, op4_chat_format, op8_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_source_mixing": r"""
