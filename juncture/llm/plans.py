@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juncture.llm import bpe, chat, exact_dedup, mixing
+from juncture.llm import bpe, chat, exact_dedup, mixing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,7 +46,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), *tokenizer())
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_source_mixing, op2_exact_dedup, op4_chat_format, op8_byte_bpe)}
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_source_mixing, op2_exact_dedup, op4_chat_format, op8_byte_bpe, op9_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_source_mixing": r"""
