@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juncture.llm import bpe, chat, exact_dedup, mixing, simhash
+from juncture.llm import bpe, chat, exact_dedup, language, mixing, simhash, toxicity
+from juncture.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = fold(F.col("doc_id"), 4)
+    model = language.fit(docs.select("doc_id", "text", "lang").filter(part != 2))
+    out = language.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (part == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     # a conversation whose texts look like the template's own markers
@@ -42,6 +51,14 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(segments, in_order=True)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = fold(F.col("doc_id"), 5)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(part != 0)
+    out = toxicity.score(docs, toxicity.fit(docs, labels))
+    return out.select("doc_id", (part == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), *tokenizer())
 
@@ -51,7 +68,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_source_mixing, op2_exact_dedup, op4_chat_format, op8_byte_bpe, op9_simhash_near_dedup)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_source_mixing, op2_exact_dedup, op3_language_id, op4_chat_format, op5_toxicity, op8_byte_bpe, op9_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_source_mixing": r"""
