@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juncture.llm import bpe, chat, exact_dedup, language, mixing, simhash, toxicity
+from juncture.llm import bpe, chat, exact_dedup, html, language, mixing, simhash, topk, toxicity
 from juncture.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,7 +68,28 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_source_mixing, op2_exact_dedup, op3_language_id, op4_chat_format, op5_toxicity, op8_byte_bpe, op9_simhash_near_dedup)}
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES: dict[str, Query] = {
+    q.__name__: q
+    for q in (
+        op1_source_mixing,
+        op2_exact_dedup,
+        op3_language_id,
+        op4_chat_format,
+        op5_toxicity,
+        op7_html_main_text,
+        op8_byte_bpe,
+        op9_simhash_near_dedup,
+        op10_exact_top_k,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_source_mixing": r"""
@@ -120,5 +141,17 @@ with docs as (
 select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
     row_number() over (partition by norm order by doc_id desc nulls last) = 1 as kept, sha256(norm) as text_sha256
 from docs window same as (partition by norm)
+""",
+    "op10_exact_top_k": """
+with vectors as (
+    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+    where vec_id is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), scored as (
+    select q.vec_id as query_id, c.vec_id, list_dot_product(q.v::double[], c.v::double[])::bigint as score
+    from vectors q join vectors c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0
+)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+from scored qualify rank <= 5
 """,
 }
