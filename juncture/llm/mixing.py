@@ -96,7 +96,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(*own, F.col("_size").alias("size"), "source_size", "target", "copies", "taken")
 
 
-def emit_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each document as often as it was taken."""
-    times = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return mixed.filter(F.col("copies") > 0).select(*columns, times.alias("_copy")).drop("_copy")
+def emit_copies(mixed: DataFrame) -> DataFrame:
+    """The mix itself: each row as often as it was taken."""
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return mixed.filter(F.col("copies") > 0).select("*", times.alias("_copy")).drop("_copy")
