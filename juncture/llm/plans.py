@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juncture.llm import bpe, chat, exact_dedup, html, language, mixing, simhash, topk, toxicity
+from juncture.llm import bpe, chat, exact_dedup, html, language, mixing, repeats, simhash, topk, toxicity
 from juncture.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,11 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_bytes=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Query] = {
         op3_language_id,
         op4_chat_format,
         op5_toxicity,
+        op6_suffix_dedup,
         op7_html_main_text,
         op8_byte_bpe,
         op9_simhash_near_dedup,
