@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from juncture.llm.common import materialise, scratch_table
+from juncture.llm.common import scratch_table
 from juncture.llm.components import components
 
 SEED, WIDTH, DISTANCE = 42, 3, 2
@@ -180,8 +180,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are never the smallest. Rows repeated with one identifier each get a row. An empty table gives no rows.
     """
     rows = scratch_table(with_fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text").select("_id", "fp"), "fingerprints")
-    per_fp = materialise(rows.groupBy("fp").agg(F.min("_id").alias("_least")))
-    found = materialise(compare_cells(cell_rows(per_fp.select("fp"), grids(per_fp.count()))))
+    per_fp = scratch_table(rows.groupBy("fp").agg(F.min("_id").alias("_least")), "distinct-fingerprints")
+    found = scratch_table(compare_cells(cell_rows(per_fp.select("fp"), grids(per_fp.count()))), "cell-links")
     crowded = found.filter(F.col("b").isNull()).select("a").distinct()
     roots = components(found.filter(F.col("b").isNotNull()).union(one_bit_links(crowded)))
 
