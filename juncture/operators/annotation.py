@@ -163,6 +163,10 @@ def boundaries_in_window(tbv: DataFrame, annot: DataFrame, context: int, positio
     return df.withColumns({"acceptors": F.when(rev, ends).otherwise(starts), "donors": F.when(rev, starts).otherwise(ends)})
 
 
+#: Bins whose running bests one task works out.
+BIN_BLOCK = 4096
+
+
 def exon_bins(exons: DataFrame, tbv: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Per bin, the exons that overlap it and the closest one on either side.
 
@@ -178,9 +182,17 @@ def exon_bins(exons: DataFrame, tbv: DataFrame, keys: list[str], width: int) ->
     wanted = tbv.select(*keys, position_bin(F.col("pos"), width).alias("_bin")).distinct()
     on = [*keys, "_bin"]
     every = wanted.join(inside, on, "full_outer").join(ends, on, "full_outer").join(starts, on, "full_outer")
-    order = Window.partitionBy(*keys).orderBy("_bin")
-    left = F.max("_l").over(order.rowsBetween(Window.unboundedPreceding, -1))["x"]
-    right = F.min("_r").over(order.rowsBetween(1, Window.unboundedFollowing))["x"]
+    # running bests in two levels: over blocks of bins, which are few, and over the bins of a block.  Both frames lie
+    # before the row, so no bin is read twice, and a chromosome spreads over its blocks.
+    every = every.withColumn("_block", F.floor(F.col("_bin") / BIN_BLOCK))
+    blocks = every.groupBy(*keys, "_block").agg(F.max("_l").alias("_bl"), F.min("_r").alias("_br"))
+    up, down = Window.partitionBy(*keys).orderBy("_block"), Window.partitionBy(*keys).orderBy(F.desc("_block"))
+    before = (Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "_block", F.max("_bl").over(up.rowsBetween(*before)).alias("_ol"), F.min("_br").over(down.rowsBetween(*before)).alias("_or"))
+    every = every.join(blocks, [*keys, "_block"])
+    rise, fall = Window.partitionBy(*keys, "_block").orderBy("_bin"), Window.partitionBy(*keys, "_block").orderBy(F.desc("_bin"))
+    left = F.greatest(F.max("_l").over(rise.rowsBetween(*before)), F.col("_ol"))["x"]
+    right = F.least(F.min("_r").over(fall.rowsBetween(*before)), F.col("_or"))["x"]
     found = F.concat(F.coalesce("_in", F.array().cast(inside.schema["_in"].dataType)), F.array(left, right))
     return every.select(*on, F.filter(found, lambda x: x.isNotNull()).alias("_exons"))
 
@@ -391,25 +403,40 @@ def relative_junction_use(bounds: DataFrame, expression: DataFrame, col: str = "
 # ---- key joins --------------------------------------------------------------------------------
 
 
+def with_chrom(keys: list[str] | tuple[str, ...], *tables: DataFrame) -> list[str]:
+    """The keys, and the chromosome too if all tables have it."""
+    return [*keys, *(["chrom"] if "chrom" not in keys and all("chrom" in t.columns for t in tables) else [])]
+
+
+def contig_join(left: DataFrame, right: DataFrame, keys: list[str] | tuple[str, ...], how: str = "left") -> DataFrame:
+    """Join by key and, where both sides have it, by chromosome, spelled with or without ``chr``; the left spelling stays."""
+    on = [k for k in with_chrom(keys, left, right) if k != "chrom"]
+    if len(on) == len(with_chrom(keys, left, right)):
+        return left.join(right, on, how)
+    bare = lambda df: df.withColumn("_contig", F.regexp_replace("chrom", "^chr", ""))
+    out = bare(left).join(bare(right).withColumnRenamed("chrom", "_right"), [*on, "_contig"], how)
+    return out.withColumn("chrom", F.coalesce("chrom", "_right")).drop("_contig", "_right")
+
+
 def merge_scores(tbv: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
     """All measured rows with the scores of their key, where there are any."""
-    return tbv.join(scores, keys, "left")
+    return contig_join(tbv, scores, keys)
 
 
 def merge_conservation(tbv: DataFrame, scores: DataFrame, keys: tuple[str, ...] = ("pos",)) -> DataFrame:
-    return merge_scores(tbv, scores.drop("chrom"), list(keys))
+    return merge_scores(tbv, scores, list(keys))
 
 
 def merge_population(tbv: DataFrame, freq: DataFrame, keys: list[str], suffix: str | None = None) -> DataFrame:
-    """Frequency columns by key, with a suffix; the chromosome of the frequency table is dropped."""
-    f = freq.drop("chrom")
+    """Frequency columns by key, with a suffix."""
     if suffix:
-        f = f.withColumnsRenamed({c: f"{c}_{suffix}" for c in f.columns if c not in keys})
-    return merge_scores(tbv, f, keys)
+        freq = freq.withColumnsRenamed({c: f"{c}_{suffix}" for c in freq.columns if c not in (*keys, "chrom")})
+    return merge_scores(tbv, freq, keys)
 
 
 def merge_versions(v2: DataFrame, v3: DataFrame, keys: list[str]) -> DataFrame:
     """Counts of two releases added up, a missing one as zero, and the frequency of the sum."""
+    keys = with_chrom(keys, v2, v3)
     shared = [c for c in v2.columns if c in v3.columns and c not in keys and c != "af"]
     left = v2.select(*keys, *[F.col(c).alias(f"{c}_2") for c in shared])
     right = v3.select(*keys, *[F.col(c).alias(f"{c}_3") for c in shared])
@@ -442,7 +469,7 @@ def merge_hal(tbv: DataFrame, hal: DataFrame, raw: str = "hal_PSI", change: str
 
 def merge_squirls(tbv: DataFrame, sq: DataFrame, keys: list[str], transcript: str | None = None) -> DataFrame:
     rows = sq if transcript is None else sq.filter(F.col("tx_accession").startswith(transcript))
-    rows = rows.select(*keys, "squirls_score", (F.col("interpretation") == "pathogenic").alias("squirls_sdv"))
+    rows = rows.select(*with_chrom(keys, rows), "squirls_score", (F.col("interpretation") == "pathogenic").alias("squirls_sdv"))
     return merge_scores(tbv, rows, keys)
 
 
@@ -474,7 +501,7 @@ def spidex_scores(
 
 
 def merge_spidex(tbv: DataFrame, scores: DataFrame, keys: tuple[str, ...] = ("hg19_pos", "ref", "alt")) -> DataFrame:
-    return merge_scores(tbv, scores.drop("chrom"), list(keys))
+    return merge_scores(tbv, scores, list(keys))
 
 
 MMSPLICE_NAMES = {
@@ -490,13 +517,13 @@ def merge_mmsplice(tbv: DataFrame, mm: DataFrame, keys: list[str], transcript: s
     rows = mm if transcript is None else mm.filter(F.col("transcript_id").startswith(transcript))
     rows = rows.withColumnsRenamed(MMSPLICE_NAMES)
     values = [n for n in MMSPLICE_NAMES.values() if n != "mmsplice_trans"]
-    return merge_scores(tbv, rows.groupBy(*keys, "mmsplice_trans").agg(*[F.max(v).alias(v) for v in values]), keys)
+    return merge_scores(tbv, rows.groupBy(*with_chrom(keys, rows), "mmsplice_trans").agg(*[F.max(v).alias(v) for v in values]), keys)
 
 
 def merge_cadd(tbv: DataFrame, cadd: DataFrame, keys: list[str]) -> DataFrame:
     """Mean over repeated rows, joined by key."""
-    rows = cadd.withColumnsRenamed({"Pos": "pos", "Ref": "ref", "Alt": "alt"})
-    means = rows.groupBy(*keys).agg(F.avg("RawScore").alias("cadd_raw"), F.avg("PHRED").alias("cadd_scaled"))
+    rows = cadd.withColumnsRenamed({"Chrom": "chrom", "#Chrom": "chrom", "Pos": "pos", "Ref": "ref", "Alt": "alt"})
+    means = rows.groupBy(*with_chrom(keys, rows)).agg(F.avg("RawScore").alias("cadd_raw"), F.avg("PHRED").alias("cadd_scaled"))
     return merge_scores(tbv, means, keys)
 
 
@@ -535,7 +562,7 @@ def branchpoint_max(delta: DataFrame) -> DataFrame:
 
 
 def merge_branchpoint(tbv: DataFrame, top: DataFrame, keys: tuple[str, ...] = ("hg19_pos", "ref", "alt")) -> DataFrame:
-    return tbv.join(top.select(*keys, "DBP_max", "DBP_event", "DBP_POS_max"), list(keys), "full_outer")
+    return contig_join(tbv, top.select(*with_chrom(keys, top), "DBP_max", "DBP_event", "DBP_POS_max"), keys, "full_outer")
 
 
 BPP_SCORES = ["sc_bps", "sc_ppt", "sc", "zsc_bps", "zsc_ppt", "zsc"]
@@ -575,7 +602,7 @@ def bpp_max(delta: DataFrame, first_bp: int, rev: bool = False) -> DataFrame:
 
 
 def merge_bpp(tbv: DataFrame, top: DataFrame, keys: tuple[str, ...] = ("hg19_pos", "ref", "alt")) -> DataFrame:
-    return tbv.join(top.select(*keys, *[c for c in top.columns if c.startswith("DS_")]), list(keys), "full_outer")
+    return contig_join(tbv, top.select(*with_chrom(keys, top), *[c for c in top.columns if c.startswith("DS_")]), keys, "full_outer")
 
 
 def merge_bpp_wt(tbv: DataFrame, wt: DataFrame, first_bp: int, rev: bool = False, pos: str = "hg19_pos") -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from juncture.functions.columns import KEY, attach
 from juncture.functions.coordinates import hg19_to_hg38, threshold_flag
 from juncture.functions.sequence import complement
-from juncture.operators.annotation import all_dnvs, all_snvs, join_gene, merge_population
-from juncture.operators.reference import FLANK, with_window
+from juncture.operators.annotation import all_dnvs, all_snvs, contig_join, join_gene, merge_population
+from juncture.operators.reference import with_window
 
 DISTAL = 20
 
@@ -47,40 +47,39 @@ def classify_gain(event: Column, bounds: Column, wt: Column, var: Column, varian
     )
 
 
-def _base_at(place: Column, changes: list[tuple[Column, Column]], half: int) -> Column:
-    """Base at a genome position of the window ``_w`` around ``pos``, on the variant's strand."""
-    index = place - F.col("pos") + half + 1
-    out = F.when((index >= 1) & (index <= 2 * half + 1), F.substr("_w", index.cast("int"), F.lit(1))).otherwise("N")
+def _center(center: Column, offset: Column) -> Column:
+    """Genome position ``offset`` bases along the strand from ``center``."""
+    return F.when(F.col("strand") == "-", center - offset).otherwise(center + offset)
+
+
+def _base_at(window: str, center: Column, place: Column, changes: list[tuple[Column, Column]]) -> Column:
+    """Base at a genome position within two bases of ``center``, which ``window`` surrounds, on the variant's strand."""
+    out = F.substr(F.col(window), (place - center + 3).cast("int"), F.lit(1))
     for p, a in changes:
         out = F.when(place == p, a).otherwise(out)
     return F.when(F.col("strand") == "-", complement(out)).otherwise(out)
 
 
-def _motif(center: Column, span: Column, event: Column, motif: str, changes: list[tuple[Column, Column]], half: int) -> Column:
-    """Is the motif at the event, counted along the strand from the start of a window of ``span`` bases?
+def _motif(window: str, center: Column, span: Column, event: Column, motif: str, changes: list[tuple[Column, Column]]) -> Column:
+    """Is the motif at the event, counted along the strand from the start of a sequence with ``span`` bases on each side of a change?
 
-    Index j of the window is ``center - span + j`` on the plus strand and ``center + span - j`` on the
-    minus strand.  An acceptor motif ends before the event, a donor motif starts after it.
+    ``center`` is the event's genome position, anywhere in the sequence, and ``window`` has the reference two bases to
+    each side of it.  An acceptor motif ends before the event, a donor motif starts after it.
     """
-    j = event
     steps = (-2, -1) if motif == "AG" else (1, 2)
-
-    def place(i: Column) -> Column:
-        return F.when(F.col("strand") == "-", center + span - i).otherwise(center - span + i)
-
-    text = F.concat(*[_base_at(place(j + s), changes, half) for s in steps])
+    text = F.concat(*[_base_at(window, center, _center(center, F.lit(s)), changes) for s in steps])
     size = span * 2 + 1
-    inside = (j >= 2) & (j < size) if motif == "AG" else (j >= 0) & (j <= size - 3)
+    inside = (event >= 2) & (event < size) if motif == "AG" else (event >= 0) & (event <= size - 3)
     return inside & (text == motif)
 
 
-def _categories(df: DataFrame, event: str, place: str, context: Column, pair: bool, distance: int, half: int) -> Column:
+def _categories(event: str, place: str, context: Column, pair: bool, distance: int) -> Column:
     kind, off = F.col(event), F.col(place)
     at = F.col("pos") + off
     acc = F.transform("exon_starts", lambda s: (s + 1).cast("long"))
     don = F.transform("exon_ends", lambda e: e.cast("long"))
     at = at.cast("long")
-    own = (F.col("pos"), F.col("alt"))
+    own, here = (F.col("pos"), F.col("alt")), F.col("_event")
     j = context + off
     if pair:
         other = (F.col("pos2"), F.col("alt2"))
@@ -88,16 +87,16 @@ def _categories(df: DataFrame, event: str, place: str, context: Column, pair: bo
         places = [F.col("pos"), F.col("pos2")]
 
         def tests(motif: str) -> tuple[Column, Column, list[Column]]:
-            wt = _motif(F.col("pos"), context, j, motif, [], half)
-            both = _motif(F.col("pos"), context, j, motif, [own, other], half)
-            first = _motif(F.col("pos2"), context + gap, j, motif, [other], half)
-            second = _motif(F.col("pos"), context, j, motif, [own], half)
+            wt = _motif("_w", here, context, j, motif, [])
+            both = _motif("_w", here, context, j, motif, [own, other])
+            first = _motif("_w2", F.col("_event2"), context + gap, j, motif, [other])
+            second = _motif("_w", here, context, j, motif, [own])
             return wt, both, [first, second]
     else:
         places = [F.col("pos")]
 
         def tests(motif: str) -> tuple[Column, Column, list[Column]]:
-            return _motif(F.col("pos"), context, j, motif, [], half), _motif(F.col("pos"), context, j, motif, [own], half), []
+            return _motif("_w", here, context, j, motif, []), _motif("_w", here, context, j, motif, [own]), []
 
     def gain(bounds: Column, motif: str) -> Column:
         wt, var, singles = tests(motif)
@@ -117,28 +116,32 @@ def _categories(df: DataFrame, event: str, place: str, context: Column, pair: bo
     )
 
 
+def _categorized(tbv: DataFrame, chunks: DataFrame, annot: DataFrame, exon_len: int, event: str, place: str, out: str, distance: int, pair: bool) -> DataFrame:
+    """Only the bases next to the event matter, so they are looked up there, however far it is from the change."""
+    df = join_gene(tbv, annot).withColumn("_event", _center(F.col("pos"), F.col(place)))
+    df = with_window(df, chunks, 2, 2, "_w", pos="_event")
+    if pair:
+        # the same offset in the sequence around the second change, which is wider by the gap
+        gap = F.abs(F.col("pos") - F.col("pos2"))
+        df = with_window(df.withColumn("_event2", _center(F.col("pos2"), F.col(place) - gap)), chunks, 2, 2, "_w2", pos="_event2")
+    cat = _categories(event, place, F.lit(exon_len + 10), pair, distance)
+    return df.withColumns({out: cat, f"{place}_hg19": F.col("pos") + F.col(place)}).select(*tbv.columns, f"{place}_hg19", out)
+
+
 def categorize_snvs(
     tbv: DataFrame, chunks: DataFrame, annot: DataFrame, exon_len: int, event: str = "DS_maxrw_type", place: str = "POS_maxrw",
-    out: str = "splai_cat", distance: int = DISTAL, half: int = FLANK,
+    out: str = "splai_cat", distance: int = DISTAL,
 ) -> DataFrame:
-    """Category of the strongest event of each single change.
-
-    Only the bases next to the event matter, so they are read from one window instead of building whole
-    sequences.
-    """
-    df = with_window(join_gene(tbv, annot), chunks, half, half, "_w", flank=half)
-    cat = _categories(df, event, place, F.lit(exon_len + 10), False, distance, half)
-    return df.withColumns({out: cat, f"{place}_hg19": F.col("pos") + F.col(place)}).select(*tbv.columns, f"{place}_hg19", out)
+    """Category of the strongest event of each single change."""
+    return _categorized(tbv, chunks, annot, exon_len, event, place, out, distance, False)
 
 
 def categorize_dnvs(
     tbv: DataFrame, chunks: DataFrame, annot: DataFrame, exon_len: int, event: str = "DS_maxrw_type", place: str = "POS_maxrw",
-    out: str = "splai_cat", distance: int = DISTAL, half: int = FLANK,
+    out: str = "splai_cat", distance: int = DISTAL,
 ) -> DataFrame:
     """The same for pairs: the change itself (pos, ref, alt) and a second one (pos2, ref2, alt2)."""
-    df = with_window(join_gene(tbv, annot), chunks, half, half, "_w", flank=half)
-    cat = _categories(df, event, place, F.lit(exon_len + 10), True, distance, half)
-    return df.withColumns({out: cat, f"{place}_hg19": F.col("pos") + F.col(place)}).select(*tbv.columns, f"{place}_hg19", out)
+    return _categorized(tbv, chunks, annot, exon_len, event, place, out, distance, True)
 
 
 def _in_exon(pos: Column, rev: bool) -> Column:
@@ -196,8 +199,9 @@ def pairs_wide(snvs: DataFrame, dnvs: DataFrame) -> DataFrame:
     out = dnvs
     for n in ("snv1", "snv2"):
         keys = [f"{c}_{n}" for c in ("pos", "ref", "alt", "hg19_pos", "hg38_pos")]
-        side = snvs.select(*[F.col(c).alias(f"{c}_{n}") for c in snvs.columns if c not in ("chrom", "strand")])
-        out = out.join(side, keys, "left")
+        # the contig is part of the key, under its own name
+        side = snvs.select(*[F.col(c).alias(c if c == "chrom" else f"{c}_{n}") for c in snvs.columns if c != "strand"])
+        out = contig_join(out, side, keys)
     return out
 
 

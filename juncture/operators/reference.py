@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from juncture.functions.columns import attach, is_true
+from juncture.functions.columns import is_true
 from juncture.functions.sequence import amino_acid, reverse_complement
 
 CHUNK = 4096
@@ -30,14 +30,44 @@ def reference_chunks(base: DataFrame, chunk: int = CHUNK, flank: int = FLANK) ->
 
 
 def chunk_sequences(seqs: DataFrame, chunk: int = CHUNK, flank: int = FLANK) -> DataFrame:
-    """The same from whole sequences (name, seq), first base at position 1; no shuffle."""
+    """The same from whole sequences (name, seq), first base at position 1; no shuffle.
+
+    A sequence is cut in two steps, so each chunk is read from a piece of about the square root of the
+    sequence's chunks and the work grows with length to the power 1.5 at most.  Contigs of a genome come line by
+    line instead, see :func:`chunk_lines`.
+    """
+    piece = 64 * chunk
     n = F.length("seq")
-    ids = F.sequence(F.floor((1 - F.lit(flank)) / chunk), F.floor((n + flank) / chunk))
-    rows = seqs.select(F.col("name").alias("chrom"), "seq", F.explode(ids).alias("chunk"))
+    pieces = F.sequence(F.floor((1 - F.lit(flank)) / piece), F.floor((n + flank) / piece))
+    rows = seqs.select(F.col("name").alias("chrom"), "seq", F.explode(pieces).alias("_piece"))
+    first = F.greatest(F.col("_piece") * piece - flank, F.lit(1)).cast("int")
+    part = F.substr("seq", first, (F.col("_piece") * piece + piece + flank - first).cast("int"))
+    cut = rows.select("chrom", "_piece", first.alias("_first"), part.alias("_part")).filter(F.length("_part") > 0)
+    ids = F.sequence(F.floor(F.greatest(F.col("_piece") * piece, F.lit(1 - flank)) / chunk), F.floor((F.col("_piece") * piece + piece - 1) / chunk))
+    rows = cut.select("chrom", "_first", "_part", F.explode(ids).alias("chunk"))
     start = F.greatest(F.col("chunk") * chunk - flank, F.lit(1)).cast("int")
     end = F.col("chunk") * chunk + chunk + flank - 1
-    cut = F.substr("seq", start, (end - start + 1).cast("int"))
-    return rows.select("chrom", "chunk", start.alias("start"), cut.alias("seq")).filter(F.length("seq") > 0)
+    seq = F.substr("_part", start - F.col("_first") + 1, (end - start + 1).cast("int"))
+    return rows.select("chrom", "chunk", start.alias("start"), seq.alias("seq")).filter(F.length("seq") > 0)
+
+
+def chunk_lines(lines: DataFrame, chunk: int = CHUNK, flank: int = FLANK) -> DataFrame:
+    """The same from lines of records (name, start, seq), ``start`` being the position of a line's first base.
+
+    No row and no task ever holds a contig: a line goes to the chunks it touches, and a group has the lines of one chunk.
+    """
+    end = F.col("start") + F.length("seq") - 1
+    ids = F.sequence(F.floor((F.col("start") - flank) / chunk), F.floor((end + flank) / chunk))
+    rows = lines.filter(F.length("seq") > 0).select(F.col("name").alias("chrom"), "start", "seq", F.explode(ids).alias("chunk"))
+    low = F.greatest(F.col("chunk") * chunk - flank, F.lit(1))
+    high = F.col("chunk") * chunk + chunk + flank - 1
+    skipped = F.greatest(low - F.col("start"), F.lit(0)).cast("int")
+    part = F.substr("seq", skipped + 1, F.greatest(high - F.col("start") - skipped + 1, F.lit(0)).cast("int"))
+    cut = rows.select("chrom", "chunk", (F.col("start") + skipped).alias("start"), part.alias("seq")).filter(F.length("seq") > 0)
+    return cut.groupBy("chrom", "chunk").agg(
+        F.min("start").cast("int").alias("start"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "seq"))), lambda x: x["seq"]), "").alias("seq"),
+    )
 
 
 def cut_window(seq: Column, start: Column, first: Column, size: Column | int) -> Column:
@@ -70,26 +100,45 @@ def with_window(
     return joined.withColumn(out, F.upper(window)).drop("_chunk", "_start", "_seq")
 
 
-def check_reference(df: DataFrame, window: str, left: int, ref: str = "ref") -> DataFrame:
+def with_span(df: DataFrame, chunks: DataFrame, start: str, end: str, out: str, chunk: int = CHUNK) -> DataFrame:
+    """Add the reference from position ``start`` to ``end``, both included, however long; N outside.
+
+    Each distinct span is put together from its pieces of the chunks it crosses.
+    """
+    on = ["chrom", start, end]
+    wanted = df.select(*on).distinct()
+    pieces = wanted.withColumn("_chunk", F.explode(F.sequence(F.floor(F.col(start) / chunk), F.floor(F.col(end) / chunk))))
+    ref = chunks.select("chrom", F.col("chunk").alias("_chunk"), F.col("start").alias("_start"), F.col("seq").alias("_seq"))
+    first = F.greatest(F.col(start), F.col("_chunk") * chunk)
+    size = (F.least(F.col(end), F.col("_chunk") * chunk + chunk - 1) - first + 1).cast("int")
+    part = F.when(F.col("_seq").isNull(), F.repeat(F.lit("N"), size)).otherwise(cut_window(F.col("_seq"), F.col("_start"), first, size))
+    joined = pieces.join(ref, ["chrom", "_chunk"], "left").select(*on, F.struct("_chunk", F.upper(part).alias("text")).alias("_p"))
+    spans = joined.groupBy(*on).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_p")), lambda x: x["text"]), "").alias(out))
+    return df.join(spans, on)
+
+
+def check_reference(df: DataFrame, window: str, left: int, ref: str = "ref", right: int | None = None) -> DataFrame:
     """Stop when the reference base of a variant differs from the sequence.
 
     The check sits in the window, not in the key: a key takes part in inferred join filters, which
-    may run before the filters of the caller.
+    may run before the filters of the caller.  Where the window ends ``right`` bases after the variant's first, a longer
+    allele is checked as far as the window goes.
     """
-    here = F.substr(F.col(window), F.lit(left + 1), F.length(ref))
+    allele = F.upper(ref) if right is None else F.substr(F.upper(ref), F.lit(1), F.lit(right + 1))
+    here = F.substr(F.col(window), F.lit(left + 1), F.length(allele))
     bad = F.raise_error(F.concat(F.lit("reference mismatch at "), F.col("pos").cast("string"))).cast("string")
-    return df.withColumn(window, F.when(here == F.upper(ref), F.col(window)).otherwise(bad))
+    return df.withColumn(window, F.when(here == allele, F.col(window)).otherwise(bad))
 
 
 def splice_dinucleotide_flags(tbv: DataFrame, chunks: DataFrame, sdv: str, suffix: str = "") -> DataFrame:
     """Reference AG/GT at the variant, and whether the change could make one.
 
-    Only dinucleotides between the first and last position of the table count.  For each of
+    Only dinucleotides between the first and last position of a contig in the table count.  For each of
     them the first rule of AG, GT, A?, ?G, G?, ?T decides.
     """
     wide = with_window(tbv, chunks, 1, 1, "_w")
-    bounds = tbv.agg(F.min("pos").alias("_lo"), F.max("pos").alias("_hi"))
-    wide = attach(wide, bounds)
+    bounds = tbv.groupBy("chrom").agg(F.min("pos").alias("_lo"), F.max("pos").alias("_hi"))
+    wide = wide.join(bounds, "chrom")
     before = F.when(F.col("pos") > F.col("_lo"), F.substr("_w", F.lit(1), F.lit(2)))
     after = F.when(F.col("pos") < F.col("_hi"), F.substr("_w", F.lit(2), F.lit(2)))
     alt = F.col("alt")
@@ -121,7 +170,7 @@ def splice_dinucleotide_flags(tbv: DataFrame, chunks: DataFrame, sdv: str, suffi
 
 def created_site_flags(tbv: DataFrame, chunks: DataFrame, rev: bool = False, out=("acceptor_created", "donor_created")) -> DataFrame:
     """Would the alternate base make AG or GT with a neighbour on its strand?"""
-    wide = check_reference(with_window(tbv, chunks, 1, FLANK // 4, "_w"), "_w", 1)
+    wide = check_reference(with_window(tbv, chunks, 1, FLANK // 4, "_w"), "_w", 1, right=FLANK // 4)
     alt = reverse_complement("alt") if rev else F.col("alt")
     left, right = F.substr("_w", F.lit(1), F.lit(1)), F.substr("_w", F.lit(3), F.lit(1))
     if rev:
@@ -203,19 +252,18 @@ def identify_variants(tbv: DataFrame, wanted: DataFrame, out: str, keys: tuple[s
     return tbv.join(listed, list(keys), "left").withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def segment_edit_distance(reads: DataFrame, exons: DataFrame, chunks: DataFrame, key: str, flank: int = FLANK) -> DataFrame:
+def segment_edit_distance(reads: DataFrame, exons: DataFrame, chunks: DataFrame, key: str, chunk: int = CHUNK) -> DataFrame:
     """Edit distance per exon between the reference and the next stretch of the read.
 
     ``reads`` (key, seq), ``exons`` (key, chrom, exon_num, start_pos, end_pos): the exons of a
-    read are few, so the running length is a narrow window.
+    read are few, so the running length is a narrow window.  Exons may be of any length.
     """
     from pyspark.sql import Window
 
     size = F.col("end_pos") - F.col("start_pos") + 1
     order = Window.partitionBy(key).orderBy("exon_num").rowsBetween(Window.unboundedPreceding, -1)
-    placed = exons.withColumn("_used", F.coalesce(F.sum(size).over(order), F.lit(0))).withColumn("pos", F.col("start_pos"))
-    ref = with_window(placed, chunks, 0, flank, "_w")
+    placed = exons.withColumn("_used", F.coalesce(F.sum(size).over(order), F.lit(0)))
+    ref = with_span(placed, chunks, "start_pos", "end_pos", "_w", chunk)
     both = ref.join(reads.select(key, F.col("seq").alias("_read")), key)
     part = F.substr("_read", (F.col("_used") + 1).cast("int"), size.cast("int"))
-    segment = F.substr("_w", F.lit(1), size.cast("int"))
-    return both.withColumn("distance", F.levenshtein(segment, part)).drop("_used", "_w", "_read", "pos")
+    return both.withColumn("distance", F.levenshtein(F.col("_w"), part)).drop("_used", "_w", "_read")

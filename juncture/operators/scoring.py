@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from juncture.functions.columns import KEY, attach
 from juncture.functions.sequence import kmers, reverse_complement
-from juncture.operators.reference import CHUNK, FLANK, check_reference, with_window
+from juncture.operators.reference import CHUNK, FLANK, check_reference, with_span, with_window
 
 CHANGE = "struct<pos:int,ref:string,alt:string>"
 
@@ -21,12 +21,13 @@ CHANGE = "struct<pos:int,ref:string,alt:string>"
 
 
 def _apply(seq: Column, changes: Column, center: Column, half: int, same_length: bool) -> Column:
-    """Apply changes, given in order, to a window around a position; checks every reference base."""
+    """Apply changes, given in order, to a window around a position; checks every reference base that isn't masked."""
 
     def step(acc: Column, c: Column) -> Column:
         at = c["pos"] - center + half + 1
         here = F.upper(F.substr(acc, at, F.length(c["ref"])))
-        ok = (here == F.upper(c["ref"])) & ((F.length(c["ref"]) == F.length(c["alt"])) | F.lit(not same_length))
+        # masked bases are N and go with anything
+        ok = F.rlike(F.upper(c["ref"]), F.concat(F.lit("^"), F.translate(here, "N", "."), F.lit("$"))) & ((F.length(c["ref"]) == F.length(c["alt"])) | F.lit(not same_length))
         changed = F.concat(F.substr(acc, F.lit(1), at - 1), c["alt"], F.substr(acc, at + F.length(c["ref"])))
         return F.when(ok, changed).otherwise(F.raise_error(F.concat(F.lit("reference mismatch at "), c["pos"].cast("string"))))
 
@@ -109,11 +110,11 @@ def motif_score_exon(
 
 
 def wt_binding(tbv: DataFrame, chunks: DataFrame, motifs: DataFrame, k: int, stem: str) -> DataFrame:
-    """Mean score of the k k-mers that start before each position, away from the ends of the table."""
-    bounds = tbv.agg((F.min("pos") + k + 1).alias("_lo"), (F.max("pos") - k).alias("_hi"))
+    """Mean score of the k k-mers that start before each position, away from the ends of its contig in the table."""
+    bounds = tbv.groupBy("chrom").agg((F.min("pos") + k + 1).alias("_lo"), (F.max("pos") - k).alias("_hi"))
     keep = [c for c in ("ref", "hgvs_pos") if c in tbv.columns]
     sites = tbv.groupBy("chrom", "pos").agg(*[F.min(c).alias(c) for c in keep])
-    sites = attach(sites, bounds).filter(F.col("pos").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    sites = sites.join(bounds, "chrom").filter(F.col("pos").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
     windows = with_window(sites, chunks, k, k - 2, "_wt").withColumn("_snv", F.lit(None).cast("string"))
     out = _score_kmers(windows, ["chrom", "pos"], motifs, k, "mean", stem)
     return sites.join(out.select("chrom", "pos", F.col(f"{stem}_wtMEAN").alias(f"{stem}_WT")), ["chrom", "pos"])
@@ -206,11 +207,16 @@ def flagged_site_scores(tbv: DataFrame, chunks: DataFrame, flags: dict[str, tupl
     return df
 
 
-def scan_windows(tbv: DataFrame, chunks: DataFrame, size: int, rev: bool = False, longest: int = 64) -> DataFrame:
-    """Every scored window over a variant, before and after it (key, step, wt, var); handles indels."""
+def scan_windows(tbv: DataFrame, chunks: DataFrame, size: int, rev: bool = False) -> DataFrame:
+    """Every scored window over a variant, before and after it (key, step, wt, var); handles indels of any length."""
     left = size + 1
-    right = min(size + longest, FLANK)
-    df = check_reference(with_window(tbv.select(*KEY), chunks, left, right, "_w"), "_w", left)
+    # what lies in a chunk's flank is one lookup; longer reference alleles are put together from their chunks
+    within = F.length("ref") + size <= FLANK
+    keys = tbv.select(*KEY)
+    near = with_window(keys.filter(within), chunks, left, FLANK, "_w")
+    far = keys.filter(~within).withColumns({"_from": F.col("pos") - left, "_to": F.col("pos") + F.length("ref") + size})
+    far = with_span(far, chunks, "_from", "_to", "_w").select(*near.columns)
+    df = check_reference(near.unionByName(far), "_w", left)
     r, a = F.length("ref"), F.length("alt")
     first, last = a - r, F.lit(size) - r - 2
     df = df.filter(first <= last).withColumn("step", F.explode(F.sequence(first, last)))

@@ -252,7 +252,7 @@ def _(t):
     return A.merge_clinical(t("fx_scores").withColumnRenamed("pos", "hg19_pos"), t("fx_clinical"), HG)
 
 
-_TBV = "(select * from fx_tbv where sample = 'S0')"
+_TBV = "fx_tbv"
 
 
 @query("merge_scores", f"{KEYS} sample:s wmean_skip:d score_a:d score_b:d",
@@ -261,10 +261,10 @@ def _(t):
     return A.merge_scores(t("fx_tbv"), t("fx_scores").filter("score_b > -1.5"), ["chrom", *VAR])
 
 
-@query("merge_splice_scores_full", f"{KEYS} wmean_skip:d score_b:d",
+@query("merge_splice_scores_full", f"{KEYS} sample:s wmean_skip:d score_b:d",
        f"select v.*, s.score_b from {_TBV} v left join (select * from fx_scores where score_b < 1.2) s on {_J.format('v')}")
 def _(t):
-    return A.merge_splice_scores_full(t("fx_tbv").filter("sample = 'S0'"), t("fx_scores").filter("score_b < 1.2"))
+    return A.merge_splice_scores_full(t("fx_tbv"), t("fx_scores").filter("score_b < 1.2"))
 
 
 @query("merge_hal", "varlist:s sample:s hal_PSI:d hal_chgPER:d",
@@ -274,12 +274,12 @@ def _(t):
     return A.merge_hal(t("fx_tbv"), hal)
 
 
-@query("merge_squirls", f"{KEYS} squirls_score:d squirls_sdv:b",
+@query("merge_squirls", f"{KEYS} sample:s squirls_score:d squirls_sdv:b",
        f"select v.*, s.score_a as squirls_score, case when s.pos is not null then s.score_a >= 0.5 end as squirls_sdv from {_TBV} v left join (select * from fx_scores where score_b < 0.5) s on {_J.format('v')}")
 def _(t):
     sq = t("fx_scores").selectExpr("pos", "ref", "alt", "score_a as squirls_score", "case when score_a >= 0.5 then 'pathogenic' else 'neutral' end as interpretation",
                                    "case when score_b < 0.5 then 'NM_1.2' else 'NM_7.1' end as tx_accession")
-    return A.merge_squirls(t("fx_tbv").filter("sample = 'S0'"), sq, VAR, "NM_1")
+    return A.merge_squirls(t("fx_tbv"), sq, VAR, "NM_1")
 
 
 def _spidex(t):
@@ -300,22 +300,22 @@ def _(t):
     return A.merge_spidex(by_variant, region.select("chrom", *HG, F.col("spanr_chgPER_tissue").alias("region_only")))
 
 
-@query("merge_mmsplice", f"{KEYS} mmsplice_chgPERlogit:d mmsplice_pathogen:d mmsplice_eff:d mmsplice_trans:s",
+@query("merge_mmsplice", f"{KEYS} sample:s mmsplice_chgPERlogit:d mmsplice_pathogen:d mmsplice_eff:d mmsplice_trans:s",
        f"""select v.*, s.score_a + 0.5 as "mmsplice_chgPERlogit", s.score_b as mmsplice_pathogen, s.score_a as mmsplice_eff, case when s.pos is not null then 'T1.3' end as mmsplice_trans
        from {_TBV} v left join (select * from fx_scores where score_a > 0.2) s on {_J.format('v')}""")
 def _(t):
     mm = t("fx_scores").filter("score_a > 0.2").withColumn("k", F.explode(F.array(F.lit(0.0), F.lit(0.5))))
     mm = mm.selectExpr("pos", "ref", "alt", "score_a + k as delta_logit_psi", "score_b - k as pathogenicity", "score_a as efficiency", "'T1.3' as transcript_id")
     other = mm.withColumn("transcript_id", F.lit("T2.1"))
-    return A.merge_mmsplice(t("fx_tbv").filter("sample = 'S0'"), mm.union(other), VAR, "T1")
+    return A.merge_mmsplice(t("fx_tbv"), mm.union(other), VAR, "T1")
 
 
-@query("merge_cadd", f"{KEYS} cadd_raw:d cadd_scaled:d",
+@query("merge_cadd", f"{KEYS} sample:s cadd_raw:d cadd_scaled:d",
        f"select v.*, s.score_a + 1 as cadd_raw, s.score_b as cadd_scaled from {_TBV} v left join (select * from fx_scores where score_a > 0.15) s on {_J.format('v')}")
 def _(t):
     cadd = t("fx_scores").filter("score_a > 0.15").withColumn("k", F.explode(F.array(F.lit(0.5), F.lit(1.5))))
     cadd = cadd.selectExpr("pos as Pos", "ref as Ref", "alt as Alt", "score_a + k as RawScore", "score_b as PHRED")
-    return A.merge_cadd(t("fx_tbv").filter("sample = 'S0'"), cadd, VAR)
+    return A.merge_cadd(t("fx_tbv"), cadd, VAR)
 
 
 _TRAIN = "exists (select 1 from fx_freq_v3 f where f.pos = s.pos and f.ref = s.ref and f.alt = s.alt)"
@@ -354,11 +354,11 @@ def _(t):
     return A.branchpoint_max(A.branchpoint_delta(_bp(t)))
 
 
-@query("merge_branchpoint", "hg19_pos:i ref:s alt:s wmean_skip:d DBP_max:d DBP_event:s DBP_POS_max:i wt_prob:d",
-       f"""select coalesce(v.pos, b.hg19_pos) as hg19_pos, coalesce(v.ref, b.ref) as ref, coalesce(v.alt, b.alt) as alt, v.wmean_skip, "DBP_max", "DBP_event", "DBP_POS_max", (coalesce(v.pos, b.hg19_pos) % 10) / 1e1 as wt_prob
+@query("merge_branchpoint", "hg19_pos:i ref:s alt:s sample:s wmean_skip:d DBP_max:d DBP_event:s DBP_POS_max:i wt_prob:d",
+       f"""select coalesce(v.pos, b.hg19_pos) as hg19_pos, coalesce(v.ref, b.ref) as ref, coalesce(v.alt, b.alt) as alt, v.sample, v.wmean_skip, "DBP_max", "DBP_event", "DBP_POS_max", (coalesce(v.pos, b.hg19_pos) % 10) / 1e1 as wt_prob
        from {_TBV} v full join {_BMAX} b on b.hg19_pos = v.pos and b.ref = v.ref and b.alt = v.alt""")
 def _(t):
-    v = t("fx_tbv").filter("sample = 'S0'").withColumnRenamed("pos", "hg19_pos").select(*HG, "wmean_skip")
+    v = t("fx_tbv").withColumnRenamed("pos", "hg19_pos").select(*HG, "sample", "wmean_skip")
     wt = t("fx_base").selectExpr("pos as test_site", "(pos % 10) / 1e1 as branchpoint_prob")
     out = A.merge_branchpoint(v, A.branchpoint_max(A.branchpoint_delta(_bp(t))))
     return A.merge_wt_branchpoint(out, wt).withColumnRenamed("bp_wt_prob", "wt_prob")
@@ -396,12 +396,12 @@ def _(t):
     return A.bpp_max(A.bpp_delta(_bpp(t), _bpp_wt(t)), 3000)
 
 
-@query("merge_bpp", "hg19_pos:i ref:s alt:s wmean_skip:d DS_zsc_max:d DS_zsc_POS_max:i zbpp_wt:d",
-       f"""with m as (select coalesce(v.pos, b.hg19_pos) as hg19_pos, coalesce(v.ref, b.ref) as ref, coalesce(v.alt, b.alt) as alt, v.wmean_skip, b."DS_zsc_max", b."DS_zsc_POS_max"
+@query("merge_bpp", "hg19_pos:i ref:s alt:s sample:s wmean_skip:d DS_zsc_max:d DS_zsc_POS_max:i zbpp_wt:d",
+       f"""with m as (select coalesce(v.pos, b.hg19_pos) as hg19_pos, coalesce(v.ref, b.ref) as ref, coalesce(v.alt, b.alt) as alt, v.sample, v.wmean_skip, b."DS_zsc_max", b."DS_zsc_POS_max"
          from {_TBV} v full join {_bpp_max('zsc', True)} b on b.hg19_pos = v.pos and b.ref = v.ref and b.alt = v.alt)
-       select coalesce(m.hg19_pos, 3000 + w.bp_pos) as hg19_pos, ref, alt, wmean_skip, "DS_zsc_max", "DS_zsc_POS_max", w.zsc as zbpp_wt from m full join {_BWT} w on 3000 + w.bp_pos = m.hg19_pos""")
+       select coalesce(m.hg19_pos, 3000 + w.bp_pos) as hg19_pos, ref, alt, sample, wmean_skip, "DS_zsc_max", "DS_zsc_POS_max", w.zsc as zbpp_wt from m full join {_BWT} w on 3000 + w.bp_pos = m.hg19_pos""")
 def _(t):
-    v = t("fx_tbv").filter("sample = 'S0'").withColumnRenamed("pos", "hg19_pos").select(*HG, "wmean_skip")
+    v = t("fx_tbv").withColumnRenamed("pos", "hg19_pos").select(*HG, "sample", "wmean_skip")
     wt = _bpp_wt(t)
     out = A.merge_bpp(v, A.bpp_max(A.bpp_delta(_bpp(t), wt), 3000, rev=True))
     return A.merge_bpp_wt(out, wt, 3000, rev=True)

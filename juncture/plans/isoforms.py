@@ -25,10 +25,10 @@ def _(t):
 
 @query("append_unmapped_total", "sample:s isoform:s read_count:i",
        f"""select sample, isoform, case isoform when 'unmapped' then (select max(n) from (select mate, count(*) as n from fx_mates m
-         where m.sample = c.sample and (flag // 4) % 2 = 1 and (mate = 1 or pos < 1303) group by mate)) else read_count end as read_count from {_COUNTS} c""")
+         where m.sample = c.sample and (flag // 4) % 2 = 1  group by mate)) else read_count end as read_count from {_COUNTS} c""")
 def _(t):
     lost = t("fx_mates").filter(RD.flag(0x4))
-    return I.append_unmapped_total(_counts(t), lost.filter("mate = 1"), lost.filter("mate = 2 and pos < 1303"))
+    return I.append_unmapped_total(_counts(t), lost.filter("mate = 1"), lost.filter("mate = 2"))
 
 
 _WIDE = ", ".join(f"coalesce(sum(case when sample = '{s}' then read_count end), 0) as \"{s}_read_count\"" for s in SAMPLES)

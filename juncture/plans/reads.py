@@ -98,7 +98,7 @@ def _(t):
     return n.withColumn("isoform", isoform_text("isoform"))
 
 
-_VEC = "(select substr(repeat(string_agg(base, '' order by pos), 20), 1, 4000) as v from fx_base)"
+_VEC = "(select repeat(string_agg(base, '' order by pos), 20) as v from fx_base)"
 
 
 @query("repair_constant_junctions", "qname:s mate:i blocks:s",
@@ -117,7 +117,7 @@ _VEC = "(select substr(repeat(string_agg(base, '' order by pos), 20), 1, 4000) a
        select qname, mate, {text_sql('nb')} as blocks from o""")
 def _(t):
     bases = t("fx_base").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "").alias("s"))
-    vector = bases.select(F.substr(F.repeat("s", F.lit(20)), F.lit(1), F.lit(4000)).alias("seq"))
+    vector = bases.select(F.repeat("s", F.lit(20)).alias("seq"))
     m = t("fx_mates").withColumn("blocks", RD.cigar_to_blocks("pos", "cigar"))
     return RD.repair_constant_junctions(m, vector, CNST).withColumn("blocks", isoform_text("blocks"))
 
@@ -136,13 +136,12 @@ def _(t):
 
 @query("compare_aligners", "barcode:s qname:s a_prim_cigar:s a_alt_cigar:s b_prim_cigar:s b_alt_cigar:s same_primary:b",
        """with a as (select barcode, qname, max(case when u or not s then c end) as a_prim_cigar, max(case when not u and s then c end) as a_alt_cigar from
-         (select barcode, qname, (flag // 4) % 2 = 1 as u, (flag // 256) % 2 = 1 as s, case when (flag // 4) % 2 = 1 then '*' else cigar end as c from fx_mates where mate = 1) group by 1, 2),
+         (select barcode, qname, (flag // 4) % 2 = 1 as u, (flag // 256) % 2 = 1 as s, case when (flag // 4) % 2 = 1 then '*' else cigar end as c from fx_mates) group by 1, 2),
        b as (select barcode, qname, max(case when u or hi = 1 then c end) as b_prim_cigar, max(case when not u and (hi is null or hi <> 1) then c end) as b_alt_cigar from
-         (select barcode, qname, hi, (flag // 4) % 2 = 1 as u, case when (flag // 4) % 2 = 1 then '*' else cigar end as c from fx_mates where mate = 1) group by 1, 2)
+         (select barcode, qname, hi, (flag // 4) % 2 = 1 as u, case when (flag // 4) % 2 = 1 then '*' else cigar end as c from fx_mates) group by 1, 2)
        select a.*, b_prim_cigar, b_alt_cigar, coalesce(a_prim_cigar = b_prim_cigar, false) as same_primary from a left join b on a.barcode = b.barcode and a.qname = b.qname""")
 def _(t):
-    one = t("fx_mates").filter("mate = 1")
-    return RD.compare_aligners(one, one)
+    return RD.compare_aligners(t("fx_mates"), t("fx_mates"))
 
 
 @query("read_layout_mode", "kind:s rank:i value:i n:i percent:d low_share:b",

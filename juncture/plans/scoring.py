@@ -33,7 +33,7 @@ _MASKED = f"""(select v.chrom, v.pos, v.ref, v.alt_x as alt, v.pos2, v.alt2, v.b
 
 
 @query("context_windows", f"{KEYS} strand:s ref_seq:s var_seq:s",
-       f"""with m as (select *, concat(repeat('N', cast(lo as bigint)), substr(w, cast(lo + 1 as bigint), cast(41 - lo - ro as bigint)), repeat('N', cast(ro as bigint))) as x from {_MASKED} where lo <= 17 and ro <= 12),
+       f"""with m as (select *, concat(repeat('N', cast(lo as bigint)), substr(w, cast(lo + 1 as bigint), cast(41 - lo - ro as bigint)), repeat('N', cast(ro as bigint))) as x from {_MASKED}),
        b as (select *, concat(substr(x, 1, 18), b2a, substr(x, 20)) as rs from m),
        v as (select *, concat(substr(rs, 1, 20), alt, substr(rs, 22, cast(pos2 - pos - 1 as bigint)), alt2, substr(rs, cast(22 + pos2 - pos as bigint))) as vs from b)
        select chrom, pos, ref, alt, strand, case when strand = '-' then {revc('rs')} else rs end as ref_seq, case when strand = '-' then {revc('vs')} else vs end as var_seq from v""")
@@ -45,7 +45,7 @@ def _(t):
         "haplotype": F.array(F.struct(F.col("pos2").alias("pos"), F.col("ref2").alias("ref"), F.col("alt2").alias("alt"))),
         "background": F.array(F.struct((F.col("pos") - 2).alias("pos"), F.col("b2").alias("ref"), F.translate("b2", "ACGT", "CATG").alias("alt"))),
     })
-    out = A.gene_flank_overhang(p, annot(t), 20).filter("left_out <= 17 and right_out <= 12")
+    out = A.gene_flank_overhang(p, annot(t), 20)
     return S.context_windows(out, chunks(t), 20)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +17,12 @@ GRCH37_CONTIGS = {
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a local one only where none is named."""
+    """The folder the cluster names for checkpoints; where none is named, as in tests, one in the warehouse, which tasks share too."""
+    context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="juncture-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return (root or context.getCheckpointDir()).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
