@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from juncture.functions.columns import attach
 from juncture.sources.sinks import shared_folder
 
 BUCKETS = 256
@@ -27,10 +28,19 @@ def number_rows(df: DataFrame, order: list[Column], out: str = "n") -> DataFrame
     return numbered.withColumn(out, F.col("_before") + F.col("_i")).drop("_part", "_i", "_before")
 
 
-def split_points(df: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]:
-    """At most ``buckets`` distinct cut values at about equal numbers of rows."""
-    cuts = df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.5 / buckets)
-    return sorted(set(cuts))
+def with_bucket(df: DataFrame, value: str, out: str, buckets: int = BUCKETS) -> DataFrame:
+    """Number of the value's range; ranges have about equal numbers of rows.
+
+    The cut values, at most ``buckets`` numbers, are an aggregate inside the plan, so nothing runs before the
+    result is asked for. A row looks at every sixteenth cut and then at the sixteen after it.
+    """
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    cuts = df.agg(F.array_sort(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), shares, F.lit(4 * buckets)))).alias("_cuts"))
+    every = F.coalesce("_cuts", F.array().cast("array<double>"))
+    cuts = cuts.select(every.alias("_cuts"), F.filter(every, lambda x, i: i % 16 == 15).alias("_coarse"))
+    low = F.size(F.filter("_coarse", lambda x: x <= F.col(value))) * 16
+    fine = F.filter(F.slice("_cuts", low + 1, F.lit(16)), lambda x: x <= F.col(value))
+    return attach(df, cuts).withColumn(out, low + F.size(fine)).drop("_cuts", "_coarse")
 
 
 def with_running(
@@ -44,15 +54,13 @@ def with_running(
 ) -> DataFrame:
     """Running totals over the distinct values of ``value`` within ``keys``.
 
-    ``hist`` has one row per (keys, value).  Values are cut into buckets at fixed split points;
+    ``hist`` has one row per (keys, value).  Values are cut into buckets at split points;
     the totals of the buckets form a small table, and the exact running total inside a bucket
     starts from the total of the buckets before it.  ``below`` names a column for the next lower
     distinct value.
     """
     keys = keys or []
-    cuts = split_points(hist, value, buckets)
-    edges = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
-    bucketed = hist.withColumn("_b", F.size(F.filter(edges, lambda e: e <= F.col(value))))
+    bucketed = with_bucket(hist, value, "_b", buckets)
 
     def order(c: str) -> Column:
         return F.desc(c) if descending else F.asc(c)
