@@ -16,17 +16,21 @@ FORMS = ["raw", "neg", "abs"]
 
 
 def score_histogram(df: DataFrame, truth: str, preds: list[str], keys: list[str] | None = None, forms: list[str] = FORMS) -> DataFrame:
-    """Positives and negatives per distinct score of each predictor and form; missing pairs dropped."""
+    """Positives and negatives per distinct score of each predictor and form; missing pairs dropped.
+
+    Rows are counted once, by their raw score; the other forms follow from that histogram.
+    """
     keys = keys or []
-    make = {"raw": lambda c: c, "neg": lambda c: -c, "abs": F.abs}
-    cells = F.array(
-        *[F.struct(F.lit(p).alias("pred"), F.lit(f).alias("form"), make[f](F.col(p).cast("double")).alias("score")) for p in preds for f in forms]
-    )
+    cells = F.array(*[F.struct(F.lit(p).alias("pred"), F.col(p).cast("double").alias("score")) for p in preds])
     long = df.filter(F.col(truth).isNotNull()).select(*keys, F.col(truth).alias("_t"), F.explode(cells).alias("c"))
     long = long.filter(F.col("c.score").isNotNull()).withColumn("score", F.col("c.score") + 0.0)
-    return long.groupBy(*keys, "c.pred", "c.form", "score").agg(
+    raw = long.groupBy(*keys, F.col("c.pred").alias("pred"), "score").agg(
         F.sum(F.when(F.col("_t"), 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("_t"), 0).otherwise(1)).alias("n")
     )
+    make = {"raw": lambda c: c, "neg": lambda c: -c, "abs": F.abs}
+    each = F.array(*[F.struct(F.lit(f).alias("form"), (make[f](F.col("score")) + 0.0).alias("score")) for f in forms])
+    formed = raw.select(*keys, "pred", F.explode(each).alias("f"), "p", "n").select(*keys, "pred", "f.form", "f.score", "p", "n")
+    return formed.groupBy(*keys, "pred", "form", "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
 
 
 def _with_totals(hist: DataFrame, keys: list[str], below: str | None = None) -> DataFrame:

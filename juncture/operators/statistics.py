@@ -120,16 +120,18 @@ def null_zscore(tbv: DataFrame, stem: str, isos: list[str]) -> DataFrame:
     )
 
 
-def stouffer_z(long: DataFrame, keys: list[str], zcols: list[str], weight: str | None = None) -> DataFrame:
-    """Combine scores over samples: by the number of scores, or by squared weights."""
-    aggs = []
-    for z in zcols:
-        if weight is None:
-            total, scale = F.sum(z), F.sqrt(F.count(z).cast("double"))
-        else:
-            total, scale = F.sum(F.col(z) * F.col(weight)), F.sqrt(F.sum(F.col(weight) * F.col(weight)).cast("double"))
-        aggs.append(ratio(F.coalesce(total, F.lit(0.0)), scale).alias(z))
-    return long.groupBy(*keys).agg(*aggs)
+def stouffer_z(long: DataFrame, keys: list[str], zcols: list[str], weights: DataFrame | None = None, by: str = "sample") -> DataFrame:
+    """Combine scores over samples: by the number of scores, or by weights.
+
+    ``weights`` has one ``weight`` per sample; the squares of all of them scale the sum, also those of samples in which a key is
+    missing.
+    """
+    if weights is None:
+        aggs = [ratio(F.coalesce(F.sum(z), F.lit(0.0)), F.sqrt(F.count(z).cast("double"))).alias(z) for z in zcols]
+        return long.groupBy(*keys).agg(*aggs)
+    scale = weights.agg(F.sqrt(F.sum(F.col("weight") * F.col("weight")).cast("double")).alias("_scale"))
+    sums = long.join(weights.select(by, "weight"), by).groupBy(*keys).agg(*[F.coalesce(F.sum(F.col(z) * F.col("weight")), F.lit(0.0)).alias(z) for z in zcols])
+    return attach(sums, scale).withColumns({z: ratio(z, "_scale") for z in zcols}).drop("_scale")
 
 
 def fold_change(tbv: DataFrame, null_stem: str, test_stem: str, isos: list[str], out: str = "fc_") -> DataFrame:

@@ -87,6 +87,16 @@ def _(t):
     return S.stouffer_z(_scored(t), ["varlist"], ["zwmean_bs_null_skip"]).withColumnRenamed("zwmean_bs_null_skip", "z_skip")
 
 
+@query("stouffer_z_weighted", "varlist:s z_skip:d z_full:d",
+       f"""with w as (select sample, sum(n_bc_passfilt) as w from fx_tbv group by sample)
+       select varlist, coalesce(sum(zwmean_bs_null_skip * w), 0) / (select sqrt(sum(w * w)) from w) as z_skip,
+         coalesce(sum(zwmean_bs_null_full * w), 0) / (select sqrt(sum(w * w)) from w) as z_full from {_Z} z join w on w.sample = z.sample group by varlist""")
+def _(t):
+    weights = t("fx_tbv").groupBy("sample").agg(F.sum("n_bc_passfilt").alias("weight"))
+    names = {f"zwmean_bs_null_{i}": f"z_{i}" for i in PAIR}
+    return S.stouffer_z(_scored(t), ["varlist"], list(names), weights).withColumnsRenamed(names)
+
+
 @query("fold_change", "varlist:s sample:s fc_skip:d fc_full:d", f"select * from {_Z}")
 def _(t):
     return _scored(t)
