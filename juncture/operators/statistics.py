@@ -82,12 +82,21 @@ def bootstrap_null_by_count(
 ) -> DataFrame:
     """Null mean and spread of each variant at its own number of barcodes.
 
-    One result per distinct (sample, count) and a join back.
+    Each bootstrap of a sample is one sequence of draws, as long as the sample's largest count, and its running sums give the mean of
+    every smaller count.  One result per distinct (sample, count) and a join back.
     """
+    draw = draw or hashed_draw()
     counts = tbv.filter(F.col("n_bc_passfilt") > 0).select(by, F.col("n_bc_passfilt").alias("n")).distinct()
-    grid = explode_range(counts.withColumns({"_lo": F.lit(0), "_hi": F.lit(bootstraps - 1)}), "_lo", "_hi", "b").drop("_lo", "_hi")
-    means = _drawn_means(grid, null, isos, draw or hashed_draw(), [by])
-    stats = means.groupBy(by, "n").agg(
+    size = null.groupBy(by).agg(F.count(F.lit(1)).alias("m"))
+    longest = counts.groupBy(by).agg((F.max("n") - 1).cast("int").alias("_last")).join(size, by)
+    grid = explode_range(longest.withColumns({"_lo": F.lit(0), "_hi": F.lit(bootstraps - 1)}), "_lo", "_hi", "b")
+    draws = explode_range(grid.select(by, "m", "b", F.lit(0).alias("_lo"), F.col("_last").alias("_hi")), "_lo", "_hi", "d")
+    draws = draws.select(by, "b", "d", draw(F.lit(0), F.col("b"), F.col("d"), F.col("m")).alias("idx"))
+    cells = [F.col("usable_reads").alias("_u"), *[(F.col("usable_reads") * F.col(f"{i}_psi")).alias(f"_s_{i}") for i in isos]]
+    rows = draws.join(index_rows(null, "barcode", [by]).select(by, "idx", *cells), [by, "idx"])
+    so_far = Window.partitionBy(by, "b").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    means = rows.select(by, "b", (F.col("d") + 1).alias("n"), *[ratio(F.sum(f"_s_{i}").over(so_far), F.sum("_u").over(so_far)).alias(i) for i in isos])
+    stats = means.join(counts, [by, "n"]).groupBy(by, "n").agg(
         *[f(i).alias(f"{n}_bs_null_{i}") for i in isos for n, f in (("wmean", F.avg), ("wstdev", F.stddev_pop))]
     )
     return tbv.join(stats.withColumnRenamed("n", "n_bc_passfilt"), [by, "n_bc_passfilt"], "left")

@@ -24,17 +24,19 @@ _DRAW = "((({n} * 1000003 + b * 7919 + d * 104729) * 48271) % 2147483647) % m"
 
 
 def _bootstrap_sql(boots):
-    return f"""(select sample, n, {', '.join(f'avg(w_{i}) as wmean_bs_null_{i}, stddev_pop(w_{i}) as wstdev_bs_null_{i}' for i in PAIR)} from (
-      select g.sample, n, b, {', '.join(f'sum(usable_reads * {i}_psi) / sum(usable_reads) as w_{i}' for i in PAIR)}
-      from (select s.sample, n, b, d, m, {_DRAW.format(n='n')} as idx from (select distinct sample, n_bc_passfilt as n from fx_long) s
-              join (select sample, count(*) as m from fx_null group by sample) z on s.sample = z.sample, (select unnest(range({boots})) as b) x, lateral (select unnest(range(n)) as d) y) g
-      join {_IDX.format(by='sample', src='fx_null')} i on i.sample = g.sample and i.idx = g.idx group by 1, 2, 3) group by 1, 2)"""
+    """One sequence of draws for each sample and bootstrap; a count takes its beginning."""
+    return f"""(select c.sample, c.n, {', '.join(f'avg(w_{i}) as wmean_bs_null_{i}, stddev_pop(w_{i}) as wstdev_bs_null_{i}' for i in PAIR)} from (
+      select g.sample, b, d, {', '.join(f'sum(usable_reads * {i}_psi) over so_far / sum(usable_reads) over so_far as w_{i}' for i in PAIR)}
+      from (select z.sample, b, d, m, {_DRAW.format(n='0')} as idx from (select sample, count(*) as m from fx_null group by sample) z
+              join (select sample, max(n_bc_passfilt) as hi from fx_long group by sample) h on h.sample = z.sample, (select unnest(range({boots})) as b) x, lateral (select unnest(range(hi)) as d) y) g
+      join {_IDX.format(by='sample', src='fx_null')} i on i.sample = g.sample and i.idx = g.idx window so_far as (partition by g.sample, b order by d)) r
+      join (select distinct sample, n_bc_passfilt as n from fx_long) c on c.sample = r.sample and c.n = r.d + 1 group by 1, 2)"""
 
 
 _BS = " ".join(f"wmean_bs_null_{i}:d wstdev_bs_null_{i}:d" for i in PAIR)
 
 
-def _bootstrapped(t, boots=100):
+def _bootstrapped(t, boots=1000):
     return S.bootstrap_null_by_count(t("fx_null"), t("fx_long"), PAIR, boots, S.arithmetic_draw)
 
 
@@ -51,7 +53,7 @@ def _(t):
 
 
 @query("bootstrap_null_by_count", f"varlist:s sample:s n_bc_passfilt:i {_BS}",
-       f"select l.varlist, l.sample, l.n_bc_passfilt, b.* exclude (sample, n) from fx_long l left join {_bootstrap_sql(100)} b on b.sample = l.sample and b.n = l.n_bc_passfilt")
+       f"select l.varlist, l.sample, l.n_bc_passfilt, b.* exclude (sample, n) from fx_long l left join {_bootstrap_sql(1000)} b on b.sample = l.sample and b.n = l.n_bc_passfilt")
 def _(t):
     return _bootstrapped(t)
 
