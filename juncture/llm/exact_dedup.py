@@ -17,8 +17,8 @@ from juncture.llm.common import ascii_lower
 
 #: Ranges of the sort order; sampled rows for each splitter; characters of the text in a splitter.
 RANGES, SAMPLE_PER_RANGE, HEAD = 64, 64, 32
-#: Rows of a block: what a window buffers in memory before it spills.
-BLOCK_ROWS = 2048
+#: Rows of a block: far below what a window buffers before it spills, and so few that tasks get many blocks each.
+BLOCK_ROWS = 128
 
 
 def _range_of(key: Column, splitters: list[str], low: int, high: int) -> Column:
@@ -66,15 +66,16 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     splitters, common = find_splitters(keyed.select("_key", "_row"), rows)
     subs = max(1, rows // (BLOCK_ROWS * (len(splitters) + 1)))
     salts = max(1, rows // BLOCK_ROWS)
-    hot = F.col("_key").isin(common) if common else F.lit(False)
+    hot = F.col("_key").isin(common)
     placed = keyed.select(
         *own,
         "text_sha256",
         _range_of(F.col("_key"), splitters, 0, len(splitters)).alias("_range"),
         F.pmod(F.xxhash64("text_sha256"), F.lit(subs)).alias("_sub"),
-        F.when(hot, 1 + F.pmod(F.col("_row"), F.lit(salts))).otherwise(0).alias("_salt"),
+        *([F.when(hot, 1 + F.pmod(F.col("_row"), F.lit(salts))).otherwise(0).alias("_salt")] if common else []),
     )
-    block = ["_range", "_sub", "_salt"]
+    # a constant salt would make the windows ask for another partitioning than this one
+    block = ["_range", "_sub", *(["_salt"] if common else [])]
     ident = F.col(id_col)
     first = ident.desc_nulls_last() if keep == "largest" else ident.asc_nulls_last()
     best = F.max(ident) if keep == "largest" else F.min(ident)
