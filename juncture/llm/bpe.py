@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that are merged directly; pieces in each of the two generations that a task remembers; pieces handled at a time.
-LEAF, REMEMBERED, AT_ONCE = 48, 200_000, 1 << 16
+LEAF, REMEMBERED, AT_ONCE = 48, 100_000, 1 << 16
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
