@@ -7,7 +7,8 @@ anchor is sent. That much only says where to look:
 1. Tasks find the anchors of their documents; the hashes that several documents have go back to these documents.
 2. The strings with such anchors are cut out as slices, runs of starts with one anchor, and sent to their anchor. Slices equal in
    full are put together beforehand.
-3. There, slices are dealt over shards, every shard gets the Burrows-Wheeler transform of its bytes, and the transforms are merged
+3. There, starts go whose string can't repeat, because the anchor with the 17 bytes on the string's longer side is in no other
+   document. What is left is dealt over shards, every shard gets the Burrows-Wheeler transform of its bytes, and the transforms are merged
    by refining their interleave: an array with the shard of each suffix, sorted stably by the bytes that precede the suffixes, is
    right for two more bytes after each round. The intervals of suffixes with a common prefix are refined by the same step; after
    50 bytes they are the repeated strings, and the smallest document of an interval covers it in all others.
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from juncture.llm.common import row_blocks, text_buffers
@@ -29,10 +30,14 @@ from juncture.llm.common import row_blocks, text_buffers
 #: Bytes of a string, of an anchor, and grams in a string.
 LENGTH, GRAM = 50, 16
 GRAMS = LENGTH - GRAM + 1
+#: Bytes that a string has at least on one side of its anchor.
+HALF = (LENGTH - GRAM) // 2
 #: Bytes that are hashed at a time; bits of a place in them; bits of an anchor's hash.
 BLOCK, PLACE_BITS = 1 << 18, 20
 #: Bytes of text for each bucket of anchors; bytes of a merge and of each of its shards.
-BUCKET_BYTES, MERGE_BYTES, SHARD_BYTES = 8 << 20, 1 << 18, 1 << 16
+BUCKET_BYTES, MERGE_BYTES, SHARD_BYTES = 2 << 20, 1 << 18, 1 << 16
+#: Documents whose slices a task compares before it sends them.
+DOCS_AT_ONCE = 5000
 NO_ID = (1 << 63) - 1
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -58,44 +63,45 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - reach)], x[width - reach :]) if width > reach else x
 
 
-def anchored_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, end of starts, anchor's hash) of each run of starts with one anchor, at most 2**PLACE_BITS bytes."""
+def anchored_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, end of starts, anchor's hash, anchor's place) of each run of starts with one anchor, at most 2**PLACE_BITS bytes."""
     places = np.uint64((1 << PLACE_BITS) - 1)
     keys = gram_hashes(data) & ~places
     keys |= np.arange(len(keys), dtype=np.uint64)
     least = sliding_min(keys, GRAMS)
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return first, np.append(first[1:], len(least)), least[first] >> np.uint64(PLACE_BITS)
+    return first, np.append(first[1:], len(least)), least[first] >> np.uint64(PLACE_BITS), (least[first] & places).astype(np.int64)
 
 
 def runs_of_rows(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, first start, end of starts, hash) of all rows, block by block; starts count from the row's first byte."""
+    """(row, first start, end of starts, hash, anchor's place) of all rows, block by block; places count from the row's first byte."""
     for low, high in row_blocks(offsets, BLOCK):
         if high - low == 1 and offsets[high] - offsets[low] > 2 * BLOCK:
             # a long text in overlapping pieces
             for at in range(int(offsets[low]), int(offsets[high]) - LENGTH + 1, BLOCK):
-                first, end, key = anchored_runs(data[at : min(at + BLOCK + LENGTH - 1, int(offsets[high]))])
-                yield np.full(len(first), low), first + (at - offsets[low]), end + (at - offsets[low]), key
+                first, end, key, place = anchored_runs(data[at : min(at + BLOCK + LENGTH - 1, int(offsets[high]))])
+                moved = at - offsets[low]
+                yield np.full(len(first), low), first + moved, end + moved, key, place + moved
             continue
         base = offsets[low]
         if offsets[high] - base < LENGTH:
             continue
-        first, end, key = anchored_runs(data[base : offsets[high]])
+        first, end, key, place = anchored_runs(data[base : offsets[high]])
         # cut the runs at the texts' ends and leave out starts of strings that would reach into the next text
         row = np.searchsorted(offsets[low : high + 1] - base, first, "right") - 1
         last = np.searchsorted(offsets[low : high + 1] - base, end - 1, "right") - 1
         whole = row == last
-        parts = [(row[whole], first[whole], end[whole], key[whole])]
+        parts = [(row[whole], first[whole], end[whole], key[whole], place[whole])]
         for i in np.flatnonzero(~whole):
             for r in range(row[i], last[i] + 1):
                 a, b = max(first[i], offsets[low + r] - base), min(end[i], offsets[low + r + 1] - base)
-                parts.append((np.array([r]), np.array([a]), np.array([b]), key[i : i + 1]))
-        row, first, end, key = (np.concatenate(x) for x in zip(*parts))
+                parts.append((np.array([r]), np.array([a]), np.array([b]), key[i : i + 1], place[i : i + 1]))
+        row, first, end, key, place = (np.concatenate(x) for x in zip(*parts))
         end = np.minimum(end, offsets[low + row + 1] - base - LENGTH + 1)
         ok = first < end
-        row, first, end, key = row[ok], first[ok], end[ok], key[ok]
+        row, first, end, key, place = row[ok], first[ok], end[ok], key[ok], place[ok]
         start = offsets[low + row] - base
-        yield row + low, first - start, end - start, key
+        yield row + low, first - start, end - start, key, place - start
 
 
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,12 +111,30 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, so that those of little range compress to little."""
+    return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def packed_sorted(x: np.ndarray) -> bytes:
+    """The same for ascending numbers, as steps."""
+    return packed(np.diff(x.astype(np.int64), prepend=np.int64(0)))
+
+
+def unpacked_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data))
+
+
 def packets(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows), schema)], [n for n, _ in schema])
 
 
 ANCHORS = [("bucket", pa.int32()), ("id", pa.int64()), ("hashes", pa.binary()), ("ids", pa.binary())]
-SLICES = [("bucket", pa.int32())] + [(c, pa.binary()) for c in ("ids", "keys", "starts", "ends", "hashes", "text")]
+SLICES = [("bucket", pa.int32())] + [(c, pa.binary()) for c in ("ids", "keys", "starts", "ends", "places", "hashes", "text")]
 COVERS = [("id", pa.int64()), ("key", pa.int64()), ("first", pa.int64()), ("end", pa.int64())]
 
 
@@ -123,10 +147,11 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            found = list(runs_of_rows(*text_buffers(batch.column("text"))))
+            found = [(row, key) for row, _, _, key, _ in runs_of_rows(*text_buffers(batch.column("text")))]
             if not found:
                 continue
-            row, key = (np.concatenate([x[i] for x in found]) for i in (0, 3))
+            row, key = (np.concatenate(x) for x in zip(*found))
+            del found
             order = np.lexsort((ids[row], key))
             row, key = row[order], key[order]
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[row[1:]] != ids[row[:-1]])])
@@ -138,9 +163,9 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
             order, first = grouped(sent_key % np.uint64(buckets))
             for a, b in zip(first, np.append(first[1:], len(order))):
                 at = order[a:b]
-                # the top bit says that the batch has two documents with it
-                marked = sent_key[at] | (sent_known[at].astype(np.uint64) << np.uint64(63))
-                out.append((int(sent_key[at[0]] % np.uint64(buckets)), None, marked.tobytes(), sent_id[at].tobytes()))
+                # the last bit says that the batch has two documents with it
+                marked = (sent_key[at] << np.uint64(1)) | sent_known[at].astype(np.uint64)
+                out.append((int(sent_key[at[0]] % np.uint64(buckets)), None, packed_sorted(marked), packed(sent_id[at])))
             order, first = grouped(ids[row[several]])
             known_id, known_key = ids[row[several]][order], key[several][order]
             for a, b in zip(first, np.append(first[1:], len(order))):
@@ -158,15 +183,15 @@ def shared_anchors(sent: DataFrame) -> DataFrame:
 
         def told() -> pa.RecordBatch | None:
             key, own = np.concatenate(keys), np.concatenate(ids)
-            known = (key >> np.uint64(63)).astype(bool)
-            key = key & np.uint64((1 << 63) - 1)
+            known, key = (key & 1).astype(bool), key >> 1
             order, first = grouped(key)
             count = np.diff(np.append(first, len(key)))
             low, high = np.minimum.reduceat(own[order], first), np.maximum.reduceat(own[order], first)
             shared = np.repeat((count > 1) & (low != high) | np.logical_or.reduceat(known[order], first), count)
             key, own = key[order][shared], own[order][shared]
             order, first = grouped(own)
-            rows = [(int(own[order[a]]), key[order[a:b]].tobytes()) for a, b in zip(first, np.append(first[1:], len(order)))]
+            own, key, first = own[order], key[order].tobytes(), first.tolist()
+            rows = [(i, key[8 * a : 8 * b]) for i, a, b in zip(own[first].tolist(), first, [*first[1:], len(own)])]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary()))], ["id", "hashes"]) if rows else None
 
         for batch in batches:
@@ -180,8 +205,8 @@ def shared_anchors(sent: DataFrame) -> DataFrame:
                         yield rows
                     keys, ids = [], []
                 bucket = at
-                keys.append(np.frombuffer(hashes, np.uint64))
-                ids.append(np.frombuffer(many, np.int64))
+                keys.append(unpacked_sorted(hashes))
+                ids.append(unpacked(many))
             if passed:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*passed), (pa.int64(), pa.binary()))], ["id", "hashes"])
         if keys and (rows := told()) is not None:
@@ -198,14 +223,14 @@ def slices(docs: DataFrame, buckets: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, DOCS_AT_ONCE) for whole in batches for i in range(0, len(whole), DOCS_AT_ONCE)):
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key"))
             offsets, data = text_buffers(batch.column("text"))
-            told = [np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in lists])) if lists else np.zeros(0, np.uint64) for lists in batch.column("told").to_pylist()]
+            told = [np.unique(np.frombuffer(b"".join(lists or []), np.uint64)) for lists in batch.column("told").to_pylist()]
             raw = memoryview(data)
             best: dict[bytes, int] = {}
             found, covered, order = [], [], []
-            for row, first, end, key in runs_of_rows(offsets, data):
+            for row, first, end, key, place in runs_of_rows(offsets, data):
                 start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else []
                 hit = np.zeros(len(row), bool)
                 for a, b in zip(start, np.append(start[1:], len(row))):
@@ -214,10 +239,10 @@ def slices(docs: DataFrame, buckets: int) -> DataFrame:
                         at = np.minimum(np.searchsorted(own, key[a:b]), len(own) - 1)
                         hit[a:b] = own[at] == key[a:b]
                 if hit.any():
-                    order.append((row[hit], first[hit], end[hit], key[hit]))
+                    order.append((row[hit], first[hit], end[hit], key[hit], place[hit]))
             if not order:
                 continue
-            row, first, end, key = (np.concatenate(x) for x in zip(*order))
+            row, first, end, key, place = (np.concatenate(x) for x in zip(*order))
             low = (offsets[row] + first).tolist()
             high = (offsets[row] + end + (LENGTH - 1)).tolist()
             own = ids[row].tolist()
@@ -234,16 +259,18 @@ def slices(docs: DataFrame, buckets: int) -> DataFrame:
             found = np.array(sorted({*found, *best.values()} - set(covered)), np.int64)
             out = []
             for at, with_text in ((found, True), (np.array(covered, np.int64), False)):
-                place, start = grouped(key[at] % np.uint64(buckets))
-                at = at[place]
+                # by bucket, and by anchor inside: slices of one anchor are alike
+                at = at[np.argsort(key[at], kind="stable")]
+                by_bucket, start = grouped(key[at] % np.uint64(buckets))
+                at = at[by_bucket]
                 for a, b in zip(start, np.append(start[1:], len(at))):
                     some = at[a:b]
-                    cells = [x.tobytes() for x in (ids[row[some]], keys[row[some]], first[some], end[some], key[some])]
+                    cells = [packed(x) for x in (ids[row[some]], keys[row[some]], first[some], end[some] - first[some], place[some] - first[some])]
                     text = b"".join(bytes(raw[low[i] : high[i]]) for i in some.tolist()) if with_text else None
-                    out.append((int(key[some[0]] % np.uint64(buckets)), *cells, text))
+                    out.append((int(key[some[0]] % np.uint64(buckets)), *cells, packed_sorted(key[some]), text))
             yield packets(SLICES, out)
 
-    return docs.mapInArrow(run, "bucket int, ids binary, keys binary, starts binary, ends binary, hashes binary, text binary")
+    return docs.mapInArrow(run, "bucket int, ids binary, keys binary, starts binary, ends binary, places binary, hashes binary, text binary")
 
 
 def shard_order(text: np.ndarray) -> np.ndarray:
@@ -254,7 +281,7 @@ def shard_order(text: np.ndarray) -> np.ndarray:
         key = (key << np.uint64(8)) | np.roll(text, -i)
     step = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
@@ -274,10 +301,12 @@ def merged_intervals(texts: list[np.ndarray], length: int = LENGTH) -> list[np.n
     orders = [shard_order(t) for t in texts]
     preceding = np.concatenate([(np.roll(t, 2)[o].astype(np.uint16) << np.uint16(8)) | np.roll(t, 1)[o] for t, o in zip(texts, orders)])
     shard = np.repeat(np.arange(len(texts), dtype=np.uint16 if len(texts) > 255 else np.uint8), [len(t) for t in texts])
+    parts = np.split(preceding, np.cumsum([len(t) for t in texts])[:-1])
     interval = np.zeros(len(shard), np.int32)
     for _ in range(0, length, 2):
         merged = np.empty_like(preceding)
-        merged[np.argsort(shard, kind="stable")] = preceding
+        for number, part in enumerate(parts):
+            merged[shard == number] = part
         order = np.argsort(merged, kind="stable")
         shard, behind, pair = shard[order], interval[order], merged[order]
         interval[0] = 0
@@ -315,9 +344,39 @@ def covered_starts(texts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     return np.split(own > least[number], np.cumsum(starts)[:-1])
 
 
-def solve(cells: list[tuple[np.ndarray, ...]], texts: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
+def halves_in_two_documents(
+    data: np.ndarray, begin: np.ndarray, first: np.ndarray, end: np.ndarray, place: np.ndarray, hashes: np.ndarray, ids: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of each slice, narrowed to those whose string can be in another document.
+
+    A string reaches HALF bytes or more to the left or to the right of its anchor. So it can only repeat if the anchor
+    with HALF bytes on that side does, which is looked up by hash among the slices of the anchor.
+    """
+    grams = gram_hashes(data)
+
+    def shared(at: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Which of the slices have the HALF + GRAM bytes from ``at`` on in common with another document."""
+        out = np.zeros(len(first), bool)
+        i = np.flatnonzero(which)
+        if len(i):
+            x = at[i]
+            mark = ((grams[x] * _ODD) ^ grams[x + HALF]) * _ODD ^ data[x + GRAM].astype(np.uint64) ^ (hashes[i].astype(np.uint64) << np.uint64(20))
+            order, start = grouped(mark)
+            own = ids[i][order]
+            several = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)
+            out[i[order]] = np.repeat(several, np.diff(np.append(start, len(i))))
+        return out
+
+    middle = place - HALF
+    left = shared(begin + (middle - first), first <= middle)
+    right = shared(begin + (place - first), end - 1 >= middle)
+    low = np.where(left, first, np.maximum(first, middle))
+    high = np.where(right, end, np.minimum(end, middle + 1))
+    return low, np.where(left | right, high, low)
+
+
+def solve(ids: np.ndarray, keys: np.ndarray, first: np.ndarray, end: np.ndarray, texts: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
     """Covered runs (id, key, first, end) of the slices of one merge."""
-    ids, keys, first, end = (np.concatenate(x) for x in list(zip(*cells))[:4])
     least: dict[bytes, int] = {}
     own = ids.tolist()
     for text, i in zip(texts, own):
@@ -341,21 +400,25 @@ def covers(sent: DataFrame) -> DataFrame:
 
     def merges(held: list[tuple[np.ndarray, ...]], texts: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
         """Slices by anchor, so many anchors at a time that their bytes make one merge."""
-        ids, keys, first, end, hashes = (np.concatenate(x) for x in zip(*held))
-        sizes = end - first + (LENGTH - 1)
-        begin = np.cumsum(sizes) - sizes
+        ids, keys, first, end, place, hashes = (np.concatenate(x) for x in zip(*held))
         whole = b"".join(texts)
+        begin = np.cumsum(end - first + (LENGTH - 1)) - (end - first + (LENGTH - 1))
+        low, high = halves_in_two_documents(np.frombuffer(whole, np.uint8), begin, first, end, place, hashes, ids)
+        at = np.flatnonzero(low < high)
+        begin, ids, keys, hashes = begin[at] + (low - first)[at], ids[at], keys[at], hashes[at]
+        first, end = low[at], high[at]
+        sizes = end - first + (LENGTH - 1)
         order, start = grouped(hashes)
         total = np.cumsum(sizes[order])
+        bounds = np.append(start[1:], len(order))
         a = 0
         while a < len(order):
+            # whole anchors, as many as MERGE_BYTES hold, one at least
             limit = (total[a - 1] if a else 0) + MERGE_BYTES
-            stop = np.searchsorted(total[start[1:] - 1], limit, "right") if len(start) > 1 else 0
-            b = int(start[stop]) if stop < len(start) else len(order)
-            if b <= a:
-                b = int(start[np.searchsorted(start, a, "right")]) if a < start[-1] else len(order)
-            at = order[a:b]
-            yield from solve([(ids[at], keys[at], first[at], end[at])], [whole[x : x + n] for x, n in zip(begin[at].tolist(), sizes[at].tolist())])
+            fit = bounds[(bounds > a) & (total[bounds - 1] <= limit)] if len(bounds) < 64 else bounds[np.searchsorted(bounds, a, "right") : np.searchsorted(total[bounds - 1], limit, "right")]
+            b = int(fit[-1]) if len(fit) else int(bounds[np.searchsorted(bounds, a, "right")])
+            some = order[a:b]
+            yield from solve(ids[some], keys[some], first[some], end[some], [whole[x : x + n] for x, n in zip(begin[some].tolist(), sizes[some].tolist())])
             a = b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,15 +426,15 @@ def covers(sent: DataFrame) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for at, *numbers, text in zip(*(batch.column(c).to_pylist() for c, _ in SLICES)):
-                ids, keys, first, end = (np.frombuffer(x, np.int64) for x in numbers[:4])
+                ids, keys, first, length, place = (unpacked(x) for x in numbers[:5])
                 if text is None:
-                    rows.extend(zip(ids.tolist(), keys.tolist(), first.tolist(), end.tolist()))
+                    rows.extend(zip(ids.tolist(), keys.tolist(), first.tolist(), (first + length).tolist()))
                     continue
                 if at != bucket and texts:
                     rows.extend(merges(held, texts))
                     held, texts = [], []
                 bucket = at
-                held.append((ids, keys, first, end, np.frombuffer(numbers[4], np.uint64)))
+                held.append((ids, keys, first, first + length, first + place, unpacked_sorted(numbers[5])))
                 texts.append(text)
             if rows:
                 yield packets(COVERS, rows)
@@ -392,16 +455,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     buckets = max(16, int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
-    keyed = rows.withColumn("key", F.xxhash64("text")).repartition("id")
+    # texts of one identifier are told apart by their rank, which costs a shuffle nothing
+    nth = Window.partitionBy("id").orderBy("_text")
+    keyed = rows.withColumn("_text", F.xxhash64("text")).repartition("id").withColumn("key", F.dense_rank().over(nth).cast("long")).drop("_text")
     told = shared_anchors(anchors(rows, buckets)).groupBy("id").agg(F.collect_list("hashes").alias("told"))
     # copies of a smaller document are covered as a whole
-    prints = rows.filter(F.octet_length("text") >= LENGTH).select("id", F.sha2("text", 256).alias("_sha"), F.xxhash64("text").alias("key"))
+    prints = rows.filter(F.octet_length("text") >= LENGTH).select("id", F.sha2("text", 256).alias("_sha"))
     least = prints.groupBy("_sha").agg(F.min("id").alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    copies = prints.join(least, "_sha").filter("id > _least").groupBy("id").agg(F.collect_set("key").alias("copied"))
+    copies = prints.join(least, "_sha").filter("id > _least").groupBy("id").agg(F.collect_set("_sha").alias("copied"))
+    is_copy = F.col("copied").isNotNull() & F.array_contains("copied", F.sha2("text", 256))
 
-    asked = keyed.join(told, "id").join(copies, "id", "left").filter(~F.coalesce(F.array_contains("copied", F.col("key")), F.lit(False)))
+    asked = keyed.join(told, "id").join(copies, "id", "left").filter(~is_copy)
     found = covers(slices(asked.select("id", "key", "text", "told"), buckets)).groupBy("id").agg(F.collect_list(F.struct("key", "first", "end")).alias("covers"))
-    joined = keyed.join(found, "id", "left").join(copies, "id", "left").select("id", "key", "text", "covers", F.coalesce(F.array_contains("copied", F.col("key")), F.lit(False)).alias("copy"))
+    joined = keyed.join(found, "id", "left").join(copies, "id", "left").select("id", "key", "text", "covers", is_copy.alias("copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
