@@ -147,6 +147,10 @@ class PageLines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.skip:
+            # inside a line, what is left out is a gap between words
+            self.parts.append(" ")
+            return
         self.parts.append(data)
         if self.in_link:
             self.links += len(data)

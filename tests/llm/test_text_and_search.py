@@ -132,6 +132,16 @@ def test_html_main_text(holder):
     assert html.main_text(FRAME.format(holder.format(BODY))) == "\n\n".join(WANT)
 
 
+LINE = "A sentence of the text that goes on for a while, long enough to be dense."
+
+
+@pytest.mark.parametrize("tag", ["script", "style", "button", "noscript", "select", "textarea", "iframe", "svg"])
+def test_html_inline_elements_without_content(tag):
+    bad = f"<{tag}>track(1);</{tag}>"
+    assert html.main_text(f"<article><p>One.</p>{bad}<p>Two {bad} x.</p>{bad}</article>") == "One.\n\nTwo x."
+    assert html.main_text('<article><p>One <span class="ad">Buy</span> two.</p><span class="ad">Buy</span><p>x</p></article>') == "One two.\n\nx"
+
+
 def test_html_edge_cases(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "plain  text"), (4, "u", "<article><p>cut off here<p>and he<b"), (5, "u", "<script>only code"), (None, "u", "<p>" * 5000 + "deep"), (7, "u", "<article><p>" + "long text " * 50_000), (7, "u", "<<>><p &#x41;>&bogus; ok</p></div></article>")]
     out = html.extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash")))
