@@ -142,6 +142,30 @@ def test_html_inline_elements_without_content(tag):
     assert html.main_text('<article><p>One <span class="ad">Buy</span> two.</p><span class="ad">Buy</span><p>x</p></article>') == "One two.\n\nx"
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # wrappers with a class word, and a form round the page
+        ('<div class="layout has-sidebar"><article><h1>T</h1><p>{0}</p></article><div class=sidebar><p>Side</p></div></div>', "T|{0}"),
+        ('<div class="sidebar-right"><article><h1>T</h1><p>{0}</p></article><aside>Side</aside></div>', "T|{0}"),
+        ('<div class="social layout"><div><h1>T</h1><p>{0}</p><p>{0}</p></div></div><div class=ad>Buy</div>', "T|{0}|{0}"),
+        ('<div class="post no-comments"><h1>T</h1><p>{0}</p></div><div class="comments"><p>No.</p></div>', "T|{0}"),
+        ("<form action=/><div><h1>T</h1><p>{0}</p></div><footer>Foot</footer></form>", "T|{0}"),
+        # title and intro outside of the densest element; a second container
+        ("<div class=post><h1>T</h1><p>Intro.</p><div class=body><p>{0}</p><p>{0}</p><p>{0}</p></div></div><footer>Foot</footer>", "T|Intro.|{0}|{0}|{0}"),
+        ("<div><div><p>{0}</p><p>{0}</p><p>{0}</p><p>{0}</p><p>{0}</p></div></div><div><p>Last. {0}</p></div><nav>Home</nav>", "{0}|{0}|{0}|{0}|{0}|Last. {0}"),
+        # an article in two parts
+        ("<article><h1>T</h1><p>{0}</p><p>{0}</p></article><div class=ad>Buy</div><article><p>Last. {0}</p></article>", "T|{0}|{0}|Last. {0}"),
+        # these stay out: comments longer than the article, comments as articles, a page of links
+        ("<article><p>{0}</p></article><div id=comments><p>{0}</p><p>{0}</p></div>", "{0}"),
+        ("<div><p>{0}</p><p>{0}</p></div><section class=comments><article><p>{0}</p></article></section>", "{0}|{0}"),
+        ("<div class=nav><a href=/>Home</a></div><nav><a href=/>Home</a></nav>", ""),
+    ],
+)
+def test_html_takes_the_whole_article(page, want):
+    assert html.main_text(page.format(LINE)) == want.format(LINE).replace("|", "\n\n")
+
+
 def test_html_edge_cases(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "plain  text"), (4, "u", "<article><p>cut off here<p>and he<b"), (5, "u", "<script>only code"), (None, "u", "<p>" * 5000 + "deep"), (7, "u", "<article><p>" + "long text " * 50_000), (7, "u", "<<>><p &#x41;>&bogus; ok</p></div></article>")]
     out = html.extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash")))
