@@ -179,21 +179,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     differing bits. Texts without words have fingerprint zero and are linked like any other; so are null texts. Null identifiers
     are never the smallest. Rows repeated with one identifier each get a row. An empty table gives no rows.
     """
-    rows = scratch_table(with_fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text").select("_id", "fp"), "fingerprints")
+    rows, placed = rooted(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
+    least = placed.groupBy("root").agg(F.min("_least").alias("component_id"))
+    answer = placed.join(least, "root").select("fp", "component_id")
+    return rows.join(answer, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+
+
+def rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` (_id, _text and others) with fp in place of the text, and (fp, _least, root): least identifier and component of each fingerprint."""
+    rows = scratch_table(with_fingerprints(docs, "_text").drop("_text"), "fingerprints")
     per_fp = scratch_table(rows.groupBy("fp").agg(F.min("_id").alias("_least")), "distinct-fingerprints")
     found = scratch_table(compare_cells(cell_rows(per_fp.select("fp"), grids(per_fp.count()))), "cell-links")
     crowded = found.filter(F.col("b").isNull()).select("a").distinct()
     roots = components(found.filter(F.col("b").isNotNull()).union(one_bit_links(crowded)))
-
-    placed = per_fp.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("_least").alias("component_id"))
-    answer = placed.join(least, "root").select("fp", "component_id")
-    return rows.join(answer, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    return rows, per_fp.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component: that of the smallest identifier (of rows repeated with it, the first by text)."""
-    keepers = near_duplicates(docs, id_col, text_col).select(F.col("component_id").alias("_keep")).distinct()
-    first = Window.partitionBy(id_col).orderBy(text_col)
-    kept = docs.join(keepers, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+    """One row of each component: that of the smallest identifier, a null one if there is no other (of rows repeated with it, the first by text).
+
+    Rows find their component by identifier and SHA-256 of the text, so neither null nor repeated identifiers mix components.
+    """
+    digest = F.unhex(F.sha2(F.col(text_col).cast("binary"), 256))
+    rows, placed = rooted(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), digest.alias("_digest")))
+    least = placed.groupBy("root").agg(F.min("_least").alias("_keep"))
+    keepers = rows.join(placed.join(least, "root").select("fp", "root", "_keep"), "fp").filter(F.col("_id").eqNullSafe(F.col("_keep")))
+    keepers = keepers.select(F.col("_id").alias("_keep_id"), F.col("_digest").alias("_keep_digest"), F.col("root").alias("_keep_root")).distinct()
+    found = docs.join(keepers, F.col(id_col).eqNullSafe(F.col("_keep_id")) & digest.eqNullSafe(F.col("_keep_digest")))
+    # in a struct a null text counts, as the first
+    first = F.min_by(F.struct(*docs.columns), F.struct(text_col))
+    return found.groupBy("_keep_root").agg(first.alias("_row")).select("_row.*")

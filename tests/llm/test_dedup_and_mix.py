@@ -1,5 +1,6 @@
 """Exact dedup, SimHash, repeated substrings and mixing."""
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -66,6 +67,16 @@ def test_simhash_edge_cases(docs):
     assert all(r.component_id == least.get(root[int(r.fp, 16)]) for r in out)
 
 
+def test_simhash_keeps_one_row_of_each_component(spark):
+    """Unlike texts without an identifier, and unlike texts under one identifier, of which the first is a near copy of another's."""
+    draw = random.Random(4)
+    a, b, c, d, e = (" ".join(f"{draw.getrandbits(40):x}" for _ in range(60)) for _ in range(5))
+    rows = [(None, a, "x"), (None, b, "x"), (None, b + "\n", "x"), (1, c, "x"), (2, c + "\n", "x"), (2, d, "x"), (2, d, "x"), (None, d + " ", "x"), (3, None, "x"), (3, "", "x"), (None, e, "x"), (4, e + " ", "x")]
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, root string"))
+    assert out.columns == ["doc_id", "text", "root"]
+    assert Counter(map(tuple, out.collect())) == Counter([(None, a, "x"), (None, b, "x"), (1, c, "x"), (2, d, "x"), (3, None, "x"), (4, e + " ", "x")])
+
+
 def test_simhash_long_text_in_runs():
     text = " ".join(f"w{i} x" for i in range(3000))
     whole = simhash.fingerprint(text)
