@@ -24,9 +24,9 @@ def with_own_columns(docs: DataFrame, made: list[str], operate: Callable[[DataFr
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told, null texts and those without a letter, go."""
+    """Documents in which the network finds no language go, as do null texts and those without a letter."""
     model = language.fit(docs.filter(fold(F.col("doc_id"), 4) != 2))
-    return with_own_columns(docs, ["_lang_pred", "_score"], lambda d: language.predict(d, model, lang_col="_lang_pred", score_col="_score").filter(F.col("_lang_pred") != language.UNDETERMINED))
+    return with_own_columns(docs, ["_lang_pred", "_score"], lambda d: language.predict(d, model, lang_col="_lang_pred", score_col="_score").filter(language.in_a_language(model, score_col="_score")))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,18 +11,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from juncture.llm.common import text_buffers
 
 #: Bytes of a window; embedding size; filter widths and filters of each.
 WINDOW, EMBED, WIDTHS, FILTERS = 128, 6, (2, 3, 5), 12
-#: Labelled texts of each language that are used for training, at most; languages, at most; passes; windows of a batch.
-TEXTS_EACH, MOST_LANGUAGES, EPOCHS, BATCH = 800, 64, 6, 128
+#: Labelled texts of each language that are used for training, at most; passes; windows of a batch.
+TEXTS_EACH, EPOCHS, BATCH = 800, 6, 128
 #: Windows that are put through the network at a time when predicting.
 AT_ONCE = 256
 UNDETERMINED = "und"
+#: Probability of the best of four languages under which a text of a window or more is in none; with more languages it is less in proportion.
+FLOOR = 0.4
 
 
 class ByteCNN:
@@ -135,10 +137,10 @@ def cut_windows(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndar
 def training_windows(docs: DataFrame, text_col: str, lang_col: str, key: str, most: int) -> list[tuple[bytes, str]]:
     """Two windows, at places drawn by hash, of at most about ``most`` texts of each language."""
     known = docs.filter(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0))
-    sizes = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()
+    sizes = known.groupBy(lang_col).count().collect()
     if not sizes:
         return []
-    share = F.coalesce(*[F.when(F.col(lang_col) == r[0], F.lit(min(1.0, most / r[1]))) for r in sizes])
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], min(1.0, most / r[1]))])[F.col(lang_col)]
     draw = F.xxhash64(F.col(key), F.lit(13))
     picked = known.filter(F.pmod(draw, F.lit(1 << 20)) / float(1 << 20) < share)
     data, n = F.col(text_col).cast("binary"), F.octet_length(text_col)
@@ -153,6 +155,22 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: st
     return train(training_windows(docs, text_col, lang_col, key, most))
 
 
+def has_letter(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
+def in_a_language(model: ByteCNN, text_col: str = "text", score_col: str = "score") -> Column:
+    """Whether a predicted row is in one of the network's languages.
+
+    Texts without a letter aren't, nor those in which the network gives no language ``FLOOR``. A text that is shorter than
+    one window says too little for that and passes, as do all texts with a letter where nothing was learned.
+    """
+    if not model.languages:
+        return has_letter(text_col)
+    floor = FLOOR * min(1.0, 4 / len(model.languages))
+    return has_letter(text_col) & ((F.col(score_col) >= floor) | (F.octet_length(text_col) < WINDOW))
+
+
 def predict(docs: DataFrame, model: ByteCNN, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """All rows and columns plus the language and its probability.
 
@@ -179,7 +197,7 @@ def predict(docs: DataFrame, model: ByteCNN, text_col: str = "text", lang_col: s
             best = mean.argmax(1)
             yield pa.StructArray.from_arrays([pa.array([net.languages[i] for i in best], pa.string()), pa.array(np.clip(mean[np.arange(n), best], 0, 1))], ["lang", "score"])
 
-    lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    lettered = has_letter(text_col)
     out = docs.withColumn("_found", F.when(lettered, F.col(text_col)))
     out = out.withColumn("_found", classified("_found"))
     return (

@@ -370,6 +370,27 @@ def test_pipeline_stages_keep_the_columns_and_the_right_rows(spark, docs):
     assert Counter(map(tuple, at.collect())) == want
 
 
+def test_pipeline_drops_what_the_network_finds_no_language_in(spark):
+    draw = np.random.default_rng(5)
+    alphabets = {"aa": "abcdef", "bb": "ghijkl", "cc": "mnopqr", "dd": "stuvwx"}
+    text = lambda letters, n: "".join(draw.choice([*letters, " "], n))
+    rows = [(i, text(alphabets[lang], 200), lang) for i, lang in enumerate([*alphabets] * 40)]
+    # a window of each alphabet, the same cut short, and no letter
+    mixed = "".join(text(letters, language.WINDOW) for letters in alphabets.values())
+    rows += [(1000, mixed, "aa"), (1001, "".join(mixed[k * language.WINDOW :][:30] for k in range(4)), "aa"), (1002, "123", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "unused").collect()}
+    assert kept == {*range(160), 1001}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, unlabelled, "unused").collect()} == {*range(160), 1000, 1001}
+
+
+def test_language_learns_every_label(spark):
+    many = spark.range(140).selectExpr("id as doc_id", "concat('text ', id) as text", "concat('l', id % 70) as lang")
+    picked = language.training_windows(many, "text", "lang", "doc_id", 800)
+    assert len(picked) == 280 and len({lang for _, lang in picked}) == 70
+
+
 def test_pipeline_of_nothing(spark, none):
     at = none
     for _, stage in corpus_pipeline.STAGES:
