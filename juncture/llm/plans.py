@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juncture.llm import bpe, chat, exact_dedup, html, language, mixing, repeats, simhash, topk, toxicity
+from juncture.llm import bpe, chat, exact_dedup, html, language, mixing, packing, repeats, simhash, spelling, topk, toxicity, whitening
 from juncture.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,19 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), tokenizer("word_bpe_49k.json")[0])
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -94,6 +107,9 @@ QUERIES: dict[str, Query] = {
         op8_byte_bpe,
         op9_simhash_near_dedup,
         op10_exact_top_k,
+        op11_embedding_whitening,
+        op12_spelling_variants,
+        op13_mixture_packing,
     )
 }
 
