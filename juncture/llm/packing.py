@@ -12,7 +12,14 @@ leave off without hearing from them, and documents are cut where they are read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
+import sys
+import types
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,39 +53,93 @@ def drops_white_space(tokenizer) -> bool:
     return all(encode(f"{a}{gap}{b}") == x + y for gap in (*" \t\n\r\x0b\x0c", " \n ") for a, x in zip(samples, apart) for b, y in zip(samples, apart)) and not encode(" \n")
 
 
+#: Fixed values of one family of tokenizer files: how they normalise a text and cut it into pieces before the merges.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUTTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Chunks for which normalising is lower-casing and the cutter is the pattern below: printable ASCII and the letters and signs U+00C0 to U+00FF.
+PLAIN, PIECE = "[!-~\u00c0-\u00ff]+", "'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+"
+
+MARK = "([a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,;:!?])"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it shows, else the next free one from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 def chunk_encoder(text: str, end_id: int):
     """A function from an Arrow array of texts to (tokens of each, little-endian unsigned 32-bit ids of all in a row).
 
-    Distinct chunks between white space go to the tokenizer once per block of texts at most, and are remembered.
+    Distinct chunks between white space are encoded once per block of texts at most. In files of the family above the pieces of a plain
+    chunk go to the tokenizer's merges one by one; all else goes through the whole tokenizer. Pieces, or else chunks, are
+    remembered.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(text)
     apart = drops_white_space(tokenizer)
+    spec = json.loads(text)
+    # the strings of special tokens are looked for before anything else
+    special = [t["content"] for t in spec["added_tokens"]]
+    family = apart and spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == CUTTER and spec["post_processor"] is None
+    merges, plain, cut, letters = tokenizer.model.tokenize, re.compile(PLAIN).fullmatch, re.compile(PIECE).findall, byte_letters()
     known: dict[str, bytes] = {}
     older: dict[str, bytes] = {}
 
-    def ids_of(chunks: list[str]) -> list[bytes]:
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def piece(p: str) -> bytes:
+        found = packed([t.id for t in merges(p if p.isascii() else p.encode().decode("latin-1").translate(letters))])
+        if len(p) <= 64:
+            known[p] = found
+        return found
+
+    def ids_of(chunks: list[str], by_piece: bool) -> list[bytes]:
         nonlocal known, older
-        found = [known.get(c) or older.get(c) for c in chunks]
-        new = [i for i, x in enumerate(found) if x is None]
-        if len(known) + len(new) > REMEMBERED:
+        if len(known) > REMEMBERED:
             known, older = {}, known
-        for start in range(0, len(new), 10_000):
-            part = new[start : start + 10_000]
+        get, get_older = known.get, older.get
+        found: list[bytes | None] = []
+        rest = []
+        for c in chunks:
+            ids = get(c) or get_older(c)
+            if ids is None:
+                if by_piece and plain(c):
+                    ids = b"".join([get(p) or get_older(p) or piece(p) for p in cut(c.lower())])
+                else:
+                    rest.append(len(found))
+            found.append(ids)
+        for start in range(0, len(rest), 10_000):
+            part = rest[start : start + 10_000]
             for i, e in zip(part, tokenizer.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False)):
-                found[i] = np.array(e.ids, "<u4").tobytes()
+                found[i] = packed(e.ids)
                 if len(chunks[i]) <= 64:
                     known[chunks[i]] = found[i]
         return found
 
+    def settled(texts: pa.Array) -> pa.Array:
+        """Texts up to U+00FF in small letters, and with a space between a letter or digit and a mark after it, where pieces part anyway."""
+        marked = pc.replace_substring_regex(pc.ascii_lower(texts), MARK, r"\1 \2")
+        return pc.if_else(pc.match_substring_regex(texts, r"[^\x00-\x{FF}]"), texts, marked)
+
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.fill_null("")
+        by_piece = family and not any(pc.any(pc.match_substring(pc.ascii_lower(texts), x.lower())).as_py() for x in special)
+        texts = settled(texts) if by_piece else texts
         lists = pc.ascii_split_whitespace(texts) if apart else pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32), texts)
         coded = lists.flatten().dictionary_encode()
         edges = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
-        raw = ids_of(coded.dictionary.to_pylist()) + [np.array([end_id], "<u4").tobytes()]
+        raw = [*ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), by_piece), packed([end_id])]
         sizes = np.array([len(x) // 4 for x in raw], np.int64)
         order = np.insert(coded.indices.to_numpy().astype(np.int64), edges[1:], len(raw) - 1)  # the end of each text
         starts, size = np.cumsum(sizes) - sizes, sizes[order]
@@ -105,7 +166,12 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, before, encode = TaskContext.get().partitionId(), {}, chunk_encoder(shared.value, end_id)
+        # one encoder, with what it remembers, for all tasks of a Python worker
+        kept = sys.modules.setdefault("_packing_encoders", types.ModuleType("_packing_encoders")).__dict__
+        key = f"{zlib.crc32(shared.value.encode())}:{len(shared.value)}:{end_id}"
+        if key not in kept:
+            kept[key] = chunk_encoder(shared.value, end_id)
+        part, before, encode = TaskContext.get().partitionId(), {}, kept[key]
         for batch in batches:
             texts = batch.column("_text")
             for i, j in row_blocks(text_buffers(texts)[0], BLOCK_BYTES):
@@ -124,8 +190,6 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """A table in the shared folder, compressed more than usual, because ids take four bytes each."""
-    import uuid
-
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
