@@ -23,7 +23,7 @@ TEXTS_EACH, EPOCHS, BATCH = 800, 6, 128
 #: Windows that are put through the network at a time when predicting.
 AT_ONCE = 256
 UNDETERMINED = "und"
-#: Probability of the best of four languages under which a text of a window or more is in none; with more languages it is less in proportion.
+#: Probability of the best of four languages under which a long text is in none; with more languages it is less in proportion.
 FLOOR = 0.4
 
 
@@ -162,13 +162,17 @@ def has_letter(text_col: str) -> Column:
 def in_a_language(model: ByteCNN, text_col: str = "text", score_col: str = "score") -> Column:
     """Whether a predicted row is in one of the network's languages.
 
-    Texts without a letter aren't, nor those in which the network gives no language ``FLOOR``. A text that is shorter than
-    one window says too little for that and passes, as do all texts with a letter where nothing was learned.
+    Texts without a letter aren't, nor those in which the best language stays under a floor. The floor rises with the evidence, from
+    the probability of a guess for no bytes towards ``FLOOR`` for many; it is half way at one window. All texts with a letter
+    pass where nothing was learned.
     """
     if not model.languages:
         return has_letter(text_col)
-    floor = FLOOR * min(1.0, 4 / len(model.languages))
-    return has_letter(text_col) & ((F.col(score_col) >= floor) | (F.octet_length(text_col) < WINDOW))
+    guess = 1 / len(model.languages)
+    above = max(0.0, FLOOR * min(1.0, 4 * guess) - guess)
+    n = F.octet_length(text_col)
+    # the best probability is a guess's at least, but for rounding
+    return has_letter(text_col) & (F.col(score_col) >= F.lit(guess - 1e-9) + F.lit(above) * n / (n + WINDOW))
 
 
 def predict(docs: DataFrame, model: ByteCNN, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from juncture.llm import packing, spelling, whitening
+from juncture.llm import language, packing, spelling, whitening
 from juncture.llm.plans import QUERIES, tokenizer
 from tests.llm import fixtures as fx
 
@@ -339,3 +339,20 @@ def test_a_tokenizer_that_keeps_white_space_reads_whole_texts():
     counts, ids = packing.chunk_encoder(packing.read_tokenizer(path), 50256)(pa.array(["a  b\n c", ""]))
     want = [*t.encode("a  b\n c", add_special_tokens=False).ids, 50256]
     assert counts.tolist() == [len(want), 1] and ids.tolist() == [*want, 50256]
+
+
+# the floor of language ID
+
+
+def test_the_floor_rises_with_the_bytes_alone(spark):
+    model = language.train([])
+    model.languages = ["a", "b", "c", "d"]
+    rows = [("x" * n, score / 100) for n in (1, 20, 127, 128, 129, 400, 100_000) for score in range(25, 45)]
+    df = spark.createDataFrame(rows, "text string, score double").withColumn("kept", language.in_a_language(model))
+    lowest = {r.n: r.s for r in df.filter("kept").groupBy(F.length("text").alias("n")).agg(F.min("score").alias("s")).collect()}
+    want = {n: min(s for t, s in rows if len(t) == n and s >= 0.25 - 1e-9 + 0.15 * n / (n + language.WINDOW)) for n in {len(t) for t, _ in rows}}
+    assert lowest == want and sorted(lowest.values()) == [lowest[n] for n in sorted(lowest)]
+    # one byte more or less decides little, a guess passes only where there is next to no evidence
+    assert lowest[127] == lowest[128] == lowest[129] and lowest[1] == 0.26 and lowest[100_000] == 0.4
+    model.languages = ["a", "b"]
+    assert df.select(language.in_a_language(model).alias("k")).filter("not k").count() == len([s for _, s in rows if s < 0.5])
