@@ -60,15 +60,19 @@ def saturate_variants(tbv: DataFrame, base: DataFrame, exon: str = "exon", dista
     return out.withColumns({"ref_c": complement("ref"), "alt_c": complement("alt")})
 
 
-def all_dnvs(snvs: DataFrame, keys: tuple[str, ...] = ("exon", "chrom")) -> DataFrame:
+def all_dnvs(snvs: DataFrame, keys: tuple[str, ...] = ("exon", "chrom"), block: int = 256) -> DataFrame:
     """Pairs of changes of one exon, the first one at the smaller position.
 
-    The pairs are the result; the key keeps them within an exon, whose length is bounded.
+    Positions are cut into blocks, and each two blocks of an exon, or one with itself, are a tile; rows meet by tile, so the
+    pairs of a long exon are made by many tasks.
     """
     cols = ["pos", "ref", "alt"]
-    first = snvs.select(*keys, *cols)
-    second = snvs.select(*keys, *[F.col(c).alias(f"{c}2") for c in cols])
-    return first.join(second, list(keys)).filter(F.col("pos") < F.col("pos2"))
+    rows = snvs.select(*keys, *cols, position_bin(F.col("pos"), block).alias("_b"))
+    span = rows.groupBy(*keys).agg(F.min("_b").alias("_lo"), F.max("_b").alias("_hi"))
+    rows = rows.join(span, list(keys))
+    first = rows.select(*keys, *cols, F.col("_b").alias("_i"), F.explode(F.sequence("_b", "_hi")).alias("_j"))
+    second = rows.select(*keys, *[F.col(c).alias(f"{c}2") for c in cols], F.col("_b").alias("_j"), F.explode(F.sequence("_lo", "_b")).alias("_i"))
+    return first.join(second, [*keys, "_i", "_j"]).filter(F.col("pos") < F.col("pos2")).drop("_i", "_j")
 
 
 # ---- gene models ------------------------------------------------------------------------------

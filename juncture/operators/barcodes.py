@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from juncture.functions.columns import KEY, count_if, percent, ratio
 from juncture.functions.variants import is_snv, variant_fields
+from juncture.operators.ordering import beside, exact_quantiles
 
 QC_COLUMNS = {
     "unpaired": "unpaired_reads",
@@ -62,8 +63,6 @@ def _usage_aggregates(isos: list[str], passes: Column) -> list[Column]:
         out += [
             F.avg(value).alias(f"mean_{iso}"),
             ratio(F.sum(value * usable), F.sum(usable)).alias(f"wmean_{iso}"),
-            # a map value -> count, merged map-side: bounded by the distinct usage values
-            F.percentile(value, F.lit(0.5)).alias(f"median_{iso}"),
         ]
     return out
 
@@ -80,7 +79,8 @@ def _summary(df: DataFrame, keys: list[str], min_usable: int | Column, sums: dic
         *_usage_aggregates(isos, passes),
         *extra,
     ]
-    return df.groupBy(*keys).agg(*aggs)
+    medians = {f"median_{iso}": F.when(passes, ratio(iso, "usable_reads")) for iso in isos}
+    return beside(df.groupBy(*keys).agg(*aggs), exact_quantiles(df, keys, medians), keys)
 
 
 def _with_percents(df: DataFrame, over_passing: dict[str, str]) -> DataFrame:
@@ -331,7 +331,7 @@ def isoform_column_stats(wide: DataFrame, cols: list[str], catalog: DataFrame, s
 
 def low_barcode_samples(tbv: DataFrame, threshold: float = 50, col: str = "n_bc_passfilt") -> DataFrame:
     """Drop the samples whose median barcode count is not above the threshold."""
-    low = tbv.groupBy("sample").agg(F.percentile(col, F.lit(0.5)).alias("m")).filter(F.col("m") <= threshold)
+    low = exact_quantiles(tbv, ["sample"], {"m": F.col(col)}).filter(F.col("m") <= threshold)
     return tbv.join(low.select("sample"), "sample", "left_anti")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from juncture.functions.columns import attach, ratio
-from juncture.operators.ordering import with_running
+from juncture.operators.ordering import beside, exact_quantiles, with_running
 
 FORMS = ["raw", "neg", "abs"]
 
@@ -139,11 +139,11 @@ def youden_summary(df: DataFrame, value: str, tool: str = "tool", data: str = "d
     rows = df.filter(F.col(data) != "standard")
     out = rows.groupBy(tool).agg(
         F.avg(value).alias("mean"),
-        F.percentile(value, F.lit(0.5)).alias("median"),
         F.stddev_samp(value).alias("std"),
         F.count_if(F.col(value).isNull()).alias("missing"),
         F.count(F.lit(1)).alias("n"),
     )
+    out = beside(out, exact_quantiles(rows, [tool], {"median": F.col(value)}), [tool])
     return out.withColumn("error", F.col("std") / F.sqrt("n"))
 
 

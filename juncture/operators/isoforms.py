@@ -20,6 +20,7 @@ from juncture.operators.barcodes import (
     variant_summary_pe,
 )
 from juncture.operators.ordering import number_rows
+from juncture.operators.paths import enumerate_paths, gene_models
 from juncture.operators.reads import BLOCKS, QC_WORDS, _but_last, flag, join_touching
 
 Block = tuple[int, int]
@@ -40,7 +41,7 @@ def isoform_read_counts(pairs: DataFrame, keep_qc: bool = True) -> DataFrame:
 
 
 def soft_clipped_reads(pairs: DataFrame) -> DataFrame:
-    """The reads behind the soft-clipped count."""
+    """The reads behind the soft-clipped count, of pairs or of single ends."""
     return pairs.filter(F.col("status") == "soft_clipped")
 
 
@@ -63,8 +64,8 @@ def isoform_catalog(counts: DataFrame, samples: list[str]) -> DataFrame:
     """
     wide = counts.groupBy("isoform").pivot("sample", samples).sum("read_count").fillna(0)
     total = reduce(lambda a, b: a + b, [F.col(f"`{s}`") for s in samples])
-    numbered = number_rows(wide.withColumn("_total", total), [F.desc("_total"), F.asc("isoform")], "_n")
-    width = numbered.agg(F.length(F.count(F.lit(1)).cast("string")).alias("w"))
+    numbered = number_rows(wide.withColumn("_total", total), [-F.col("_total"), F.col("isoform")], "_n")
+    width = wide.agg(F.length(F.count(F.lit(1)).cast("string")).alias("w"))
     isonum = F.concat(F.lit("iso"), F.lpad((F.col("_n") - 1).cast("string"), width.scalar(), F.lit("0")))
     return numbered.select(isonum.alias("isonum"), "isoform", *[F.col(f"`{s}`").alias(f"{s}_read_count") for s in samples])
 
@@ -146,8 +147,8 @@ def collapse_isoforms(stats: DataFrame, cryptic: list[Block], sum_cols: list[str
         members.alias("_m"),
     )
     out = out.withColumn("_text", isoform_text("comb_isoform"))
-    numbered = number_rows(out, [F.desc(total), F.asc("_text")], "_n")
-    width = numbered.agg(F.length(F.count(F.lit(1)).cast("string")).alias("w"))
+    numbered = number_rows(out, [-F.col(total), F.col("_text")], "_n")
+    width = out.agg(F.length(F.count(F.lit(1)).cast("string")).alias("w"))
     return numbered.withColumns(
         {
             "isogrp": F.concat(F.lit("isogrp"), F.lpad((F.col("_n") - 1).cast("string"), width.scalar(), F.lit("0"))),
@@ -157,58 +158,29 @@ def collapse_isoforms(stats: DataFrame, cryptic: list[Block], sum_cols: list[str
     ).drop("_m", "_n", "_text")
 
 
-def exon_path_enumeration(exons: DataFrame, gene: str = "gene") -> DataFrame:
+def exon_path_enumeration(exons: DataFrame, gene: str = "gene", ranks: DataFrame | None = None) -> DataFrame:
     """All chains of exons from the first to the last exon of each gene, named in path order.
 
-    A chain steps from an exon to any exon that starts after its end.
+    A chain steps from an exon to any exon that starts after its end. ``ranks`` (gene, first, number) lists some of them.
     """
-    spark = exons.sparkSession
-    # paths grow with two to the number of exons; the default limit of the recursion would cut them
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    paths = spark.sql(
-        f"""
-        with recursive ends as (
-          select {gene} as gene, min_by(start_pos, exon_num) as first_start, max_by(end_pos, exon_num) as last_end from {{exons}} group by {gene}),
-        ex as (select e.{gene} as gene, e.exon_num, e.start_pos, e.end_pos, first_start, last_end from {{exons}} e join ends n on e.{gene} = n.gene),
-        walk(gene, tail, last_end, path, nums) as (
-          select gene, end_pos, last_end, array(named_struct('start', start_pos, 'end', end_pos)), array(exon_num) from ex where start_pos = first_start
-          union all
-          select w.gene, e.end_pos, w.last_end, concat(w.path, array(named_struct('start', e.start_pos, 'end', e.end_pos))), concat(w.nums, array(e.exon_num))
-          from walk w join ex e on e.gene = w.gene and e.start_pos > w.tail)
-        select gene, path, nums from walk where tail = last_end""",
-        exons=exons,
-    )
-    # the paths of one gene: bounded by its exons
-    i = F.row_number().over(Window.partitionBy("gene").orderBy("nums")) - 1
+    models = gene_models(exons, gene).withColumn("read_start", F.lit(None).cast("int"))
+    i = F.col("rank")
     name = F.concat(F.lit("iso"), F.when(i < 10, F.lpad(i.cast("string"), 2, "0")).otherwise(i.cast("string")))
-    return paths.withColumn("iso", name).drop("nums")
+    return enumerate_paths(models, True, ranks).select("gene", "path", name.alias("iso"))
 
 
 def junction_path_enumeration(exons: DataFrame, starts: DataFrame, gene: str = "gene") -> DataFrame:
     """Older form: node paths from a read start inside an exon to the last exon end.
 
-    ``starts`` (gene, read_start).  The read enters the last exon that starts at or before the
+    ``starts`` (gene, read_start), one row per gene.  The read enters the last exon that starts at or before the
     read start; from then on acceptor and donor belong to the same exon.  Paths of two nodes are
     not paths.
     """
-    spark = exons.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(
-        f"""
-        with recursive ex as (
-          select distinct e.{gene} as gene, e.start_pos, e.end_pos, s.read_start, max(e.end_pos) over (partition by e.{gene}) as final
-          from {{exons}} e join {{starts}} s on e.{gene} = s.{gene}),
-        entry as (select gene, max_by(end_pos, start_pos) as end_pos from ex where start_pos <= read_start group by gene),
-        walk(gene, tail, final, path) as (
-          select e.gene, e.end_pos, e.final, array(e.read_start, e.end_pos) from ex e join entry n on e.gene = n.gene and e.end_pos = n.end_pos
-          where e.start_pos <= e.read_start and e.end_pos > e.read_start
-          union all
-          select w.gene, e.end_pos, w.final, concat(w.path, array(e.start_pos, e.end_pos))
-          from walk w join ex e on e.gene = w.gene and e.start_pos > w.tail)
-        select distinct gene, path from walk where tail = final and size(path) >= 3""",
-        exons=exons,
-        starts=starts,
-    )
+    if "exon_num" not in exons.columns:
+        exons = exons.withColumn("exon_num", F.lit(0))
+    starts = starts.select(F.col(gene).cast("string").alias("gene"), F.col("read_start").cast("int"))
+    paths = enumerate_paths(gene_models(exons, gene).join(starts, "gene"), False)
+    return paths.select("gene", F.flatten(F.transform("path", lambda b: F.array(b["start"], b["end"]))).alias("path"))
 
 
 def visible_path(path: Column, read_start: Column, read_len: int) -> Column:

@@ -6,26 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from juncture.functions.columns import attach
-from juncture.sources.sinks import shared_folder
 
 BUCKETS = 256
 
 
-def number_rows(df: DataFrame, order: list[Column], out: str = "n") -> DataFrame:
-    """Number all rows from 1 in the given order.
+def place_among(df: DataFrame, cuts: DataFrame, value: Column, out: str, step: int) -> DataFrame:
+    """How many of the sorted cuts, an array in one row, are at most ``value``.
 
-    Rows are range-partitioned by the order and written to the checkpoint folder, so the numbers
-    inside each range and the offsets between ranges come from the same fixed partitions.
+    A row looks at every ``step``-th cut and then at the ``step`` after it.
     """
-    shared_folder(df.sparkSession)
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    # one row per partition: a small table whatever the size of the data
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    numbered = ranged.withColumn("_i", inside).join(offsets, "_part")
-    return numbered.withColumn(out, F.col("_before") + F.col("_i")).drop("_part", "_i", "_before")
+    cuts = cuts.select("_cuts", F.filter("_cuts", lambda x, i: i % step == step - 1).alias("_coarse"))
+    low = F.size(F.filter("_coarse", lambda x: x <= value)) * step
+    fine = F.filter(F.slice("_cuts", low + 1, F.lit(step)), lambda x: x <= value)
+    return attach(df, cuts).withColumn(out, low + F.size(fine)).drop("_cuts", "_coarse")
+
+
+def number_rows(df: DataFrame, order: list[Column], out: str = "n", cuts: int = 1024) -> DataFrame:
+    """Number all rows from 1 in the given order: ascending, nulls first; give a number's negative for falling order.
+
+    Everything is part of the plan. Rows fall into ranges between the keys of at most ``cuts`` rows, one drawn by hash from
+    each group of hashes; a row's number is the count of the ranges before its own and its place inside. Keys are expected to
+    be all but unique, as equal ones share a range.
+    """
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    draw = F.xxhash64(*order)
+    drawn = df.groupBy(F.pmod(draw, F.lit(cuts)).alias("_g")).agg(F.min_by(key, F.xxhash64(F.lit("cut"), draw)).alias("_k"))
+    placed = place_among(df.withColumn("_key", key), drawn.agg(F.array_sort(F.collect_list("_k")).alias("_cuts")), F.col("_key"), "_range", 32)
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    # one row per range: a small table whatever the size of the data
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_key"))
+    numbered = placed.join(sizes.select("_range", before.alias("_before")), "_range")
+    return numbered.withColumn(out, F.col("_before") + inside).drop("_range", "_before", "_key")
 
 
 def with_bucket(df: DataFrame, value: str, out: str, buckets: int = BUCKETS) -> DataFrame:
@@ -36,11 +48,42 @@ def with_bucket(df: DataFrame, value: str, out: str, buckets: int = BUCKETS) ->
     """
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     cuts = df.agg(F.array_sort(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), shares, F.lit(4 * buckets)))).alias("_cuts"))
-    every = F.coalesce("_cuts", F.array().cast("array<double>"))
-    cuts = cuts.select(every.alias("_cuts"), F.filter(every, lambda x, i: i % 16 == 15).alias("_coarse"))
-    low = F.size(F.filter("_coarse", lambda x: x <= F.col(value))) * 16
-    fine = F.filter(F.slice("_cuts", low + 1, F.lit(16)), lambda x: x <= F.col(value))
-    return attach(df, cuts).withColumn(out, low + F.size(fine)).drop("_cuts", "_coarse")
+    cuts = cuts.select(F.coalesce("_cuts", F.array().cast("array<double>")).alias("_cuts"))
+    return place_among(df, cuts, F.col(value), out, 16)
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], values: dict[str, Column], q: float = 0.5, buckets: int = BUCKETS) -> DataFrame:
+    """One row per key with the exact quantile of each value, between two ranks in proportion; nulls do not count.
+
+    Selection by refinement: equal values are counted first, the counts are added up by key and bucket of values, and only the
+    one or two buckets that hold the wanted ranks are looked into. So no buffer holds a group's values, and a
+    key with a third of all rows is spread over the buckets. Keys without a value give no row, keys are not null.
+    """
+    group = [*keys, "_name"]
+    cells = F.array(*[F.struct(F.lit(n).alias("_name"), v.cast("double").alias("_v")) for n, v in values.items()])
+    rows = df.select(*keys, F.explode(cells).alias("_cell")).select(*keys, "_cell.*").filter(F.col("_v").isNotNull())
+    hist = with_bucket(rows.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n")), "_v", "_b", buckets)
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    # at most one row per key and bucket
+    totals = hist.groupBy(*group, "_b").agg(F.sum("_n").alias("_in"))
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_in").over(earlier), F.lit(0))).withColumn("_at", (F.sum("_in").over(whole) - 1) * F.lit(q))
+    wanted = totals.filter((F.col("_before") <= F.ceil("_at")) & (F.col("_before") + F.col("_in") > F.floor("_at"))).drop("_in")
+    along = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = hist.join(wanted, [*group, "_b"]).withColumn("_to", F.first("_before").over(along) + F.sum("_n").over(along))
+    out = []
+    for n in values:
+        own = F.col("_name") == n
+        low = F.min(F.when(own & (F.col("_to") > F.floor("_at")), F.col("_v")))
+        high = F.min(F.when(own & (F.col("_to") > F.ceil("_at")), F.col("_v")))
+        share = F.max(F.when(own, F.col("_at") - F.floor("_at")))
+        out.append((low * (1 - share) + high * share).alias(n))
+    return found.groupBy(*keys).agg(*out)
+
+
+def beside(df: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """Add columns of a table with one row per key; without keys, of its only row."""
+    return df.join(more, keys, "left") if keys else attach(df, more)
 
 
 def with_running(

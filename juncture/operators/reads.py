@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from juncture.functions.columns import as_col, attach
+from juncture.functions.columns import as_col, is_true
 from juncture.functions.sequence import reverse_complement
+from juncture.operators.reference import with_span
 
 BLOCKS = "array<struct<start:int,end:int>>"
 
@@ -17,8 +21,39 @@ def cigar_ops(cigar: Column | str) -> Column:
     return F.transform(parts, lambda t: F.struct(F.right(t, F.lit(1)).alias("op"), F.substr(t, F.lit(1), F.length(t) - 1).cast("int").alias("n")))
 
 
+def per_shape(df: DataFrame, shape: dict[str, Column], results: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Add what ``results`` makes of the shape columns, worked out once for each distinct shape.
+
+    Reads have far fewer shapes than rows, and the shapes are made distinct before any shuffle. The dictionary comes back by a join:
+    broadcast if Catalyst finds it small, else by shape, where adaptive skew handling splits the rows of the commonest one.
+    """
+    keys = [f"_shape_{c}" for c in shape]
+    dictionary = results(df.select(*[v.alias(c) for c, v in shape.items()]).distinct())
+    made = [c for c in dictionary.columns if c not in shape]
+    dictionary = dictionary.withColumnsRenamed(dict(zip(shape, keys)))
+    same = reduce(lambda a, b: a & b, [v.eqNullSafe(F.col(k)) for v, k in zip(shape.values(), keys)])
+    return df.join(dictionary, same).select(*[df[f"`{c}`"] for c in df.columns], *made)
+
+
+def with_blocks(reads: DataFrame, out: str = "blocks") -> DataFrame:
+    """Reads (pos, cigar, ...) with their blocks."""
+    return per_shape(reads, {c: F.col(c) for c in ("pos", "cigar")}, lambda d: d.withColumn(out, cigar_to_blocks("pos", "cigar")))
+
+
+def first_block_start(pos: Column, cigar: Column) -> Column:
+    """0-based start of a record's first block; null without one. Only deletions and skips before it move it."""
+    lead = F.regexp_extract(cigar, r"^((?:\d+[INDSHP])*)\d+[M=X]", 1)
+    moved = F.aggregate(cigar_ops(lead), F.lit(0), lambda a, o: a + F.when(o["op"].isin("D", "N"), o["n"]).otherwise(0))
+    start = pos - 1 + F.when(lead.rlike("[DN]"), moved).otherwise(0)
+    return F.when(cigar.rlike("[M=X]"), start)
+
+
 def cigar_to_blocks(pos: Column | str, cigar: Column | str) -> Column:
     """Aligned blocks, 0-based and half-open, of a read that starts at a 1-based position."""
+    return ops_to_blocks(pos, cigar_ops(cigar))
+
+
+def ops_to_blocks(pos: Column | str, ops: Column) -> Column:
     start = F.struct((as_col(pos) - 1).cast("int").alias("at"), F.array().cast(BLOCKS).alias("blocks"))
 
     def step(acc: Column, o: Column) -> Column:
@@ -28,7 +63,7 @@ def cigar_to_blocks(pos: Column | str, cigar: Column | str) -> Column:
         moved = F.when(match | o["op"].isin("D", "N"), end).otherwise(acc["at"])
         return F.struct(moved.alias("at"), F.when(match, F.concat(acc["blocks"], block)).otherwise(acc["blocks"]).alias("blocks"))
 
-    return F.aggregate(cigar_ops(cigar), start, step, lambda acc: acc["blocks"])
+    return F.aggregate(ops, start, step, lambda acc: acc["blocks"])
 
 
 QC_WORDS = ["unpaired", "secondary", "unmapped", "bad_starts", "bad_ends", "soft_clipped"]
@@ -57,29 +92,17 @@ def pair_reads(reads: DataFrame, keys: tuple[str, ...] = ("sample", "barcode", "
     """One row per query name with both mates, the leftmost one first.
 
     One aggregation instead of a self-join.  A name has two records, so aggregating before the
-    shuffle would only sort the input once more: rows are partitioned by name first, and blocks are
-    worked out after the mates have met.
+    shuffle would only sort the input once more: rows are partitioned by name first.
     """
-    record = F.struct("flag", "pos", "cigar")
+    record = F.struct("flag", "pos", "cigar", first_block_start(F.col("pos"), F.col("cigar")).alias("at"))
     second = flag(0x80)
     one, two = F.min(F.when(~second, record)), F.min(F.when(second, record))
-    both = (
-        reads.select(*keys, "flag", "pos", "cigar")
-        .repartition(*keys)
-        .groupBy(*keys)
-        .agg(
-            one.alias("_1"),
-            two.alias("_2"),
-            # results of the aggregate, so that no later filter is rewritten in terms of them
-            cigar_to_blocks(one["pos"], one["cigar"]).alias("_b1"),
-            cigar_to_blocks(two["pos"], two["cigar"]).alias("_b2"),
-        )
-    )
+    both = reads.select(*keys, "flag", "pos", "cigar").repartition(*keys).groupBy(*keys).agg(one.alias("_1"), two.alias("_2"))
     both = both.filter(F.col("_1").isNotNull() & F.col("_2").isNotNull())
-    swap = F.coalesce(F.get("_b1", F.lit(0))["start"] > F.get("_b2", F.lit(0))["start"], F.lit(False))
+    swap = is_true(F.col("_1.at") > F.col("_2.at"))
 
     def mate(m: str) -> Column:
-        return F.struct(F.col(f"_{m}.flag").alias("flag"), F.col(f"_{m}.pos").alias("pos"), F.col(f"_{m}.cigar").alias("cigar"), F.col(f"_b{m}").alias("blocks"))
+        return F.struct(*[F.col(f"_{m}.{c}").alias(c) for c in ("flag", "pos", "cigar")])
 
     return both.select(
         *keys,
@@ -140,13 +163,12 @@ def normalize_junctions_se(
     return F.struct(status.alias("status"), F.when(status.isNull(), iso).alias("isoform"))
 
 
-def collapse_indels(blocks: Column, cigar: Column, spl_tol: int, indel_tol: int) -> Column:
+def collapse_indels(blocks: Column, ops: Column, spl_tol: int, indel_tol: int) -> Column:
     """Blocks of one mate with small indels closed.
 
     The element after a closed indel is skipped.  A match run shorter than ``spl_tol`` is skipped
     without moving on to the next block.
     """
-    ops = cigar_ops(cigar)
     start = F.struct(F.array().cast(BLOCKS).alias("out"), F.lit(0).alias("j"), F.lit(False).alias("skip"))
 
     def step(acc: Column, o: Column) -> Column:
@@ -170,15 +192,21 @@ def normalize_junctions_pe(
     min_left: int = 70,
     min_right: int = 50,
 ) -> DataFrame:
-    """Add (status, isoform) to pairs from :func:`pair_reads`; the first failing check names the status."""
+    """Add (status, isoform) to pairs from :func:`pair_reads`; the first failing check names the status.
+
+    Both follow from the mates' positions and CIGARs, so each distinct pair of those is normalised once.
+    """
+    shape = {f"{m}_{c}": F.col(f"{m}.{c}") for m in ("left", "right") for c in ("pos", "cigar")}
+    return per_shape(pairs, shape, lambda d: _normalized_shapes(d, cnst, spl_tol, indel_tol, min_left, min_right))
+
+
+def _normalized_shapes(shapes: DataFrame, cnst: tuple[tuple[int, int], tuple[int, int]], spl_tol: int, indel_tol: int, min_left: int, min_right: int) -> DataFrame:
     (_, donor), (acceptor, _) = cnst
-    a, b = F.col("left.blocks"), F.col("right.blocks")
-    df = pairs.withColumns(
-        {
-            "_a": collapse_indels(a, F.col("left.cigar"), spl_tol, indel_tol),
-            "_b": collapse_indels(b, F.col("right.cigar"), spl_tol, indel_tol),
-        }
-    )
+    # one-row generators keep what they yield from being worked out again in every later expression
+    df = shapes.select("*", F.inline(F.array(F.struct(cigar_ops("left_cigar").alias("_lo"), cigar_ops("right_cigar").alias("_ro")))))
+    df = df.select("*", F.inline(F.array(F.struct(ops_to_blocks("left_pos", F.col("_lo")).alias("_lb"), ops_to_blocks("right_pos", F.col("_ro")).alias("_rb")))))
+    a, b = F.col("_lb"), F.col("_rb")
+    df = df.withColumns({"_a": collapse_indels(a, F.col("_lo"), spl_tol, indel_tol), "_b": collapse_indels(b, F.col("_ro"), spl_tol, indel_tol)})
     ca, cb = F.col("_a"), F.col("_b")
     first = F.get(cb, F.lit(0))
     apart = F.coalesce(_last(ca)["end"] <= first["start"], F.lit(False))
@@ -209,46 +237,70 @@ def normalize_junctions_pe(
     )
     df = df.withColumn("_s", status)
     result = F.struct(F.col("_s").alias("status"), F.when(F.col("_s").isNull(), F.col("_n.out")).alias("isoform"))
-    # a one-row generator keeps filters on the status from being pushed into these expressions,
-    # where they would be evaluated again
-    return df.select(*pairs.columns, F.inline(F.array(result)))
+    return df.select(*shapes.columns, F.inline(F.array(result)))
 
 
-def repair_constant_junctions(reads: DataFrame, vector: DataFrame, cnst: tuple[tuple[int, int], tuple[int, int]]) -> DataFrame:
-    """Move block ends to the constant-exon boundary where the borrowed bases read the same.
+def single_end_outcomes(reads: DataFrame, cnst: tuple[tuple[int, int], tuple[int, int]], tol: int = 3, min_matches: int = 120) -> DataFrame:
+    """Single-end reads with (status, isoform): one pass whose rows serve as counts, soft-clipped table and rejected reads.
 
-    ``vector`` is the one-row sequence (seq) of the construct; it joins as a scalar.
+    The first failing check names the status: ``unmapped``, then ``bad_starts`` (no block ends within ``tol`` of the upstream donor), then
+    those of :func:`normalize_junctions_se`.
     """
-    (_, donor), (acceptor, _) = cnst
-    df = attach(reads, vector.select(F.col("seq").alias("_seq")))
-    b, seq = F.col("blocks"), F.upper("_seq")
+    donor = cnst[0][1]
+
+    def outcome(shapes: DataFrame) -> DataFrame:
+        df = shapes.select("*", F.inline(F.array(F.struct(cigar_to_blocks("pos", "cigar").alias("_b")))))
+        starts = F.exists("_b", lambda x: x["end"].between(donor - tol, donor + tol))
+        return df.select(*shapes.columns, starts.alias("_starts"), normalize_junctions_se("_b", cnst, tol, min_matches).alias("_n"))
+
+    df = per_shape(reads, {c: F.col(c) for c in ("pos", "cigar")}, outcome)
+    status = F.when(flag(0x4), "unmapped").when(~F.col("_starts"), "bad_starts").otherwise(F.col("_n.status"))
+    return df.select(*reads.columns, status.alias("status"), F.when(status.isNull(), F.col("_n.isoform")).alias("isoform"))
+
 
-    def bases(start: Column, end: Column) -> Column:
-        return F.substr(seq, (start + 1).cast("int"), (end - start).cast("int"))
+def rejected_reads(outcomes: DataFrame) -> DataFrame:
+    """The reads that no isoform count holds, with the reason."""
+    return outcomes.filter(F.col("status").isNotNull())
 
-    usable = ~F.coalesce(flag(0x4), F.lit(False)) & (F.size(b) > 1)
-    usable &= ~F.forall(b, lambda x: x["end"] < donor) & ~F.forall(b, lambda x: x["start"] > acceptor)
+
+def repair_constant_junctions(reads: DataFrame, chunks: DataFrame, cnst: tuple[tuple[int, int], tuple[int, int]], chrom: str) -> DataFrame:
+    """Move block ends to the constant-exon boundary where the borrowed bases read the same.
+
+    ``chunks`` holds the construct ``chrom`` (see :func:`juncture.operators.reference.reference_chunks`). Each distinct list of blocks is judged
+    once, and only the bases at its two borders are looked up.
+    """
+    (_, donor), (acceptor, _) = cnst
+    b = F.col("blocks")
+    inside = (F.size(b) > 1) & ~F.forall(b, lambda x: x["end"] < donor) & ~F.forall(b, lambda x: x["start"] > acceptor)
     short = F.exists(b, lambda x: x["end"] < donor) & ~F.exists(b, lambda x: x["end"] == donor)
     late = ~short & F.exists(b, lambda x: x["start"] > acceptor) & ~F.exists(b, lambda x: x["start"] == acceptor)
 
     i = F.size(F.filter(b, lambda x: x["end"] < donor)) - 1
     bad, nxt = F.get(b, i), F.get(b, i + 1)
     d = F.lit(donor) - bad["end"]
-    fix_up = (nxt["end"] - nxt["start"] >= d) & (bases(bad["end"], F.lit(donor)) == bases(nxt["start"], nxt["start"] + d))
     moved_up = F.transform(
         b, lambda x, k: F.when(k == i, _block(x["start"], F.lit(donor))).when(k == i + 1, _block(x["start"] + d, x["end"])).otherwise(x)
     )
     j = F.size(F.filter(b, lambda x: x["start"] <= acceptor))
     bad2, prev = F.get(b, j), F.get(b, j - 1)
     d2 = bad2["start"] - acceptor
-    fix_down = (prev["end"] - prev["start"] >= d2) & (bases(F.lit(acceptor), bad2["start"]) == bases(prev["end"] - d2, prev["end"]))
     moved_down = F.transform(
         b, lambda x, k: F.when(k == j, _block(F.lit(acceptor), x["end"])).when(k == j - 1, _block(x["start"], x["end"] - d2)).otherwise(x)
     )
-    out = F.when(usable & short & F.coalesce(fix_up, F.lit(False)), moved_up).when(
-        usable & late & F.coalesce(fix_down, F.lit(False)), moved_down
-    )
-    return df.withColumn("blocks", F.coalesce(out, b)).drop("_seq")
+
+    def borrowed(own: Column, other: Column, size: Column, moved: Column) -> Column:
+        # spans of equal length, 1-based and with both ends
+        return F.struct((own + 1).alias("_s1"), (own + size).alias("_e1"), (other + 1).alias("_s2"), (other + size).alias("_e2"), moved.alias("_moved"))
+
+    up = F.when(short & (nxt["end"] - nxt["start"] >= d), borrowed(bad["end"], nxt["start"], d, moved_up))
+    down = F.when(late & (prev["end"] - prev["start"] >= d2), borrowed(F.lit(acceptor), prev["end"] - d2, d2, moved_down))
+    shapes = reads.select("blocks").distinct().filter(inside)
+    cases = shapes.select("blocks", F.explode(F.array_compact(F.array(up, down))).alias("_c")).select("blocks", "_c.*", F.lit(chrom).alias("chrom"))
+    cases = with_span(with_span(cases, chunks, "_s1", "_e1", "_x1"), chunks, "_s2", "_e2", "_x2").filter("_x1 = _x2")
+    fixed = cases.select(F.col("blocks").alias("_old"), "_moved")
+    out = reads.join(fixed, F.col("blocks").eqNullSafe(F.col("_old")), "left")
+    mapped = ~is_true(flag(0x4))
+    return out.withColumn("blocks", F.when(mapped & F.col("_moved").isNotNull(), F.col("_moved")).otherwise(b)).drop("_old", "_moved")
 
 
 def primary_alignments(reads: DataFrame) -> DataFrame:

@@ -91,13 +91,14 @@ def with_window(
     """Add the reference from ``left`` bases before to ``right`` bases after each position."""
     if max(left, right) > flank:
         raise ValueError(f"windows beyond {flank} bases need chunks with a larger flank")
-    keyed = df.withColumn("_chunk", F.floor(F.col(pos) / chunk))
+    # variants crowd on few positions: each position is looked up once, and a chunk has a bounded number of them
+    sites = df.select("chrom", F.col(pos).alias("_at")).distinct().withColumn("_chunk", F.floor(F.col("_at") / chunk))
     ref = chunks.select("chrom", F.col("chunk").alias("_chunk"), F.col("start").alias("_start"), F.col("seq").alias("_seq"))
-    joined = keyed.join(ref, ["chrom", "_chunk"], "left")
-    first = F.col(pos) - left
     size = left + right + 1
-    window = F.when(F.col("_seq").isNull(), F.lit("N" * size)).otherwise(cut_window(F.col("_seq"), F.col("_start"), first, size))
-    return joined.withColumn(out, F.upper(window)).drop("_chunk", "_start", "_seq")
+    window = F.upper(cut_window(F.col("_seq"), F.col("_start"), F.col("_at") - left, size))
+    found = sites.join(ref, ["chrom", "_chunk"]).select(F.col("chrom").alias("_contig"), "_at", window.alias(out))
+    joined = df.join(found, (F.col("chrom") == F.col("_contig")) & (F.col(pos) == F.col("_at")), "left").drop("_contig", "_at")
+    return joined.withColumn(out, F.coalesce(out, F.lit("N" * size)))
 
 
 def with_span(df: DataFrame, chunks: DataFrame, start: str, end: str, out: str, chunk: int = CHUNK) -> DataFrame:

@@ -49,10 +49,19 @@ def index_intersection(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame
 
 
 def outer_merge_suffix(tables: dict[str, DataFrame], keys: list[str], totals: list[str]) -> DataFrame:
-    """Outer merge with a suffix per table, then row-wise totals that skip missing values."""
-    parts = [df.withColumnsRenamed({c: f"{c}_{name}" for c in df.columns if c not in keys}) for name, df in tables.items()]
-    out = reduce(lambda x, y: x.join(y, keys, "full_outer"), parts)
-    return out.withColumns({f"total_{c}": reduce(lambda x, y: x + y, [F.coalesce(f"{c}_{n}", F.lit(0)) for n in tables]) for c in totals})
+    """Outer merge with a suffix per table, then row-wise totals that skip missing values.
+
+    One union and one aggregate for any number of tables. Missing keys are equal. A table has one row per key; of
+    repeated ones the smallest counts, compared column by column.
+    """
+    values = {name: [c for c in df.columns if c not in keys] for name, df in tables.items()}
+    # each table's values travel in a column of their own
+    rows = [df.select(*keys, F.struct(*[F.col(f"`{c}`") for c in values[name]], F.lit(1).alias("_")).alias(f"_{i}")) for i, (name, df) in enumerate(tables.items())]
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    out = both.groupBy(*keys).agg(*[F.min(f"_{i}").alias(f"_{i}") for i in range(len(rows))])
+    out = out.select(*keys, *[F.col(f"_{i}")[c].alias(f"{c}_{name}") for i, name in enumerate(tables) for c in values[name]])
+    sums = {c: [F.coalesce(F.col(f"`{c}_{name}`"), F.lit(0)) for name in tables if c in values[name]] for c in totals}
+    return out.withColumns({f"total_{c}": reduce(lambda x, y: x + y, cols) for c, cols in sums.items()})
 
 
 def wide_row_any(df: DataFrame, prefix: str, out: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 from statistics import NormalDist
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from juncture.functions.columns import any_of, attach, count_if, is_true, percent, ratio
-from juncture.operators.ordering import number_rows, with_running
+from juncture.operators.ordering import beside, exact_quantiles, number_rows, with_running
 from juncture.sources.sinks import explode_range
 
 
@@ -70,11 +71,15 @@ def _drawn_means(grid: DataFrame, null: DataFrame, isos: list[str], draw: Draw,
     return means.select(*by, "n", "b", *[ratio(f"_s_{i}", "_u").alias(i) for i in isos])
 
 
-def bootstrap_null(n_bcs: DataFrame, wt: DataFrame, tbv: DataFrame, isos: list[str], draw: Draw | None = None) -> DataFrame:
-    """One draw per entry of ``n_bcs`` (b, n); mean and spread over the entries go to every variant."""
-    means = _drawn_means(n_bcs, wt, isos, draw or hashed_draw(), [])
-    one = means.agg(*[f(i).alias(f"{n}_bs_WT_{i}") for i in isos for n, f in (("wmean", F.avg), ("wstdev", F.stddev_pop))])
-    return attach(tbv, one)
+def bootstrap_null(n_bcs: DataFrame, wt: DataFrame, tbv: DataFrame, isos: list[str], draw: Draw | None = None, by: list[str] | None = None) -> DataFrame:
+    """One draw per entry of ``n_bcs`` (b, n); mean and spread over the entries go to every variant.
+
+    ``by`` names columns, such as the sample, within which entries draw from the wild type and go to the variants.
+    """
+    by = by or []
+    means = _drawn_means(n_bcs, wt, isos, draw or hashed_draw(), by)
+    one = means.groupBy(*by).agg(*[f(i).alias(f"{n}_bs_WT_{i}") for i in isos for n, f in (("wmean", F.avg), ("wstdev", F.stddev_pop))])
+    return beside(tbv, one, by)
 
 
 def bootstrap_null_by_count(
@@ -286,9 +291,10 @@ def sample_statistics(long: DataFrame, medians: list[str]) -> DataFrame:
         "n_sdv_in": count_if(seen & F.col("sdv_intron")) if typed else F.max(none),
     }
     aggs |= {n: F.max(none) for n in ("psbl_alt_acc", "psbl_alt_don", "n_alt_acc", "n_alt_don")}
-    aggs |= {f"med_{c}": F.percentile(c, F.lit(0.5)) for c in medians}
     keys = [c for c in ("sample_group", "sample") if c in has]
     out = long.groupBy(*keys).agg(*[v.alias(k) for k, v in aggs.items()])
+    if medians:
+        out = beside(out, exact_quantiles(long, keys, {f"med_{c}": F.col(c) for c in medians}), keys)
     return out.withColumns(
         {
             "per_var_seen": percent("n_var", "psbl_var"),
@@ -351,20 +357,22 @@ def sdv_replication(tbv: DataFrame, flag: str = "sdv") -> DataFrame:
     return out.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("per", percent("n", "n_var"))
 
 
-def variant_completeness(tbv: DataFrame, col: str = "n_bc_passfilt") -> tuple[DataFrame, DataFrame]:
-    """Position by base matrix of barcode counts, and the percent of possible changes present."""
-    matrix = tbv.groupBy("pos").pivot("alt", ["A", "C", "G", "T"]).agg(F.first(col, True))
+def variant_completeness(tbv: DataFrame, col: str = "n_bc_passfilt", by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Position by base matrix of barcode counts, and the percent of possible changes present; both within ``by``, such as the sample."""
+    by = by or []
+    matrix = tbv.groupBy(*by, "pos").pivot("alt", ["A", "C", "G", "T"]).agg(F.first(col, True))
     filled = reduce(lambda a, b: a + b, [F.when(F.col(b) > 0, 1).otherwise(0) for b in "ACGT"])
-    total = matrix.agg(F.sum(filled).alias("n_present"), (F.count(F.lit(1)) * 3).alias("n_possible"))
+    total = matrix.groupBy(*by).agg(F.sum(filled).alias("n_present"), (F.count(F.lit(1)) * 3).alias("n_possible"))
     return matrix, total.withColumn("per_present", percent("n_present", "n_possible"))
 
 
-def psi_position_matrix(tbv: DataFrame, col: str, zoom: tuple[int, int] | None = None, rev: bool = False) -> DataFrame:
-    """Position by base table of a value; labels are complemented for the minus strand."""
+def psi_position_matrix(tbv: DataFrame, col: str, zoom: tuple[int, int] | None = None, rev: bool = False, by: list[str] | None = None) -> DataFrame:
+    """Position by base table of a value within ``by``; labels are complemented for the minus strand."""
+    by = by or []
     rows = tbv if zoom is None else tbv.filter(F.col("pos").between(*zoom))
-    out = rows.groupBy("pos").pivot("alt", ["A", "C", "G", "T"]).agg(F.first(col, True))
+    out = rows.groupBy(*by, "pos").pivot("alt", ["A", "C", "G", "T"]).agg(F.first(col, True))
     labels = {"A": "T", "C": "G", "G": "C", "T": "A"} if rev else {b: b for b in "ACGT"}
-    return out.select("pos", *[F.col(b).alias(labels[b]) for b in "ACGT"])
+    return out.select(*by, "pos", *[F.col(b).alias(labels[b]) for b in "ACGT"])
 
 
 def exon_sdv_counts(scores: DataFrame, exons: DataFrame, flank: int, thresholds: list[float], score: str, bin_width: int = 1024) -> DataFrame:
@@ -408,8 +416,11 @@ def exon_sdv_counts(scores: DataFrame, exons: DataFrame, flank: int, thresholds:
 def fisher_exact() -> Callable[[int, int, int, int], tuple[float, float]]:
     """A self-contained test to ship to tasks: odds ratio and two-sided p of a 2x2 table.
 
-    p sums all tables with the same margins that are no more likely than the given one.
+    p sums all tables with the same margins that are no more likely than the given one. Sums walk outwards from the likeliest table, from
+    the given one and from its counterpart on the other side, in chunks, until the terms no longer count; so memory is one
+    chunk whatever the counts.
     """
+    chunk, near, least = 4096, 1 << 17, 1e-18
 
     def test(a: int, b: int, c: int, d: int) -> tuple[float, float]:
         if b * c:
@@ -418,22 +429,66 @@ def fisher_exact() -> Callable[[int, int, int, int], tuple[float, float]]:
             odds = float("inf") if a * d else float("nan")
         row, col, n = a + b, a + c, a + b + c + d
         lo, hi = max(0, row + col - n), min(row, col)
-        k = np.arange(lo, hi, dtype=float)
-        # log ratio of neighbouring tables, summed up from the smallest cell
-        step = np.log(row - k) + np.log(col - k) - np.log(k + 1) - np.log(n - row - col + k + 1)
-        logp = np.concatenate([[0.0], np.cumsum(step)])
-        p = np.exp(logp - logp.max())
-        return odds, float(min(1.0, p[p <= p[a - lo] * (1 + 1e-7)].sum() / p.sum()))
+
+        def up(k: np.ndarray) -> np.ndarray:
+            """Log ratio of the table with cell k + 1 to that with cell k."""
+            return np.log(row - k) + np.log(col - k) - np.log(k + 1) - np.log(n - row - col + k + 1)
+
+        def log_size(k: int) -> float:
+            return -sum(math.lgamma(x + 1) for x in (k, row - k, col - k, n - row - col + k))
+
+        def between(k: int, m: int) -> float:
+            """Log ratio of table m to table k."""
+            if abs(m - k) > near:
+                return log_size(m) - log_size(k)
+            first, last = min(k, m), max(k, m)
+            total = sum(float(up(np.arange(i, min(i + chunk, last))).sum()) for i in range(first, last, chunk))
+            return total if m > k else -total
+
+        def outwards(k: int, side: int) -> float:
+            """Tables from k to the end of a side, as multiples of table k; they fall all the way."""
+            total, log = 1.0, 0.0
+            while k != (hi if side > 0 else lo):
+                logs = np.cumsum(up(np.arange(k, min(k + chunk, hi))) if side > 0 else -up(np.arange(k - 1, max(k - chunk, lo) - 1, -1))) + log
+                terms = np.exp(logs)
+                total, log, k = total + float(terms.sum()), float(logs[-1]), k + side * len(terms)
+                if terms[-1] < least * total:
+                    break
+            return total
+
+        mode = min(hi, max(lo, (row + 1) * (col + 1) // (n + 2)))
+        whole = outwards(mode, 1) + outwards(mode, -1) - 1
+        level, side = between(mode, a), 1 if a >= mode else -1
+        p = math.exp(level) * outwards(a, side)
+        # the nearest table on the other side that is no more likely, found by halving
+        low, high = int(a == mode), side * (mode - (lo if side > 0 else hi)) + 1
+        while low < high:
+            middle = (low + high) // 2
+            if between(mode, mode - side * middle) <= level + 1e-7:
+                high = middle
+            else:
+                low = middle + 1
+        other = mode - side * low
+        if lo <= other <= hi:
+            p += math.exp(between(mode, other)) * outwards(other, -side)
+        return odds, min(1.0, p / whole)
 
     return test
 
 
-def motif_enrichment(long: DataFrame, region: tuple[int, int], wt_min: float, change_max: float, p_max: float) -> DataFrame:
+def motif_enrichment(
+    long: DataFrame, region: tuple[int, int] | None, wt_min: float, change_max: float, p_max: float, proteins: DataFrame | None = None, species: str = "Homo_sapiens"
+) -> DataFrame:
     """Motifs bound at disrupting variants and broken more often by them than by other variants.
 
-    ``long`` (motif, pos, sdv, wt, chg): one row per variant and motif.
+    ``long`` (motif, pos, sdv, wt, chg): one row per variant and motif. ``proteins`` (motif, protein, species) names the motifs: those
+    without a protein of the species are left out, others are called by their proteins and the motif.
     """
-    rows = long.filter(F.col("pos").between(*region))
+    rows = long if region is None else long.filter(F.col("pos").between(*region))
+    if proteins is not None:
+        own = proteins.filter(F.col("species") == species).groupBy("motif").agg(F.array_join(F.array_sort(F.collect_set("protein")), "_").alias("_p"))
+        names = own.select("motif", F.concat_ws("_", "_p", "motif").alias("name"))
+        rows = rows.join(names.select("motif"), "motif", "left_semi")
     broken = is_true(F.col("chg") <= change_max)
     sdv = F.col("sdv")
     per_pos = rows.groupBy("motif", "pos").agg(
@@ -452,14 +507,13 @@ def motif_enrichment(long: DataFrame, region: tuple[int, int], wt_min: float, ch
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [
-                fisher(r.sdv_below, r.sdvs - r.sdv_below, r.below - r.sdv_below, r.total - r.sdvs - (r.below - r.sdv_below))
-                for r in pdf.itertuples()
-            ]
+            counts = pdf[["sdv_below", "sdvs", "below", "total"]].to_numpy().tolist()
+            got = [fisher(x, s - x, b - x, n - s - (b - x)) for x, s, b, n in counts]
             yield pdf.assign(odds=[g[0] for g in got], p=[g[1] for g in got])
 
     schema = "motif string, wt_max double, below long, sdv_below long, sdvs long, total long, odds double, p double"
-    return tables.mapInPandas(test, schema).filter((F.col("p") < p_max) & (F.col("odds") > 1))
+    out = tables.mapInPandas(test, schema).filter((F.col("p") < p_max) & (F.col("odds") > 1))
+    return out if proteins is None else out.join(names, "motif")
 
 
 def replicate_correlation(long: DataFrame, keys: list[str], col: str, samples: list[str]) -> DataFrame:
@@ -481,7 +535,7 @@ def replicate_correlation_medians(corr: DataFrame, groups: dict[str, str]) -> Da
 
 def benchmark_rank_join(bench: DataFrame, long: DataFrame, col: str, keys: list[str]) -> DataFrame:
     """Rank of each variant in one sample, from 0 at the largest value, beside its values elsewhere."""
-    ranked = number_rows(bench.select(*keys, F.col(col).alias("_v")), [F.desc("_v"), *[F.asc(k) for k in keys]], "_n")
+    ranked = number_rows(bench.select(*keys, F.col(col).alias("_v")), [F.col("_v").isNull(), -F.col("_v"), *[F.col(k) for k in keys]], "_n")
     ranks = ranked.select(*keys, (F.col("_n") - 1).alias(f"{col}_rank"))
     return long.join(ranks, keys)
 

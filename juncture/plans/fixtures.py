@@ -68,6 +68,33 @@ from fx_reads r left join fx_isonames n on r.isoform = n.isoform"""
 VIEWS["fx_bc"] = f"select barcode, {_COUNTS}\ngroup by barcode"
 VIEWS["fx_bcs"] = f"select sample, barcode, {_COUNTS}\ngroup by sample, barcode"
 
+# proteins that bind motifs, of several species
+VIEWS["fx_proteins"] = """
+select concat('m', cast(n_nationkey % 8 as varchar(20))) as motif, n_name as protein,
+       case when n_nationkey % 3 = 0 then 'Mus_musculus' else 'Homo_sapiens' end as species
+from nation where n_nationkey % 8 <> 3"""
+
+# barcodes with lists of one to three variants; twenty customers make a group, a group belongs to one of six families
+VIEWS["fx_lists"] = """
+select concat('BC', lpad(cast(o_orderkey as varchar(20)), 9, '0')) as barcode, grp, fam,
+       case when fam < 2 then concat('11:', cast(1227 + o_custkey as varchar(20)), ':A:', substr('CGT', cast(1 + o_orderkey % 3 as int), 1))
+            when fam = 2 then concat('11:', cast(1227 + 20 * grp as varchar(20)), ':A:C')
+            when fam = 3 then concat('11:', cast(1227 + 20 * grp + 3 * (o_orderkey % 3) as varchar(20)), ':A:C')
+            when o_orderkey % 2 = 0 then concat('11:', cast(1227 + 20 * grp as varchar(20)), ':A:C')
+            when fam = 4 then concat('11:', cast(1227 + 20 * grp as varchar(20)), ':A:C,11:', cast(1242 + 20 * grp as varchar(20)), ':A:C')
+            else concat('11:', cast(1257 + 20 * grp as varchar(20)), ':A:C,11:', cast(1287 + 20 * grp as varchar(20)), ':A:C,11:', cast(1317 + 20 * grp as varchar(20)), ':A:C')
+       end as variant_list
+from (select o_orderkey, o_custkey, cast(floor(o_custkey / 20e0) as int) as grp, cast(floor(o_custkey / 20e0) as int) % 6 as fam from orders) o"""
+
+# reads per sample, isoform and barcode that go with them
+VIEWS["fx_list_counts"] = """
+select concat('S', cast(o_custkey % 2 as varchar(20))) as sample,
+       case when o_orderkey % 17 = 0 then 'unmapped' when l.fam = 0 then '[[1267,1350]]'
+            when l.fam = 1 then concat('[[900,1000],[', cast(1237 + 20 * l.grp as varchar(20)), ',1359]]')
+            else concat('[[', cast(9000 + l.grp as varchar(20)), ',1359]]') end as isoform,
+       l.barcode, cast(1 + o_orderkey % 5 as int) as n
+from orders join fx_lists l on l.barcode = concat('BC', lpad(cast(o_orderkey as varchar(20)), 9, '0'))"""
+
 # every variant of the subassembly with two predictor scores
 VIEWS["fx_scores"] = """
 select distinct '11' as chrom, cast(split_part(variant_list, ':', 2) as int) as pos,
@@ -149,7 +176,7 @@ select concat('BC', lpad(cast(l_orderkey as varchar(20)), 9, '0')) as barcode,
             when m.mate = 1 then
               case when l_partkey % 31 = 0 then '90M'
                    when l_partkey % 41 = 0 then '30S40M'
-                   when l_partkey % 3 = 0 then '70M2781N50M'
+                   when l_partkey % 3 = 0 then (case when l_partkey % 5 = 0 then '70M2781N20M' else '70M2781N50M' end)
                    when l_partkey % 11 = 0 then '70M539N20M4D60M1I9M'
                    when l_partkey % 13 = 0 then '70M570N30M30D33M'
                    when l_partkey % 17 = 0 then concat(cast(69 - l_partkey % 3 as varchar(20)), 'M', cast(571 + l_partkey % 3 + l_partkey % 7 as varchar(20)), 'N90M')

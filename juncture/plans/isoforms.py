@@ -7,7 +7,7 @@ from juncture.operators import barcodes as B
 from juncture.operators import isoforms as I
 from juncture.operators import reads as RD
 from juncture.plans.barcodes import ISOS, SAMPLES
-from juncture.plans.reads import BLOCKS_SQL, CNST, PE_SQL, text_sql
+from juncture.plans.reads import BLOCKS_SQL, CNST, PE_SQL, SE_SQL, single_end, text_sql
 from juncture.plans.registry import query
 
 CANONICAL = ["[[1267,1359]]", "[[1267,1350]]", "[]"]
@@ -23,6 +23,30 @@ def _(t):
     return _counts(t)
 
 
+@query("isoform_read_counts_se", "sample:s isoform:s read_count:i",
+       f"{SE_SQL} select sample, coalesce(status, isoform) as isoform, count(*) as read_count from se where status is null or status not in ('bad_ends', 'soft_clipped') group by 1, 2")
+def _(t):
+    return I.isoform_read_counts(single_end(t), keep_qc=False)
+
+
+@query("soft_clipped_reads", "sample:s qname:s mate:i", f"{SE_SQL} select sample, qname, mate from se where status = 'soft_clipped'")
+def _(t):
+    return I.soft_clipped_reads(single_end(t))
+
+
+_SE_KINDS = {"unmapped_reads": "unmapped", "bad_starts": "bad_starts", "bad_ends": "bad_ends", "soft_clipped": "soft_clipped"}
+
+
+@query("barcode_isoform_counts_se", "sample:s barcode:s num_reads:i " + " ".join(f"{c}:i" for c in _SE_KINDS) + " other_isoform:i SKIP:i TAIL:i usable_reads:i",
+       f"""{SE_SQL}, c as (select sample, barcode, count(*) as num_reads, {', '.join(f"count(*) filter (where status = '{w}') as {c}" for c, w in _SE_KINDS.items())},
+         count(*) filter (where isoform = '[]') as "SKIP", count(*) filter (where isoform = '[[1268,1358]]') as "TAIL",
+         count(*) filter (where status is null and isoform not in ('[]', '[[1268,1358]]')) as other_isoform from se group by 1, 2)
+       select *, num_reads - unmapped_reads - bad_starts - bad_ends - soft_clipped - other_isoform as usable_reads from c""")
+def _(t):
+    names = t.spark.createDataFrame([("[]", "SKIP"), ("[[1268,1358]]", "TAIL")], "isoform string, name string")
+    return B.barcode_isoform_counts(single_end(t), names, ["SKIP", "TAIL"], ["sample", "barcode"])
+
+
 @query("append_unmapped_total", "sample:s isoform:s read_count:i",
        f"""select sample, isoform, case isoform when 'unmapped' then (select max(n) from (select mate, count(*) as n from fx_mates m
          where m.sample = c.sample and (flag // 4) % 2 = 1  group by mate)) else read_count end as read_count from {_COUNTS} c""")
@@ -44,14 +68,13 @@ def _(t):
 @query("barcode_isoform_counts_by_start", "barcode:s num_reads:i unmapped_reads:i bad_starts:i full:i skip:i usable_reads:i full_psi:d skip_psi:d",
        f"""with {BLOCKS_SQL},
        x as (select barcode, (flag // 4) % 2 = 1 as u, coalesce((flag // 4) % 2 = 0 and abs(blocks[1].s - 626) > 4, false) as s,
-         list_filter([696, 1267, 1359, 3478], lambda j: len(list_filter(blocks, lambda b: b.s <= j + 4 and b.e - 1 >= j - 4)) > 0) as j from blk where mate = 1),
+         list_filter([696, 1267, 1359, 3478], lambda j: len(list_filter(blocks, lambda b: b.s <= j + 4 and b.e - 1 >= j - 4)) > 0) as j from blk),
        g as (select barcode, count(*) as num_reads, sum(case when u then 1 else 0 end) as unmapped_reads, sum(case when s then 1 else 0 end) as bad_starts,
          sum(case when not u and not s and j = [696, 1267, 1359] then 1 else 0 end) as "full", sum(case when not u and not s and j = [696, 3478] then 1 else 0 end) as skip from x group by barcode)
        select *, num_reads - unmapped_reads - bad_starts as usable_reads, "full" / nullif((num_reads - unmapped_reads - bad_starts) * 1e0, 0) as full_psi,
          skip / nullif((num_reads - unmapped_reads - bad_starts) * 1e0, 0) as skip_psi from g""")
 def _(t):
-    reads = t("fx_mates").filter("mate = 1").withColumn("blocks", RD.cigar_to_blocks("pos", "cigar"))
-    return I.barcode_isoform_counts_by_start(reads, {"full": [696, 1267, 1359], "skip": [696, 3478]}, 626, 4)
+    return I.barcode_isoform_counts_by_start(RD.with_blocks(t("fx_mates")), {"full": [696, 1267, 1359], "skip": [696, 3478]}, 626, 4)
 
 
 def _blocks(t):
@@ -175,6 +198,61 @@ def _(t):
     return I.isoform_filter_code(_per_variant(t), catalog, [1267, 1350, 1359], ["[[1267,1350]]", "[]"], min_top=30)
 
 
+# lists of several variants: every code occurs
+_LPV = """pv as (select sample, isoform, variant_list, count(*) as n_bc, max(n) as max_n, sum(n) as sum_n
+    from fx_list_counts b join fx_lists s on b.barcode = s.barcode group by 1, 2, 3),
+  st as (select sample, isoform, sum(n_bc) as num_bcs, count(*) as num_vars, max(max_n) as max_reads_per_bc, sum(sum_n) as sum_sa_reads, max(n_bc) as max_bc_per_var from pv group by 1, 2),
+  one as (select sample, isoform, variant_list, n_bc, unnest(string_split(variant_list, ',')) as v, unnest(range(1, len(string_split(variant_list, ',')) + 1)) as i from pv),
+  twice as (select sample, isoform, max(c) > 1 as twice from (select sample, isoform, v, count(*) as c from one group by 1, 2, 3) group by 1, 2),
+  top as (select sample, isoform, arg_min(variant_list, row(-n_bc, variant_list)) as top_var from pv group by 1, 2),
+  v as (select sample, isoform, cast(split_part(v, ':', 2) as int) as pos, n_bc, row_number() over (partition by sample, isoform order by n_bc desc, variant_list, i) as k from one),
+  r(sample, isoform, k, cl, found) as (
+    select distinct sample, isoform, 0, cast([] as struct(p int, n int, b bigint)[]), false from v
+    union all
+    select sample, isoform, k + 1, case when i is null then list_append(cl, {'p': pos, 'n': 1, 'b': n_bc})
+        else list_transform(range(1, len(cl) + 1), lambda x: case when x = i then {'p': cl[x].p, 'n': cl[x].n + 1, 'b': cl[x].b + n_bc} else cl[x] end) end,
+      i is not null and cl[i].n + 1 = 3 and (cl[i].b + n_bc) / 3e0 >= 3
+    from (select r.sample, r.isoform, r.k, cl, v.pos, v.n_bc, nullif(list_position(list_transform(cl, lambda c: abs(c.p - v.pos) <= 10), true), 0) as i
+          from r join v on r.sample = v.sample and r.isoform = v.isoform and v.k = r.k + 1 where not found)),
+  cluster as (select sample, isoform, bool_or(found) as clustered from r group by 1, 2),
+  odd as (select isoform, cast(unnest(regexp_extract_all(isoform, '[0-9]+')) as int) as j from (select distinct isoform from pv where isoform like '[%'))"""
+
+
+def _code_sql(first_only):
+    odd = "(select isoform, min(j) as j from odd where j not in (1267, 1350, 1359) group by isoform)" if first_only else "(select isoform, j from odd where j not in (1267, 1350, 1359))"
+    return f"""select s.*, top_var, case when s.isoform not like '[%' then 0 when s.isoform = '[[1267,1350]]' then 1 when max_bc_per_var >= 60 then 2
+         when max_bc_per_var <= 2 and max_reads_per_bc <= 2 then 0
+         when exists (select 1 from {odd} o, (select unnest(string_split(top_var, ',')) as x) p where o.isoform = s.isoform and abs(cast(split_part(p.x, ':', 2) as int) - o.j) <= 10) then 3
+         when clustered then 4 when twice then 5 else 0 end as "filter"
+       from st s join top t on s.sample = t.sample and s.isoform = t.isoform join cluster c on s.sample = c.sample and s.isoform = c.isoform
+       join twice w on s.sample = w.sample and s.isoform = w.isoform"""
+
+
+def _list_codes(t, first_only=False):
+    per_variant = I.isoform_variant_counts(t("fx_list_counts"), t("fx_lists"))
+    catalog = t("fx_list_counts").filter("isoform like '[%'").select("isoform").distinct().withColumn("blocks", parse_isoform_text("isoform"))
+    return I.isoform_filter_code(per_variant, catalog, [1267, 1350, 1359], ["[[1267,1350]]"], min_top=60, first_only=first_only)
+
+
+@query("isoform_filter_code_lists", "sample:s isoform:s num_bcs:i num_vars:i top_var:s filter:i", f"with recursive {_LPV} {_code_sql(False)}")
+def _(t):
+    return _list_codes(t)
+
+
+@query("isoform_filter_code_first_junction", "sample:s isoform:s num_bcs:i num_vars:i top_var:s filter:i", f"with recursive {_LPV} {_code_sql(True)}")
+def _(t):
+    return _list_codes(t, first_only=True)
+
+
+@query("isoform_totals", "isoform:s total_read_count:i total_num_bcs:i total_num_vars:i total_sum_sa_reads:i total_passfilt:i",
+       f"""with recursive {_LPV}, x as ({_code_sql(False)}), n as (select sample, isoform, sum(n) as read_count from fx_list_counts group by 1, 2)
+       select x.isoform, sum(read_count) as total_read_count, sum(num_bcs) as total_num_bcs, sum(num_vars) as total_num_vars, sum(sum_sa_reads) as total_sum_sa_reads,
+         count(*) filter (where "filter" <> 0) as total_passfilt from x join n on x.sample = n.sample and x.isoform = n.isoform group by 1""")
+def _(t):
+    counts = t("fx_list_counts").groupBy("sample", "isoform").agg(F.sum("n").alias("read_count"))
+    return I.isoform_totals(counts.join(_list_codes(t), ["sample", "isoform"]))
+
+
 _WTB = "(select barcode from fx_subasm where status = 'apparently_wt_no_passing_vars')"
 
 
@@ -230,5 +308,16 @@ def _(t):
 @query("inspect_barcode_isoforms", "isoform:s barcode:s n:i",
        "select coalesce(status, isoform) as isoform, barcode, count(*) as n from fx_reads where barcode in (select barcode from fx_subasm where n_variants_passing = 2) group by 1, 2")
 def _(t):
+    return _inspected(t)[0]
+
+
+def _inspected(t):
     reads = t("fx_reads").withColumn("isoform", F.coalesce("status", "isoform"))
-    return I.inspect_barcode_isoforms(reads, t("fx_subasm").filter("n_variants_passing = 2"), ["[[1236,1359]]"])[0]
+    return I.inspect_barcode_isoforms(reads, t("fx_subasm").filter("n_variants_passing = 2"), ["[[1236,1359]]", "soft_clipped"])
+
+
+@query("inspect_suspicious_reads", "sample:s barcode:s qname:s isoform:s",
+       """select sample, barcode, qname, coalesce(status, isoform) as isoform from fx_reads
+       where barcode in (select barcode from fx_subasm where n_variants_passing = 2) and coalesce(status, isoform) in ('[[1236,1359]]', 'soft_clipped')""")
+def _(t):
+    return _inspected(t)[1]

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from juncture.functions.coordinates import isoform_text
 from juncture.operators import reads as RD
+from juncture.operators.reference import reference_chunks
 from juncture.plans.registry import query
 
 CNST = ((649, 696), (3478, 3533))
@@ -54,11 +55,43 @@ def _(t):
          when coalesce(list_sum(list_transform(blocks, lambda x: x.e - x.s + 1)), 0) < 95 then 'soft_clipped' end as status from f)
        select qname, mate, status, case when status is null then {text_sql('iso')} end as isoform from g""")
 def _(t):
-    m = t("fx_mates").withColumn("blocks", RD.cigar_to_blocks("pos", "cigar"))
-    n = m.withColumn("n", RD.normalize_junctions_se("blocks", CNST, 3, 95))
+    n = RD.with_blocks(t("fx_mates")).withColumn("n", RD.normalize_junctions_se("blocks", CNST, 3, 95))
     return n.select("qname", "mate", "n.status", isoform_text("n.isoform").alias("isoform"))
 
 
+# single-end outcomes: every mate as a read of its own
+SE_SQL = f"""with recursive {BLOCKS_SQL},
+       base as (select barcode, qname, mate, flag, blocks, list_filter(list_transform(blocks, lambda x: {{'s': x.s + 1, 'e': x.e}}), lambda x: x.s >= 696 and x.e < 3479) as ins from blk),
+       r(qname, mate, k, res) as (
+         select qname, mate, 0, cast([] as struct(s int, e int)[]) from base
+         union all
+         select r.qname, r.mate, k + 1, case when k > 0 and ins[k + 1].s = ins[k].e + 1
+             then list_concat(res[1:len(res) - 1], [{{'s': ins[k].s, 'e': ins[k + 1].e}}]) else list_append(res, ins[k + 1]) end
+         from r join base b on r.qname = b.qname and r.mate = b.mate where k < len(ins)),
+       f as (select b.*, case when len(res) > 0 and res[len(res)].e - res[len(res)].s <= 3 then res[1:len(res) - 1] else res end as iso
+         from base b join r on r.qname = b.qname and r.mate = b.mate and r.k = len(b.ins)),
+       g as (select *, case when (flag // 4) % 2 = 1 then 'unmapped' when len(list_filter(blocks, lambda x: x.e between 693 and 699)) = 0 then 'bad_starts'
+         when not (len(blocks) = 0 or blocks[len(blocks)].e < 3478 or len(list_filter(blocks, lambda x: x.s between 3475 and 3481)) > 0) then 'bad_ends'
+         when coalesce(list_sum(list_transform(blocks, lambda x: x.e - x.s + 1)), 0) < 95 then 'soft_clipped' end as status from f),
+       se as (select concat('S', cast(cast(split_part(qname, '-', 4) as int) % 4 as varchar)) as sample, barcode, qname, mate, status,
+         case when status is null then {text_sql('iso')} end as isoform from g)"""
+
+
+def single_end(t):
+    """Every mate as a single-end read, with the isoform as text."""
+    return RD.single_end_outcomes(t("fx_mates"), CNST, 3, 95).withColumn("isoform", isoform_text("isoform"))
+
+
+@query("single_end_outcomes", "qname:s mate:i status:s isoform:s", f"{SE_SQL} select qname, mate, status, isoform from se")
+def _(t):
+    return single_end(t)
+
+
+@query("rejected_reads", "qname:s mate:i status:s", f"{SE_SQL} select qname, mate, status from se where status is not null")
+def _(t):
+    return RD.rejected_reads(single_end(t))
+
+
 PE_SQL = f"""with recursive {BLOCKS_SQL},
   ri(qname, mate, k, j, skip, res) as (
     select qname, mate, 1, 1, false, cast([] as struct(s int, e int)[]) from blk
@@ -116,10 +149,12 @@ _VEC = "(select repeat(string_agg(base, '' order by pos), 20) as v from fx_base)
               else {{'s': blocks[k].s, 'e': blocks[k].e}} end) as nb from y)
        select qname, mate, {text_sql('nb')} as blocks from o""")
 def _(t):
-    bases = t("fx_base").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "").alias("s"))
-    vector = bases.select(F.repeat("s", F.lit(20)).alias("seq"))
-    m = t("fx_mates").withColumn("blocks", RD.cigar_to_blocks("pos", "cigar"))
-    return RD.repair_constant_junctions(m, vector, CNST).withColumn("blocks", isoform_text("blocks"))
+    # the construct: the reference bases twenty times over, one row per position
+    size = t("fx_base").agg(F.count(F.lit(1)).cast("int").alias("n")).scalar()
+    first = t("fx_base").agg(F.min("pos").alias("p")).scalar()
+    bases = t("fx_base").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    bases = bases.select(F.lit("construct").alias("chrom"), (F.col("pos") - first + 1 + F.col("k") * size).alias("pos"), "base")
+    return RD.repair_constant_junctions(RD.with_blocks(t("fx_mates")), reference_chunks(bases), CNST, "construct").withColumn("blocks", isoform_text("blocks"))
 
 
 @query("primary_alignments", "qname:s mate:i hi:i", "select qname, mate, hi from fx_mates where hi is null or hi = 1")

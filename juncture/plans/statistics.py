@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from juncture.functions.columns import attach
 from juncture.operators import statistics as S
 from juncture.operators.barcodes import variant_summary_pe
 from juncture.plans.barcodes import SAMPLES
@@ -41,15 +40,15 @@ def _bootstrapped(t, boots=1000):
 
 
 @query("bootstrap_null", "varlist:s sample:s wmean_bs_WT_skip:d wstdev_bs_WT_skip:d",
-       f"""with l as (select cast(pos as bigint) * 10 + instr('ACGT', alt) as b, n_bc_passfilt as n from fx_tbv where sample = 'S0'),
-       w as (select * from fx_null where sample = 'S1'),
-       g as (select b, n, unnest(range(n)) as d from l),
-       x as (select b, n, d, {_DRAW.format(n='n')} as idx from g, (select count(*) as m from w)),
-       r as (select x.b, sum(usable_reads * skip_psi) / sum(usable_reads) as v from x join {_IDX.format(by='sample', src='w')} i on i.idx = x.idx group by x.b)
-       select varlist, sample, (select avg(v) from r) as "wmean_bs_WT_skip", (select stddev_pop(v) from r) as "wstdev_bs_WT_skip" from fx_long""")
+       f"""with l as (select sample, cast(pos as bigint) * 10 + instr('ACGT', alt) as b, n_bc_passfilt as n from fx_tbv),
+       g as (select sample, b, n, unnest(range(n)) as d from l),
+       x as (select g.sample, b, n, d, {_DRAW.format(n='n')} as idx from g join (select sample, count(*) as m from fx_null group by sample) k on g.sample = k.sample),
+       r as (select x.sample, x.b, sum(usable_reads * skip_psi) / sum(usable_reads) as v from x join {_IDX.format(by='sample', src='fx_null')} i on i.sample = x.sample and i.idx = x.idx group by 1, 2),
+       o as (select sample, avg(v) as "wmean_bs_WT_skip", stddev_pop(v) as "wstdev_bs_WT_skip" from r group by sample)
+       select varlist, l.sample, "wmean_bs_WT_skip", "wstdev_bs_WT_skip" from fx_long l left join o on l.sample = o.sample""")
 def _(t):
-    wanted = t("fx_tbv").filter("sample = 'S0'").selectExpr("cast(pos as bigint) * 10 + instr('ACGT', alt) as b", "n_bc_passfilt as n")
-    return S.bootstrap_null(wanted, t("fx_null").filter("sample = 'S1'"), t("fx_long"), ["skip"], S.arithmetic_draw)
+    wanted = t("fx_tbv").selectExpr("sample", "cast(pos as bigint) * 10 + instr('ACGT', alt) as b", "n_bc_passfilt as n")
+    return S.bootstrap_null(wanted, t("fx_null"), t("fx_long"), ["skip"], S.arithmetic_draw, ["sample"])
 
 
 @query("bootstrap_null_by_count", f"varlist:s sample:s n_bc_passfilt:i {_BS}",
@@ -125,6 +124,16 @@ def _(t):
     return S.bonferroni_calls(_scored(t), ["skip"], ["full"])
 
 
+@query("calls_over_samples", "varlist:s sdv_sum:i intmed_sum:i",
+       f"""with z as (select *, log2((wmean_full + 0.001) / (wmean_skip + 0.001)) as r from {_Z}),
+       a as (select {_CUT} as cut from (select alpha, sqrt(-2 * ln(alpha)) as q from (select 0.05 / max(n) as alpha from (select count(*) as n from fx_tbv group by sample)))),
+       f as (select varlist, coalesce(zwmean_bs_null_skip >= cut and wmean_diff_skip >= 0.2, false) or coalesce(abs(zwmean_bs_null_full) >= cut and (wmean_full >= 1.5 or wmean_full <= -1), false) as sdv,
+         coalesce(zwmean_bs_null_skip >= cut and wmean_diff_skip >= 0.1, false) or coalesce(abs(zwmean_bs_null_full) >= cut and (wmean_full >= 1 or wmean_full <= -0.5), false) as med from z, a)
+       select varlist, count(*) filter (where sdv) as sdv_sum, count(*) filter (where med and not sdv) as intmed_sum from f group by varlist""")
+def _(t):
+    return S.calls_over_samples(S.bonferroni_calls(_scored(t), ["skip"], ["full"]), ["varlist"])
+
+
 @query("rank_cutoff", "sample:s percentile:d x:d y:i", f"select * from {CUT_SQL.format(v='num_reads', ps='75e0, 95e0')}")
 def _(t):
     return S.rank_cutoff(t("fx_bcs"), "num_reads", [75, 95], ["sample"])
@@ -202,21 +211,21 @@ def _(t):
     return S.sdv_replication(t("fx_long").withColumn("sdv", F.col("wmean_skip") >= 0.5))
 
 
-@query("variant_completeness", "pos:i A:i C:i G:i T:i n_present:i n_possible:i per_present:d",
-       """with m as (select pos, max(n_bc_passfilt) filter (where alt = 'A') as "A", max(n_bc_passfilt) filter (where alt = 'C') as "C", max(n_bc_passfilt) filter (where alt = 'G') as "G",
-         max(n_bc_passfilt) filter (where alt = 'T') as "T" from fx_tbv where sample = 'S0' group by pos),
-       s as (select count(*) filter (where n_bc_passfilt > 0) as n_present from fx_tbv where sample = 'S0')
-       select m.*, n_present, (select 3 * count(*) from m) as n_possible, 100e0 * n_present / (select 3 * count(*) from m) as per_present from m, s""")
+@query("variant_completeness", "sample:s pos:i A:i C:i G:i T:i n_present:i n_possible:i per_present:d",
+       """with m as (select sample, pos, max(n_bc_passfilt) filter (where alt = 'A') as "A", max(n_bc_passfilt) filter (where alt = 'C') as "C", max(n_bc_passfilt) filter (where alt = 'G') as "G",
+         max(n_bc_passfilt) filter (where alt = 'T') as "T" from fx_tbv group by 1, 2),
+       s as (select sample, count(*) filter (where n_bc_passfilt > 0) as n_present, 3 * count(distinct pos) as n_possible from fx_tbv group by sample)
+       select m.*, n_present, n_possible, 100e0 * n_present / n_possible as per_present from m join s on m.sample = s.sample""")
 def _(t):
-    matrix, total = S.variant_completeness(t("fx_tbv").filter("sample = 'S0'"))
-    return attach(matrix, total)
+    matrix, total = S.variant_completeness(t("fx_tbv"), by=["sample"])
+    return matrix.join(total, "sample")
 
 
-@query("psi_position_matrix", "pos:i A:d C:d G:d T:d",
-       """select pos, max(wmean_skip) filter (where alt = 'T') as "A", max(wmean_skip) filter (where alt = 'G') as "C", max(wmean_skip) filter (where alt = 'C') as "G",
-       max(wmean_skip) filter (where alt = 'A') as "T" from fx_tbv where sample = 'S0' and pos between 1300 and 2500 group by pos""")
+@query("psi_position_matrix", "sample:s pos:i A:d C:d G:d T:d",
+       """select sample, pos, max(wmean_skip) filter (where alt = 'T') as "A", max(wmean_skip) filter (where alt = 'G') as "C", max(wmean_skip) filter (where alt = 'C') as "G",
+       max(wmean_skip) filter (where alt = 'A') as "T" from fx_tbv group by 1, 2""")
 def _(t):
-    return S.psi_position_matrix(t("fx_tbv").filter("sample = 'S0'"), "wmean_skip", (1300, 2500), rev=True)
+    return S.psi_position_matrix(t("fx_tbv"), "wmean_skip", rev=True, by=["sample"])
 
 
 _REG = {"ex": "s.pos between e.start_pos and e.end_pos", "us_int": "s.pos between e.start_pos - 12 and e.start_pos - 1", "ds_int": "s.pos between e.end_pos + 1 and e.end_pos + 12"}
@@ -244,20 +253,22 @@ _LF = "(lgamma({0} + 1e0))"
 _HYP = "exp(lgamma(r1 + 1e0) + lgamma(n - r1 + 1e0) + lgamma(c1 + 1e0) + lgamma(n - c1 + 1e0) - lgamma(n + 1e0) - lgamma({k} + 1e0) - lgamma(r1 - {k} + 1e0) - lgamma(c1 - {k} + 1e0) - lgamma(n - r1 - c1 + {k} + 1e0))"
 
 
-@query("motif_enrichment", "motif:s wt_max:d below:i sdv_below:i sdvs:i total:i odds:d p:d",
-       f"""with r as (select * from {_MOTIF} where pos between 1300 and 2600),
+@query("motif_enrichment", "motif:s name:s wt_max:d below:i sdv_below:i sdvs:i total:i odds:d p:d",
+       f"""with r as (select * from {_MOTIF} where motif in (select motif from fx_proteins where species = 'Homo_sapiens')),
        g as (select motif, count(*) filter (where chg <= -0.8) as below, count(*) filter (where chg <= -0.8 and sdv) as sdv_below, count(*) filter (where sdv) as sdvs, count(*) as total from r group by motif),
        w as (select motif, max(wt) as wt_max from (select motif, pos, avg(wt) filter (where sdv) as wt from r group by 1, 2) group by 1),
        x as (select g.*, wt_max, sdvs as r1, below as c1, total as n from g join w on g.motif = w.motif where wt_max >= 0.5 and below > 0),
        k as (select motif, r1, c1, n, sdv_below, unnest(range(greatest(0, r1 + c1 - n), least(r1, c1) + 1)) as k from x),
-       q as (select motif, sum(case when {_HYP.format(k='k')} <= {_HYP.format(k='sdv_below')} * (1 + 1e-7) then {_HYP.format(k='k')} end) as p from k group by motif)
-       select x.motif, wt_max, below, sdv_below, sdvs, total, (sdv_below * 1e0 * (total - sdvs - (below - sdv_below))) / ((sdvs - sdv_below) * 1e0 * (below - sdv_below)) as odds, p
-       from x join q on x.motif = q.motif where p < 0.05 and (sdv_below * 1e0 * (total - sdvs - (below - sdv_below))) / ((sdvs - sdv_below) * 1e0 * (below - sdv_below)) > 1""")
+       q as (select motif, sum(case when {_HYP.format(k='k')} <= {_HYP.format(k='sdv_below')} * (1 + 1e-7) then {_HYP.format(k='k')} end) as p from k group by motif),
+       s as (select motif, string_agg(protein, '_' order by protein) as names from (select distinct motif, protein from fx_proteins where species = 'Homo_sapiens') group by motif)
+       select x.motif, concat(names, '_', x.motif) as name, wt_max, below, sdv_below, sdvs, total, (sdv_below * 1e0 * (total - sdvs - (below - sdv_below))) / ((sdvs - sdv_below) * 1e0 * (below - sdv_below)) as odds, p
+       from x join q on x.motif = q.motif join s on x.motif = s.motif
+       where p < 0.05 and (sdv_below * 1e0 * (total - sdvs - (below - sdv_below))) / ((sdvs - sdv_below) * 1e0 * (below - sdv_below)) > 1""")
 def _(t):
     long = t("fx_scores").withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(5))))
     long = long.selectExpr("concat('m', m) as motif", "pos", "score_a >= 0.5 as sdv", "(pos * (m + 3) % 10) / 1e1 as wt",
                            "-((pos * (m + 5) + ascii(alt) * m) % 10) / 1e1 - case when score_a >= 0.5 and m % 2 = 0 then 0.3e0 else 0e0 end as chg")
-    return S.motif_enrichment(long, (1300, 2600), 0.5, -0.8, 0.05)
+    return S.motif_enrichment(long, None, 0.5, -0.8, 0.05, t("fx_proteins"))
 
 
 _PAIRS = [(a, b) for a in SAMPLES for b in SAMPLES if a != b]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from juncture.functions.coordinates import isoform_text
 from juncture.operators import isoforms as I
 from juncture.operators import reads as R
+from juncture.operators.reference import chunk_sequences
 
 CNST = ((649, 696), (3478, 3533))
 BLK = "array<struct<start:int,end:int>>"
@@ -87,8 +88,8 @@ def test_repair_moves_only_matching_boundaries(spark):
     seq[1266:1271] = "CGCGC"
     rows = [("hit", 0, [(626, 691), (1266, 1359)]), ("other", 0, [(626, 691), (1280, 1359)]), ("fine", 0, [(626, 696), (1266, 1359)]), ("one", 0, [(626, 691)])]
     reads = spark.createDataFrame(rows, f"q string, flag int, blocks {BLK}")
-    vector = spark.createDataFrame([("".join(seq),)], "seq string")
-    got = {r.q: [tuple(b) for b in r.blocks] for r in R.repair_constant_junctions(reads, vector, CNST).collect()}
+    chunks = chunk_sequences(spark.createDataFrame([("construct", "".join(seq))], "name string, seq string"))
+    got = {r.q: [tuple(b) for b in r.blocks] for r in R.repair_constant_junctions(reads, chunks, CNST, "construct").collect()}
     assert got["hit"] == [(626, 696), (1271, 1359)]
     assert got["other"] == [(626, 691), (1280, 1359)]
     assert got["fine"] == [(626, 696), (1266, 1359)] and got["one"] == [(626, 691)]

@@ -28,7 +28,7 @@ def test_running_totals_over_many_buckets(spark):
 
 def test_number_rows_is_a_permutation_in_order(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(7)
-    got = O.number_rows(df, [F.desc("x")], "n").collect()
+    got = O.number_rows(df, [-F.col("x")], "n").collect()
     assert sorted((r.n, r.x) for r in got) == [(i + 1, 999 - i) for i in range(1000)]
 
 
