@@ -11,6 +11,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import sys
+import types
 from collections.abc import Iterator
 from itertools import islice
 
@@ -19,8 +21,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes that are merged directly; pieces in each of the two generations that a task remembers; pieces handled at a time.
-LEAF, REMEMBERED, AT_ONCE = 48, 100_000, 1 << 16
+#: Bytes of a leaf of the tree; bytes up to which a list of pairs is quicker than a heap; pieces, and pairs of neighbours, in each of
+#: the two generations that a worker remembers; pieces handled at a time.
+LEAF, SHORT, REMEMBERED, AT_ONCE = 4, 48, 250_000, 1 << 16
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -33,7 +36,7 @@ def merge_by_rank(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     n = len(data)
     if n < 2:
         return [data] if data else []
-    if n <= LEAF:
+    if n <= SHORT:
         return _merge_short(data, ranks)
     parts: list[bytes | None] = [data[i : i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -71,35 +74,55 @@ def _merge_short(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
-def settled(a: bytes, b: bytes, ranks: dict[bytes, int]) -> bool:
-    return merge_by_rank(a + b, ranks) == [a, b]
+class Joiner:
+    """The tree reduction over one vocabulary. It remembers leaves, windows and settled neighbours, and counts the joins it makes."""
 
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.joins, self.windows = ranks, 0, 0
+        self.seams: dict[tuple[bytes, bytes], bool] = {}
+        self.merged: dict[bytes, list[bytes]] = {}
 
-def join(left: list[bytes], right: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
-    """The encoding of the bytes of both sides from the encodings of each."""
-    if not left or not right or settled(left[-1], right[0], ranks):
-        return left + right
-    size = 1
-    while True:
-        size *= 2
-        head, tail = left[:-size], right[size:]
-        window = merge_by_rank(b"".join(left[-size:] + right[:size]), ranks)
-        if (not head or settled(head[-1], window[0], ranks)) and (not tail or settled(window[-1], tail[0], ranks)):
-            return head + window + tail
-
-
-def encode_piece(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """Tokens of one piece, halves first."""
-    if data in ranks:
-        return [data]
-    return encode_tree(data, ranks)
+    def merge(self, data: bytes) -> list[bytes]:
+        found = self.merged.get(data)
+        if found is None:
+            found = merge_by_rank(data, self.ranks)
+            if len(data) <= 16:
+                if len(self.merged) >= REMEMBERED:
+                    self.merged.clear()
+                self.merged[data] = found
+        return found
 
+    def settled(self, a: bytes, b: bytes) -> bool:
+        """Whether two adjacent tokens are the encoding of their bytes."""
+        found = self.seams.get((a, b))
+        if found is None:
+            if len(self.seams) >= REMEMBERED:
+                self.seams.clear()
+            found = self.seams[a, b] = self.merge(a + b) == [a, b]
+        return found
 
-def encode_tree(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    if len(data) <= LEAF:
-        return merge_by_rank(data, ranks)
-    middle = len(data) // 2
-    return join(encode_tree(data[:middle], ranks), encode_tree(data[middle:], ranks), ranks)
+    def join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
+        """The encoding of the bytes of both sides from the encodings of each."""
+        self.joins += 1
+        if not left or not right or self.settled(left[-1], right[0]):
+            return left + right
+        size = 1
+        while True:
+            size *= 2
+            self.windows += 1
+            head, tail = left[:-size], right[size:]
+            window = self.merge(b"".join(left[-size:] + right[:size]))
+            if (not head or self.settled(head[-1], window[0])) and (not tail or self.settled(window[-1], tail[0])):
+                return head + window + tail
+
+    def encode(self, data: bytes) -> list[bytes]:
+        """Tokens of one piece, halves first."""
+        if data in self.ranks:
+            return [data]
+        if len(data) <= LEAF:
+            return self.merge(data)
+        middle = len(data) // 2
+        return self.join(self.encode(data[:middle]), self.encode(data[middle:]))
 
 
 def decode_tree(ids: list[int], tokens: dict[int, bytes]) -> bytes:
@@ -123,17 +146,17 @@ def _encoder(raw: bytes, pattern: str):
     """A function from text to an iterator of (ids, their decimal text, decoded bytes) for runs of pieces."""
     ranks = parse_ranks(raw)
     tokens = {rank: token for token, rank in ranks.items()}
-    split = regex.compile(pattern)
+    split, tree = regex.compile(pattern), Joiner(ranks)
     known: dict[str, tuple[str, bytes]] = {}
     older: dict[str, tuple[str, bytes]] = {}
 
     def look(piece: str) -> tuple[str, bytes]:
         nonlocal older
-        found = known.get(piece) or older.get(piece)
+        found = older.get(piece)
         if found is None:
-            ids = [ranks[t] for t in encode_piece(piece.encode(), ranks)]
+            ids = [ranks[t] for t in tree.encode(piece.encode())]
             found = ",".join(map(str, ids)), decode_tree(ids, tokens)
-        if len(piece) <= LEAF:
+        if len(piece) <= SHORT:
             if len(known) >= REMEMBERED:
                 older = dict(known)
                 known.clear()
@@ -154,13 +177,22 @@ def _encoder(raw: bytes, pattern: str):
     return encode
 
 
+def kept_encoder(raw: bytes, pattern: str):
+    """The encoder of a Python worker, with what it remembers from its earlier tasks."""
+    kept = sys.modules.setdefault("_bpe_encoders", types.ModuleType("_bpe_encoders")).__dict__
+    key = hashlib.sha256(raw + pattern.encode()).hexdigest()
+    if key not in kept:
+        kept[key] = _encoder(raw, pattern)
+    return kept[key]
+
+
 def encode_ids(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """All rows and columns of ``docs`` plus the token ids as ``array<int>``; a null text is an empty one."""
     raw = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = _encoder(raw.value, pattern)
+        encode = kept_encoder(raw.value, pattern)
         for texts in batches:
             yield pa.array([[int(i) for run, _ in encode(t or "") for i in run.split(",")] for t in texts.to_pylist()], pa.list_(pa.int32()))
 
@@ -190,7 +222,7 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
     def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = _encoder(raw.value, pattern)
+        encode = kept_encoder(raw.value, pattern)
         for texts in batches:
             counts, ids_hex, bytes_hex = [], [], []
             for text in texts:

@@ -20,6 +20,7 @@ from tests.llm import fixtures as fx
 PATH, PATTERN = tokenizer()
 RAW = bpe.read_ranks(PATH)
 RANKS = bpe.parse_ranks(RAW)
+TREE = bpe.Joiner(RANKS)
 TIKTOKEN = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
 
@@ -91,7 +92,7 @@ def test_chat_escapes_are_reversible(text, role):
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(st.text(max_size=200), st.text("ab ", max_size=300), st.text("thein", min_size=100, max_size=400)))
 def test_bpe_is_tiktokens(text):
-    ids = [int(i) for run, _ in bpe._encoder(RAW, PATTERN)(text) for i in run.split(",")] if len(text) < 40 else [RANKS[t] for m in bpe.regex.findall(PATTERN, text) for t in bpe.encode_piece(m.encode(), RANKS)]
+    ids = [int(i) for run, _ in bpe._encoder(RAW, PATTERN)(text) for i in run.split(",")] if len(text) < 40 else [RANKS[t] for m in bpe.regex.findall(PATTERN, text) for t in TREE.encode(m.encode())]
     assert ids == TIKTOKEN.encode_ordinary(text)
 
 
@@ -99,7 +100,7 @@ def test_bpe_is_tiktokens(text):
 @given(st.text("aàbct", min_size=1, max_size=120), st.text("aàbct", min_size=1, max_size=120))
 def test_bpe_join_is_the_encoding_of_both(a, b):
     a, b = a.encode(), b.encode()
-    assert bpe.join(bpe.merge_by_rank(a, RANKS), bpe.merge_by_rank(b, RANKS), RANKS) == bpe.merge_by_rank(a + b, RANKS)
+    assert TREE.join(bpe.merge_by_rank(a, RANKS), bpe.merge_by_rank(b, RANKS)) == bpe.merge_by_rank(a + b, RANKS)
 
 
 def test_bpe_round_trip_and_edge_cases(docs):
@@ -112,7 +113,7 @@ def test_bpe_round_trip_and_edge_cases(docs):
     decoded = bpe.decode_ids(bpe.encode_ids(docs, PATH, PATTERN), PATH).collect()
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in decoded)
     one_piece = "ab" * 40_000
-    assert bpe.encode_piece(one_piece.encode(), RANKS) == [TIKTOKEN.decode_single_token_bytes(i) for i in TIKTOKEN.encode_ordinary(one_piece)]
+    assert TREE.encode(one_piece.encode()) == [TIKTOKEN.decode_single_token_bytes(i) for i in TIKTOKEN.encode_ordinary(one_piece)]
 
 
 # HTML
@@ -408,3 +409,14 @@ def test_pipeline_on_generated_documents(spark):
 
 def test_public_tokenizer_is_a_parameter():
     assert tokenizer("byte_bpe_50k.tiktoken")[0] == public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def test_bpe_joins_ordinary_words(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    words = {w for t in texts for w in bpe.regex.findall(PATTERN, t)}
+    tree = bpe.Joiner(RANKS)
+    long = [w.encode() for w in words if len(w.encode()) > bpe.LEAF and w.encode() not in RANKS]
+    for w in long:
+        assert tree.encode(w) == bpe.merge_by_rank(w, RANKS)
+    # nearly every word is put together from halves, and many seams take a window
+    assert len(long) > len(words) / 2 and tree.joins >= len(long) and tree.windows > len(long) / 3
