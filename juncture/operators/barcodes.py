@@ -80,7 +80,7 @@ def _summary(df: DataFrame, keys: list[str], min_usable: int | Column, sums: dic
         *extra,
     ]
     medians = {f"median_{iso}": F.when(passes, ratio(iso, "usable_reads")) for iso in isos}
-    return beside(df.groupBy(*keys).agg(*aggs), exact_quantiles(df, keys, medians), keys)
+    return beside(df.groupBy(*keys).agg(*aggs), exact_quantiles(df, keys, medians, span=(0.0, 1.0)), keys)
 
 
 def _with_percents(df: DataFrame, over_passing: dict[str, str]) -> DataFrame:

@@ -52,17 +52,24 @@ def with_bucket(df: DataFrame, value: str, out: str, buckets: int = BUCKETS) ->
     return place_among(df, cuts, F.col(value), out, 16)
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], values: dict[str, Column], q: float = 0.5, buckets: int = BUCKETS) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, keys: list[str], values: dict[str, Column], q: float = 0.5, buckets: int = BUCKETS, span: tuple[float, float] | None = None
+) -> DataFrame:
     """One row per key with the exact quantile of each value, between two ranks in proportion; nulls do not count.
 
     Selection by refinement: equal values are counted first, the counts are added up by key and bucket of values, and only the
     one or two buckets that hold the wanted ranks are looked into. So no buffer holds a group's values, and a
-    key with a third of all rows is spread over the buckets. Keys without a value give no row, keys are not null.
+    key with a third of all rows is spread over the buckets. These have about equal numbers of rows, or equal widths of ``span``, which
+    spares a pass where the values are shares. Keys without a value give no row, keys are not null.
     """
     group = [*keys, "_name"]
     cells = F.array(*[F.struct(F.lit(n).alias("_name"), v.cast("double").alias("_v")) for n, v in values.items()])
     rows = df.select(*keys, F.explode(cells).alias("_cell")).select(*keys, "_cell.*").filter(F.col("_v").isNotNull())
-    hist = with_bucket(rows.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n")), "_v", "_b", buckets)
+    hist = rows.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    if span is None:
+        hist = with_bucket(hist, "_v", "_b", buckets)
+    else:
+        hist = hist.withColumn("_b", F.floor((F.col("_v") - span[0]) * (buckets / (span[1] - span[0]))))
     whole = Window.partitionBy(*group)
     earlier = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     # at most one row per key and bucket

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["barcodes", "expressions", "sources", "reads", "isoforms", "statistics", "evaluation", "annotation", "scoring", "pairs", "relational"]
+MODULES = ["barcodes", "expressions", "sources", "reads", "isoforms", "statistics", "evaluation", "annotation", "scoring", "pairs", "relational", "contigs"]
 
 
 def load_all():

@@ -196,6 +196,27 @@ select s.chrom, s.pos, s.ref, s.alt, s.score_a, s.score_b, b.pos as pos2, b.base
        substr('ACGT', cast(1 + instr('ACGT', b.base) % 4 as int), 1) as alt2
 from fx_scores s join fx_base b on b.pos = s.pos + 3 + s.pos % 5"""
 
+# three contigs with equal positions: other bases, variants, frequencies and exons on each
+VIEWS["fx_contigs"] = "select '11' as chrom, 0 as k union all select '12', 1 union all select '13', 2"
+
+VIEWS["fx_base_c"] = """
+select c.chrom, b.pos, substr('ACGT', cast(1 + (instr('ACGT', b.base) - 1 + c.k * (1 + b.pos % 3)) % 4 as int), 1) as base
+from fx_base b cross join fx_contigs c"""
+
+VIEWS["fx_scores_c"] = """
+select c.chrom, s.pos, substr('ACGT', cast(1 + (instr('ACGT', s.ref) - 1 + c.k * (1 + s.pos % 3)) % 4 as int), 1) as ref,
+       substr('ACGT', cast(1 + (instr('ACGT', s.alt) - 1 + c.k * (1 + s.pos % 3)) % 4 as int), 1) as alt, c.k, s.score_a + c.k as score
+from fx_scores s cross join fx_contigs c"""
+
+VIEWS["fx_freq_c"] = """
+select chrom, pos, ref, alt, cast(1 + (pos + 3 * k) % 9 as int) as n_alt, 20000 + k as n_allele, cast((pos + k) % 2 as int) as n_homo
+from fx_scores_c where (pos + k) % 3 < 2"""
+
+VIEWS["fx_exons_c"] = """
+select c.chrom, concat(e.gene, '.', cast(e.exon_num as varchar(20)), '.', c.chrom) as exon, e.strand,
+       e.start_pos + 3 * c.k as start_pos, e.end_pos + 3 * c.k as end_pos
+from fx_exons e cross join fx_contigs c where e.exon_num % 3 <> c.k"""
+
 # packed annotation text of each variant, one column per format
 VIEWS["fx_vcf"] = """
 select chrom, pos, ref, alt,

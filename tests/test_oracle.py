@@ -16,7 +16,8 @@ SAMPLE = [
     "rank_cutoff", "exon_sdv_counts", "motif_enrichment", "spearman", "pr_curve", "f1_best", "nearest_exon", "annotate_exon",
     "codon_substitutions", "interval_filter", "expand_bedgraph", "bpp_max", "context_windows", "window_delta_scan",
     "delta_scores_usage", "score_batches", "categorize_dnvs", "segment_edit_distance", "created_site_flags", "stouffer_z_weighted",
-    "merge_cadd", "merge_bpp", "pairs_wide", "compare_aligners",
+    "merge_cadd", "merge_bpp", "pairs_wide", "compare_aligners", "single_end_outcomes", "isoform_totals", "bootstrap_null",
+    "merge_population_contigs", "reference_windows_contigs", "nearest_exon_contigs", "interval_filter_contigs", "all_snvs_contigs",
 ]
 
 

@@ -39,7 +39,9 @@ def test_exact_quantiles(spark, q):
     rows += [(f"k{k}", float(rng.randint(-5, 5)), rng.randint(0, 3)) for k in range(40) for _ in range(k % 7 + 1)]
     rows += [("none", None, None), ("half", None, 4), ("half", None, 5)]
     df = spark.createDataFrame(rows, "k string, x double, n int").repartition(5)
-    got = {r.k: (r.x, r.n) for r in O.exact_quantiles(df, ["k"], {"x": F.col("x"), "n": F.col("n")}, q, buckets=32).collect()}
+    values = {"x": F.col("x"), "n": F.col("n")}
+    got = {r.k: (r.x, r.n) for r in O.exact_quantiles(df, ["k"], values, q, buckets=32).collect()}
+    assert got == {r.k: (r.x, r.n) for r in O.exact_quantiles(df, ["k"], values, q, buckets=8, span=(0.0, 2.0)).collect()}
     assert set(got) == {k for k, x, n in rows if x is not None or n is not None}
     for k, pair in got.items():
         for have, values in zip(pair, ([x for kk, x, _ in rows if kk == k and x is not None], [n for kk, _, n in rows if kk == k and n is not None])):
