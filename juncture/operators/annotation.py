@@ -108,18 +108,18 @@ def gene_gtf(gtf: DataFrame, gene: str, transcript: str) -> DataFrame:
     return rows.filter(keep).drop("_n")
 
 
-def compare_annotations(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Do the transcript bounds of two annotations agree, and which exon ends are in one only?"""
+def compare_annotations(a: DataFrame, b: DataFrame, key: str = "name") -> DataFrame:
+    """Do the bounds of two annotations of each transcript (or of each gene, by its name) agree, and which exon ends are in one only?"""
     def side(df: DataFrame, s: str) -> DataFrame:
-        return df.select("name", *[F.col(c).alias(f"{c}_{s}") for c in ("tx_start", "tx_end", "exon_starts", "exon_ends")])
+        return df.select(key, *[F.col(c).alias(f"{c}_{s}") for c in ("tx_start", "tx_end", "exon_starts", "exon_ends")])
 
-    both = side(a, "a").join(side(b, "b"), "name")
+    both = side(a, "a").join(side(b, "b"), key)
     out = both.withColumn("same_bounds", (F.col("tx_start_a") == F.col("tx_start_b")) & (F.col("tx_end_a") == F.col("tx_end_b")))
     for c in ("exon_starts", "exon_ends"):
         out = out.withColumns(
             {f"{c}_only_a": F.array_sort(F.array_except(f"{c}_a", f"{c}_b")), f"{c}_only_b": F.array_sort(F.array_except(f"{c}_b", f"{c}_a"))}
         )
-    return out.select("name", "same_bounds", *[f"{c}_only_{s}" for c in ("exon_starts", "exon_ends") for s in "ab"])
+    return out.select(key, "same_bounds", *[f"{c}_only_{s}" for c in ("exon_starts", "exon_ends") for s in "ab"])
 
 
 def join_gene(tbv: DataFrame, annot: DataFrame, strand: bool = True, width: int = BIN) -> DataFrame:

@@ -10,9 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from juncture.functions.columns import KEY, attach
+from juncture.functions.columns import KEY, position_bin
 from juncture.functions.sequence import kmers, reverse_complement
+from juncture.operators.annotation import BIN, bins_of
 from juncture.operators.reference import CHUNK, FLANK, check_reference, with_span, with_window
+from juncture.sources.sinks import explode_range
 
 CHANGE = "struct<pos:int,ref:string,alt:string>"
 
@@ -91,22 +93,18 @@ def motif_scores(tbv: DataFrame, chunks: DataFrame, motifs: DataFrame, k: int, s
     return tbv.join(_score_kmers(windows, KEY, motifs, k, stat, stem), KEY, "left")
 
 
-def motif_score_exon(
-    base: DataFrame, chunks: DataFrame, chrom: str, exon: tuple[int, int], motifs: DataFrame, k: int, stem: str, rev: bool = False
-) -> DataFrame:
-    """Mean scores of every possible change of an exon whose windows lie inside it.
+def motif_score_exon(exons: DataFrame, chunks: DataFrame, motifs: DataFrame, k: int, stem: str) -> DataFrame:
+    """Mean scores of every possible change of each exon whose windows lie inside it.
 
-    The exon is 0-based and half-open on the plus strand and 1-based on the minus strand; alleles are
-    those of the strand, positions 1-based on both.
+    ``exons`` has (exon, chrom, strand, start_pos, end_pos), 1-based and both included. Alleles are those of the strand,
+    positions 1-based on both. A change that several exons hold gets a row in each.
     """
-    lo, hi = (exon[0] + k, exon[1] - k + 1) if not rev else (exon[0] + k - 1, exon[1] - k + 1)
-    rows = base.filter((F.col("chrom") == chrom) & F.col("pos").between(lo, hi)).select("chrom", "pos")
-    df = with_window(rows, chunks, k - 1, k - 1, "_wt")
-    if rev:
-        df = df.withColumn("_wt", reverse_complement("_wt"))
+    ranges = exons.select("exon", "chrom", "strand", (F.col("start_pos") + k - 1).alias("_lo"), (F.col("end_pos") - k + 1).alias("_hi")).filter("_lo <= _hi")
+    df = with_window(explode_range(ranges, "_lo", "_hi", "pos").drop("_lo", "_hi"), chunks, k - 1, k - 1, "_wt")
+    df = df.withColumn("_wt", F.when(F.col("strand") == "-", reverse_complement("_wt")).otherwise(F.col("_wt")))
     df = df.withColumn("ref", F.substr("_wt", F.lit(k), F.lit(1)))
     df = df.withColumn("alt", F.explode(F.array_except(F.array(*[F.lit(b) for b in "ACGT"]), F.array("ref"))))
-    return _score_kmers(_with_snv(df, k), KEY, motifs, k, "mean", stem)
+    return _score_kmers(_with_snv(df, k), ["exon", "strand", *KEY], motifs, k, "mean", stem)
 
 
 def wt_binding(tbv: DataFrame, chunks: DataFrame, motifs: DataFrame, k: int, stem: str) -> DataFrame:
@@ -252,56 +250,60 @@ def window_delta_scan(tbv: DataFrame, chunks: DataFrame, tables: dict[int, tuple
 # ---- inputs of splicing models ----------------------------------------------------------------
 
 
-def _stretch(base: DataFrame, chrom: str, lo: int, hi: int) -> DataFrame:
-    """One row with the bases of 1-based ``[lo, hi]``: an exon, whose length is bounded."""
-    rows = base.filter((F.col("chrom") == chrom) & F.col("pos").between(lo, hi))
-    return rows.agg(F.upper(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "")).alias("_s"))
+def _in_stretch(variants: DataFrame, stretches: DataFrame, chunks: DataFrame, lo: str, hi: str, first: str, last: str, width: int) -> DataFrame:
+    """Variants at ``first`` to ``last`` of each stretch, with the reference from ``lo`` to ``hi`` in ``_s``; stops where an allele differs.
 
-
-def _checked(df: DataFrame, lo: int) -> DataFrame:
-    here = F.substr("_s", F.col("pos") - lo + 1, F.length("ref"))
+    The bases are looked up once per stretch; variants then meet the stretches by bins of positions.
+    """
+    held = with_span(stretches, chunks, lo, hi, "_s").withColumn("_bin", bins_of(F.col(first), F.col(last), width))
+    rows = variants.withColumn("_bin", position_bin(F.col("pos"), width)).join(held, ["chrom", "_bin"]).drop("_bin")
+    rows = rows.filter(F.col("pos").between(F.col(first), F.col(last)))
+    here = F.substr("_s", F.col("pos") - F.col(lo) + 1, F.length("ref"))
     ok = F.when(here == F.upper("ref"), F.col("_s")).otherwise(F.raise_error(F.lit("reference mismatch")).cast("string"))
-    return df.withColumns({"_s": ok, "alt": F.upper("alt")})
+    return rows.withColumns({"_s": ok, "alt": F.upper("alt")})
 
 
-def skip_model_input(variants: DataFrame, base: DataFrame, chrom: str, exon: tuple[int, int], psi: float, rev: bool = False) -> DataFrame:
-    """Exonic variants: the exon in capitals and six intron bases after it in small letters, both alleles."""
-    lo, hi = (exon[0] + 1, exon[1] + 6) if not rev else (exon[0] - 5, exon[1])
-    rows = variants.filter((F.col("chrom") == chrom) & (F.col("pos") > exon[0]) & (F.col("pos") <= exon[1]))
-    df = _checked(attach(rows, _stretch(base, chrom, lo, hi)), lo)
-    size = exon[1] - exon[0]
-    ex = F.substr("_s", F.lit(1 if not rev else 7), F.lit(size))
-    intron = F.lower(F.substr("_s", F.lit(size + 1 if not rev else 1), F.lit(6)))
-    changed = F.concat(F.substr(ex, F.lit(1), F.col("pos") - exon[0] - 1), F.col("alt"), F.substr(ex, F.col("pos") - exon[0] + F.length("ref")))
+def skip_model_input(variants: DataFrame, exons: DataFrame, chunks: DataFrame, width: int = BIN) -> DataFrame:
+    """Exonic variants: the exon in capitals and six intron bases after it in small letters, both alleles.
+
+    ``exons`` has (chrom, strand, start_pos, end_pos), 1-based and both included, and any other columns, such as a name
+    and the inclusion of the exon; they go along. A variant in several exons gets a row in each.
+    """
+    rev = F.col("strand") == "-"
+    held = exons.withColumns({"_lo": F.col("start_pos") - F.when(rev, 6).otherwise(0), "_hi": F.col("end_pos") + F.when(rev, 0).otherwise(6)})
+    df = _in_stretch(variants, held, chunks, "_lo", "_hi", "start_pos", "end_pos", width)
+    size = F.col("end_pos") - F.col("start_pos") + 1
+    ex = F.substr("_s", F.when(rev, 7).otherwise(1), size)
+    intron = F.lower(F.substr("_s", F.when(rev, 1).otherwise(size + 1), F.lit(6)))
+    at = F.col("pos") - F.col("start_pos")
+    changed = F.concat(F.substr(ex, F.lit(1), at), F.col("alt"), F.substr(ex, at + 1 + F.length("ref")))
 
     def text(body: Column) -> Column:
-        return reverse_complement(F.concat(intron, body)) if rev else F.concat(body, intron)
+        return F.when(rev, reverse_complement(F.concat(intron, body))).otherwise(F.concat(body, intron))
+
+    return df.withColumns({"refseq": text(ex), "altseq": text(changed)}).drop("_s", "_lo", "_hi")
 
-    return df.withColumns({"refseq": text(ex), "altseq": text(changed), "psi": F.lit(psi)}).drop("_s")
 
+def donor_model_input(variants: DataFrame, exons: DataFrame, chunks: DataFrame, width: int = BIN) -> DataFrame:
+    """The same for two competing donors: capitals up to the first, small letters between the two.
 
-def donor_model_input(
-    variants: DataFrame, base: DataFrame, chrom: str, acceptor: int, donors: tuple[int, int], psi: float, rev: bool = False
-) -> DataFrame:
-    """The same for two competing donors: capitals up to the first, small letters between the two."""
-    near, far = donors
-    if near >= far:
-        raise ValueError("donors run from the smaller to the larger position")
-    lo, hi = (acceptor, far) if not rev else (near, acceptor)
-    rows = variants.filter((F.col("chrom") == chrom) & (F.col("pos") > lo) & (F.col("pos") <= hi))
-    df = _checked(attach(rows, _stretch(base, chrom, lo + 1, hi)), lo + 1)
-    small = F.col("pos") > near if not rev else F.col("pos") <= far
-    cut = near - lo if not rev else far - lo
+    ``exons`` has (chrom, strand, start_pos, end_pos, donor), ``donor`` being the last base of the exon's shorter form on its
+    strand, and any other columns. Bounds are 1-based and both included.
+    """
+    rev = F.col("strand") == "-"
+    df = _in_stretch(variants, exons, chunks, "start_pos", "end_pos", "start_pos", "end_pos", width)
+    small = F.when(rev, F.col("pos") < F.col("donor")).otherwise(F.col("pos") > F.col("donor"))
+    cut = F.col("donor") - F.col("start_pos") + F.when(rev, 0).otherwise(1)
 
     def text(body: Column, split: Column) -> Column:
         head, tail = F.substr(body, F.lit(1), split), F.substr(body, split + 1)
-        return reverse_complement(F.concat(F.lower(head), tail)) if rev else F.concat(head, F.lower(tail))
+        return F.when(rev, reverse_complement(F.concat(F.lower(head), tail))).otherwise(F.concat(head, F.lower(tail)))
 
-    at = F.col("pos") - lo
-    changed = F.concat(F.substr("_s", F.lit(1), at - 1), F.col("alt"), F.substr("_s", at + F.length("ref")))
-    grown = F.length("alt") - F.length("ref")
-    before = F.when(~small, grown).otherwise(F.lit(0)) if not rev else F.when(small, grown).otherwise(F.lit(0))
-    return df.withColumns({"refseq": text(F.col("_s"), F.lit(cut)), "altseq": text(changed, F.lit(cut) + before), "psi": F.lit(psi)}).drop("_s")
+    at = F.col("pos") - F.col("start_pos")
+    changed = F.concat(F.substr("_s", F.lit(1), at), F.col("alt"), F.substr("_s", at + 1 + F.length("ref")))
+    # bases gained or lost before the border move it
+    moved = F.when(small == rev, F.length("alt") - F.length("ref")).otherwise(0)
+    return df.withColumns({"refseq": text(F.col("_s"), cut), "altseq": text(changed, cut + moved)}).drop("_s")
 
 
 # ---- probability tracks -----------------------------------------------------------------------

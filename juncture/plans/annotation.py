@@ -23,6 +23,10 @@ def _snvs(t):
     return A.all_snvs(_exons(t).withColumn("start_pos", F.col("start_pos") - 1), t("fx_base"))
 
 
+def transcripts(t):
+    return A.transcript_annotation(with_gtf_ids(t("fx_gtf")))
+
+
 def annot(t):
     return A.transcript_annotation(with_gtf_ids(t("fx_gtf")).filter("transcript_id is null or transcript_id like '%T1.2'"))
 
@@ -30,6 +34,8 @@ def annot(t):
 # one transcript per gene, in the oracle
 ANNOT = """(select gene as name, '11' as chrom, strand, min(start_pos) - 1 as tx_start, max(end_pos) as tx_end, list(start_pos - 1 order by start_pos) as ss, list(end_pos order by start_pos) as es,
   concat(gene, 'T1.2') as transcript_id from fx_exons group by gene, strand)"""
+ANNOT_ALL = f"""(select * from {ANNOT} union all select gene, '11', strand, min(start_pos) - 1, max(end_pos), list(start_pos - 1 order by start_pos), list(end_pos order by start_pos), concat(gene, 'T2.1')
+  from fx_exons where exon_num % 2 = 1 group by gene, strand)"""
 _STRANDED = "(select *, case when pos % 2 = 0 then '+' else '-' end as strand from fx_scores)"
 
 
@@ -107,36 +113,36 @@ def _(t):
     return A.exon_region(t("fx_exons"), (2, 5), 1210, rev=True)
 
 
-_HIT = f"(select v.*, a.* exclude (chrom, strand) from {_STRANDED} v join {ANNOT} a on a.chrom = v.chrom and a.strand = v.strand and v.pos between a.tx_start and a.tx_end)"
+_HIT = f"(select v.*, a.* exclude (chrom, strand) from {_STRANDED} v join {ANNOT_ALL} a on a.chrom = v.chrom and a.strand = v.strand and v.pos between a.tx_start and a.tx_end)"
 
 
-@query("gene_flank_overhang", f"{KEYS} name:s left_out:i right_out:i",
-       f"select chrom, pos, ref, alt, name, greatest(50 - (pos - tx_start - 1), 0) as left_out, greatest(50 - (tx_end - pos), 0) as right_out from {_HIT}")
+@query("gene_flank_overhang", f"transcript_id:s {KEYS} name:s left_out:i right_out:i",
+       f"select transcript_id, chrom, pos, ref, alt, name, greatest(50 - (pos - tx_start - 1), 0) as left_out, greatest(50 - (tx_end - pos), 0) as right_out from {_HIT}")
 def _(t):
-    return A.gene_flank_overhang(stranded(t), annot(t), 50)
+    return A.gene_flank_overhang(stranded(t), transcripts(t), 50)
 
 
 def _near(expr):
     return f"(select arg_min(x, row(abs(x), x)) from (select unnest({expr}) as x))"
 
 
-@query("nearest_exon_boundaries", f"{KEYS} acceptor:i donor:i",
+@query("nearest_exon_boundaries", f"transcript_id:s {KEYS} acceptor:i donor:i",
        f"""with h as (select *, list_transform(ss, lambda s: s + 1 - pos) as ds, list_transform(es, lambda e: e - pos) as de from {_HIT}),
        m as (select *, list_sort(list_transform(ds, lambda x: {{'a': abs(x), 'x': x}}))[1].x as s, list_sort(list_transform(de, lambda x: {{'a': abs(x), 'x': x}}))[1].x as e from h)
-       select chrom, pos, ref, alt, case when strand = '-' then e else s end as acceptor, case when strand = '-' then s else e end as donor from m""")
+       select transcript_id, chrom, pos, ref, alt, case when strand = '-' then e else s end as acceptor, case when strand = '-' then s else e end as donor from m""")
 def _(t):
-    return A.nearest_exon_boundaries(stranded(t), annot(t))
+    return A.nearest_exon_boundaries(stranded(t), transcripts(t))
 
 
-@query("boundaries_in_window", f"{KEYS} acceptors:s donors:s acceptor_pos:s",
+@query("boundaries_in_window", f"transcript_id:s {KEYS} acceptors:s donors:s acceptor_pos:s",
        f"""with h as (select *, list_filter(list_transform(ss, lambda s: s + 1), lambda s: abs(s - pos) <= 30) as s, list_filter(es, lambda e: abs(e - pos) <= 30) as e from {_HIT}),
        g as (select *, case when strand = '-' then e else s end as acc, case when strand = '-' then s else e end as don from h)
-       select chrom, pos, ref, alt, array_to_string(list_transform(acc, lambda x: x - pos), ',') as acceptors, array_to_string(list_transform(don, lambda x: x - pos), ',') as donors,
+       select transcript_id, chrom, pos, ref, alt, array_to_string(list_transform(acc, lambda x: x - pos), ',') as acceptors, array_to_string(list_transform(don, lambda x: x - pos), ',') as donors,
          array_to_string(acc, ',') as acceptor_pos from g""")
 def _(t):
-    d = A.boundaries_in_window(stranded(t), annot(t), 30)
-    p = A.boundaries_in_window(stranded(t), annot(t), 30, True).select("pos", "ref", "alt", F.col("acceptors").alias("acceptor_pos"))
-    out = d.join(p, VAR)
+    d = A.boundaries_in_window(stranded(t), transcripts(t), 30)
+    p = A.boundaries_in_window(stranded(t), transcripts(t), 30, True).select("transcript_id", "chrom", "pos", "ref", "alt", F.col("acceptors").alias("acceptor_pos"))
+    out = d.join(p, ["transcript_id", "chrom", *VAR])
     return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("acceptors", "donors", "acceptor_pos")})
 
 
@@ -172,16 +178,16 @@ def _(t):
     return A.gene_gtf(with_gtf_ids(t("fx_gtf")), "G0", "G0T2")
 
 
-@query("compare_annotations", "name:s same_bounds:b exon_starts_only_a:s exon_starts_only_b:s exon_ends_only_a:s exon_ends_only_b:s",
-       f"""with b as (select name, tx_start + case when strand = '+' then 1 else 0 end as tx_start, tx_end, list_transform(ss, lambda s: case when s % 3 = 0 then s + 1 else s end) as ss, es from {ANNOT})
-       select a.name, a.tx_start = b.tx_start and a.tx_end = b.tx_end as same_bounds,
+@query("compare_annotations", "transcript_id:s same_bounds:b exon_starts_only_a:s exon_starts_only_b:s exon_ends_only_a:s exon_ends_only_b:s",
+       f"""with b as (select transcript_id, tx_start + case when strand = '+' then 1 else 0 end as tx_start, tx_end, list_transform(ss, lambda s: case when s % 3 = 0 then s + 1 else s end) as ss, es from {ANNOT_ALL})
+       select a.transcript_id, a.tx_start = b.tx_start and a.tx_end = b.tx_end as same_bounds,
          array_to_string(list_sort(list_filter(a.ss, lambda s: not list_contains(b.ss, s))), ',') as exon_starts_only_a, array_to_string(list_sort(list_filter(b.ss, lambda s: not list_contains(a.ss, s))), ',') as exon_starts_only_b,
-         '' as exon_ends_only_a, '' as exon_ends_only_b from {ANNOT} a join b on a.name = b.name""")
+         '' as exon_ends_only_a, '' as exon_ends_only_b from {ANNOT_ALL} a join b on a.transcript_id = b.transcript_id""")
 def _(t):
-    a = annot(t)
+    a = transcripts(t)
     b = a.withColumns({"tx_start": F.col("tx_start") + F.when(F.col("strand") == "+", 1).otherwise(0),
                        "exon_starts": F.transform("exon_starts", lambda s: F.when(s % 3 == 0, s + 1).otherwise(s))})
-    out = A.compare_annotations(a, b)
+    out = A.compare_annotations(a, b, "transcript_id")
     return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in out.columns if c.startswith("exon")})
 
 

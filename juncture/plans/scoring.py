@@ -6,7 +6,7 @@ from juncture.functions import sequence as Q
 from juncture.operators import annotation as A
 from juncture.operators import scoring as S
 from juncture.operators.reference import with_window
-from juncture.plans.annotation import ANNOT, annot, stranded
+from juncture.plans.annotation import ANNOT_ALL, stranded, transcripts
 from juncture.plans.expressions import ORACLE_REF, chunks
 from juncture.plans.registry import query
 
@@ -27,16 +27,16 @@ def revc(x):
 
 _BASE = f"""(select p.*, {atn('p.pos - 2', 1)} as b2, translate({atn('p.pos - 2', 1)}, 'ACGT', 'CATG') as b2a, case when p.pos % 3 = 0 then concat(p.alt, 'GG') else p.alt end as alt_x,
    case when p.pos % 2 = 0 then '+' else '-' end as strand, {atn('p.pos - 20', 41)} as w from fx_pairs p, {ORACLE_REF} r)"""
-_MASKED = f"""(select v.chrom, v.pos, v.ref, v.alt_x as alt, v.pos2, v.alt2, v.b2a, v.strand,
+_MASKED = f"""(select v.chrom, v.pos, v.ref, v.alt_x as alt, v.pos2, v.alt2, v.b2a, v.strand, a.transcript_id,
    greatest(20 - (pos - tx_start - 1), 0) as lo, greatest(20 - (tx_end - pos), 0) as ro, w
-   from {_BASE} v join {ANNOT} a on a.strand = v.strand and v.pos between a.tx_start and a.tx_end)"""
+   from {_BASE} v join {ANNOT_ALL} a on a.strand = v.strand and v.pos between a.tx_start and a.tx_end)"""
 
 
-@query("context_windows", f"{KEYS} strand:s ref_seq:s var_seq:s",
+@query("context_windows", f"transcript_id:s {KEYS} strand:s ref_seq:s var_seq:s",
        f"""with m as (select *, concat(repeat('N', cast(lo as bigint)), substr(w, cast(lo + 1 as bigint), cast(41 - lo - ro as bigint)), repeat('N', cast(ro as bigint))) as x from {_MASKED}),
        b as (select *, concat(substr(x, 1, 18), b2a, substr(x, 20)) as rs from m),
        v as (select *, concat(substr(rs, 1, 20), alt, substr(rs, 22, cast(pos2 - pos - 1 as bigint)), alt2, substr(rs, cast(22 + pos2 - pos as bigint))) as vs from b)
-       select chrom, pos, ref, alt, strand, case when strand = '-' then {revc('rs')} else rs end as ref_seq, case when strand = '-' then {revc('vs')} else vs end as var_seq from v""")
+       select transcript_id, chrom, pos, ref, alt, strand, case when strand = '-' then {revc('rs')} else rs end as ref_seq, case when strand = '-' then {revc('vs')} else vs end as var_seq from v""")
 def _(t):
     p = with_window(t("fx_pairs"), chunks(t), 2, 0, "b").withColumn("b2", F.substr("b", F.lit(1), F.lit(1)))
     p = p.withColumns({
@@ -45,7 +45,7 @@ def _(t):
         "haplotype": F.array(F.struct(F.col("pos2").alias("pos"), F.col("ref2").alias("ref"), F.col("alt2").alias("alt"))),
         "background": F.array(F.struct((F.col("pos") - 2).alias("pos"), F.col("b2").alias("ref"), F.translate("b2", "ACGT", "CATG").alias("alt"))),
     })
-    out = A.gene_flank_overhang(p, annot(t), 20)
+    out = A.gene_flank_overhang(p, transcripts(t), 20)
     return S.context_windows(out, chunks(t), 20)
 
 
@@ -71,20 +71,24 @@ def _(t):
     return S.motif_scores(t("fx_scores"), chunks(t), motifs(t), 6, "m", "max")
 
 
-_EX = (1400, 2400)
+# stretches long enough for a window: from a gene's first exon to its last
+_BODIES = "(select gene as exon, chrom, strand, min(start_pos) as start_pos, max(end_pos) as end_pos from fx_exons group by gene, chrom, strand)"
 
 
-@query("motif_score_mean", f"{KEYS} m_wtMEAN:d m_snvMEAN:d m_chgMEAN:d kind:s",
-       f"""select *, 'listed' as kind from {_motif_sql('avg', 'MEAN')}
+@query("motif_score_mean", f"exon:s strand:s {KEYS} m_wtMEAN:d m_snvMEAN:d m_chgMEAN:d kind:s",
+       f"""select null as exon, null as strand, *, 'listed' as kind from {_motif_sql('avg', 'MEAN')}
        union all
-       select x.chrom, x.pos, x.ref, x.alt, avg(coalesce(a.score, 0)), avg(coalesce(b.score, 0)), avg(coalesce(b.score, 0)) - avg(coalesce(a.score, 0)), 'exon' from (
+       select x.exon, x.strand, x.chrom, x.pos, x.ref, x.alt, avg(coalesce(a.score, 0)), avg(coalesce(b.score, 0)), avg(coalesce(b.score, 0)) - avg(coalesce(a.score, 0)), 'exon' from (
          select *, substr(w, k + 1, 6) as kw, substr(concat(substr(w, 1, 5), alt, substr(w, 7)), k + 1, 6) as ks from (
-           select b.chrom, b.pos, translate(b.base, 'ACGT', 'TGCA') as ref, c.alt, {revc(atn('b.pos - 5', 11))} as w from fx_base b, {ORACLE_REF} r, (select unnest(['A', 'C', 'G', 'T']) as alt) c
-           where b.pos between {_EX[0] + 5} and {_EX[1] - 5} and c.alt <> translate(b.base, 'ACGT', 'TGCA')), (select unnest(range(6)) as k) k) x
-       left join {_MOTIFS} a on a.kmer = x.kw left join {_MOTIFS} b on b.kmer = x.ks group by 1, 2, 3, 4""")
+           select e.exon, e.strand, b.chrom, b.pos, case when e.strand = '-' then translate(b.base, 'ACGT', 'TGCA') else b.base end as ref, c.alt,
+             case when e.strand = '-' then {revc(atn('b.pos - 5', 11))} else {atn('b.pos - 5', 11)} end as w
+           from fx_base b join {_BODIES} e on b.pos between e.start_pos + 5 and e.end_pos - 5, {ORACLE_REF} r, (select unnest(['A', 'C', 'G', 'T']) as alt) c)
+         , (select unnest(range(6)) as k) k where alt <> ref) x
+       left join {_MOTIFS} a on a.kmer = x.kw left join {_MOTIFS} b on b.kmer = x.ks group by 1, 2, 3, 4, 5, 6""")
 def _(t):
     listed = S.motif_scores(t("fx_scores"), chunks(t), motifs(t), 6, "m", "mean").withColumn("kind", F.lit("listed"))
-    exon = S.motif_score_exon(t("fx_base"), chunks(t), "11", _EX, motifs(t), 6, "m", rev=True).withColumn("kind", F.lit("exon"))
+    bodies = t("fx_exons").groupBy(F.col("gene").alias("exon"), "chrom", "strand").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"))
+    exon = S.motif_score_exon(bodies, chunks(t), motifs(t), 6, "m").withColumn("kind", F.lit("exon"))
     return listed.unionByName(exon, allowMissingColumns=True)
 
 
@@ -186,33 +190,36 @@ def _(t):
 
 # ---- inputs of splicing models
 
-@query("skip_model_input", f"{KEYS} refseq:s altseq:s psi:d refseq_rev:s altseq_rev:s",
-       f"""with f as (select v.*, concat({atn(1401, 200)}, lower({atn(1601, 6)})) as refseq, concat({atn(1401, 'cast(v.pos - 1401 as bigint)')}, v.alt, {atn('v.pos + 1', 'cast(1600 - v.pos as bigint)')}, lower({atn(1601, 6)})) as altseq,
-         reverse(translate(concat(lower({atn(1395, 6)}), {atn(1401, 200)}), 'ACGTacgt', 'TGCAtgca')) as refseq_rev,
-         reverse(translate(concat(lower({atn(1395, 6)}), {atn(1401, 'cast(v.pos - 1401 as bigint)')}, v.alt, {atn('v.pos + 1', 'cast(1600 - v.pos as bigint)')}), 'ACGTacgt', 'TGCAtgca')) as altseq_rev
-         from fx_scores v, {ORACLE_REF} r where v.pos > 1400 and v.pos <= 1600)
-       select *, 0.4 as psi from f""")
+_IN_EXON = f"(select concat(e.gene, '.', e.exon_num) as exon, e.strand, e.start_pos, e.end_pos, v.chrom, v.pos, v.ref, v.alt, r.s from fx_scores v join fx_exons e on v.pos between e.start_pos and e.end_pos, {ORACLE_REF} r)"
+
+
+def _changed(end):
+    """Oracle text of an exon after the change."""
+    return f"concat({atn('start_pos', 'cast(pos - start_pos as bigint)')}, alt, {atn('pos + length(ref)', f'cast({end} - pos - length(ref) + 1 as bigint)')})"
+
+
+@query("skip_model_input", f"exon:s strand:s {KEYS} refseq:s altseq:s psi:d",
+       f"""with f as (select *, {atn('start_pos', 'cast(end_pos - start_pos + 1 as bigint)')} as a, {_changed('end_pos')} as b, lower({atn('end_pos + 1', 6)}) as right_in, lower({atn('start_pos - 6', 6)}) as left_in from {_IN_EXON} r)
+       select exon, strand, chrom, pos, ref, alt, 0.4 as psi,
+         case when strand = '-' then reverse(translate(concat(left_in, a), 'ACGTacgt', 'TGCAtgca')) else concat(a, right_in) end as refseq,
+         case when strand = '-' then reverse(translate(concat(left_in, b), 'ACGTacgt', 'TGCAtgca')) else concat(b, right_in) end as altseq from f""")
 def _(t):
-    exon = (1400, 1600)
-    plus = S.skip_model_input(t("fx_scores"), t("fx_base"), "11", exon, 0.4)
-    minus = S.skip_model_input(t("fx_scores"), t("fx_base"), "11", exon, 0.4, rev=True)
-    return plus.join(minus.select(*VAR, F.col("refseq").alias("refseq_rev"), F.col("altseq").alias("altseq_rev")), VAR)
+    return S.skip_model_input(t("fx_scores"), _named_exons(t).withColumn("psi", F.lit(0.4)), chunks(t))
 
 
-@query("donor_model_input", f"{KEYS} strand:s refseq:s altseq:s",
-       f"""select v.chrom, v.pos, v.ref, v.alt, '+' as strand, concat({atn(1401, 50)}, lower({atn(1451, 30)})) as refseq,
-         case when v.pos <= 1450 then concat({atn(1401, 'cast(v.pos - 1401 as bigint)')}, v.alt, {atn('v.pos + 1', 'cast(1450 - v.pos as bigint)')}, lower({atn(1451, 30)}))
-         else concat({atn(1401, 50)}, lower(concat({atn(1451, 'cast(v.pos - 1451 as bigint)')}, v.alt, {atn('v.pos + 1', 'cast(1480 - v.pos as bigint)')}))) end as altseq
-       from fx_scores v, {ORACLE_REF} r where v.pos > 1400 and v.pos <= 1480
-       union all
-       select v.chrom, v.pos, v.ref, v.alt, '-', reverse(translate(concat(lower({atn(1401, 30)}), {atn(1431, 50)}), 'ACGTacgt', 'TGCAtgca')),
-         reverse(translate(case when v.pos <= 1430 then concat(lower(concat({atn(1401, 'cast(v.pos - 1401 as bigint)')}, v.alt, {atn('v.pos + 1', 'cast(1430 - v.pos as bigint)')})), {atn(1431, 50)})
-         else concat(lower({atn(1401, 30)}), {atn(1431, 'cast(v.pos - 1431 as bigint)')}, v.alt, {atn('v.pos + 1', 'cast(1480 - v.pos as bigint)')}) end, 'ACGTacgt', 'TGCAtgca'))
-       from fx_scores v, {ORACLE_REF} r where v.pos > 1400 and v.pos <= 1480""")
+def _named_exons(t):
+    return t("fx_exons").select(F.concat_ws(".", "gene", "exon_num").alias("exon"), "chrom", "strand", "start_pos", "end_pos")
+
+
+# the shorter form ends in the exon's middle
+@query("donor_model_input", f"exon:s strand:s {KEYS} donor:i refseq:s altseq:s",
+       f"""with f as (select *, case when strand = '-' then start_pos + 5 else start_pos + 4 end as donor, {atn('start_pos', 10)} as a, {_changed('end_pos')} as b from {_IN_EXON} r)
+       select exon, strand, chrom, pos, ref, alt, donor,
+         case when strand = '-' then reverse(translate(concat(lower(substr(a, 1, 5)), substr(a, 6)), 'ACGTacgt', 'TGCAtgca')) else concat(substr(a, 1, 5), lower(substr(a, 6))) end as refseq,
+         case when strand = '-' then reverse(translate(concat(lower(substr(b, 1, 5)), substr(b, 6)), 'ACGTacgt', 'TGCAtgca')) else concat(substr(b, 1, 5), lower(substr(b, 6))) end as altseq from f""")
 def _(t):
-    plus = S.donor_model_input(t("fx_scores"), t("fx_base"), "11", 1400, (1450, 1480), 0.5).withColumn("strand", F.lit("+"))
-    minus = S.donor_model_input(t("fx_scores"), t("fx_base"), "11", 1480, (1400, 1430), 0.5, rev=True).withColumn("strand", F.lit("-"))
-    return plus.union(minus)
+    exons = _named_exons(t).withColumn("donor", F.col("start_pos") + F.when(F.col("strand") == "-", 5).otherwise(4))
+    return S.donor_model_input(t("fx_scores"), exons, chunks(t))
 
 
 # ---- tracks
