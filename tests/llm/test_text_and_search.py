@@ -287,14 +287,14 @@ def test_toxicity_edge_cases(spark, docs, none):
 # top-k
 
 
-def brute_top_k(rows, k=5, every=50):
+def brute_top_k(rows, k=5, every=50, unique=False):
     ok = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q, x in ok:
         if q % every == 0:
             scored = sorted((-int(x @ y), i) for i, y in ok if i != q and len(y) == len(x))[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
-    return sorted(out)
+    return sorted(set(out) if unique else out)
 
 
 def test_top_k_against_brute_force(spark):
@@ -306,23 +306,39 @@ def test_top_k_against_brute_force(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash"))
     got = sorted(tuple(r) for r in topk.top_k(df.select("vec_id", "embedding", "rank"), block=32, query_block=4).collect())
     assert got == brute_top_k(rows)
-    repeated = df.union(df.filter("vec_id = 1000")).union(df.filter("vec_id = 50"))
-    assert sorted(tuple(r) for r in topk.top_k(repeated, block=32, query_block=4).collect()) == got
+    # repeated rows count each; a repeated query asks once
+    copies = [(1000, [0.5] * 8)] * 3 + [rows[7]] * 2
+    repeated = spark.createDataFrame([*rows, *copies, rows[50]], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(repeated, block=32, query_block=4).collect()) == brute_top_k([*rows, *copies], unique=True)
 
 
-def test_top_k_prunes_blocks(spark):
-    """Documents of one direction lie together, so most blocks need no scores."""
+@pytest.mark.parametrize("query_block", [1, 10])
+def test_top_k_prunes_blocks(spark, query_block, monkeypatch):
+    """Documents of one direction lie together, so most blocks need no scores, whatever the other queries of a query block need."""
     rows = [(i, [float(i // 100 == d) + 0.001 * (i % 7) for d in range(10)]) for i in range(1000)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    calls = []
-    real = topk.reaching
-    topk.reaching = lambda pairs: calls.append((pairs.count(), real(pairs).count())) or real(pairs)
-    try:
-        got = sorted(tuple(r) for r in topk.top_k(df, block=20, query_block=1).collect())
-    finally:
-        topk.reaching = real
+    read = []
+    real = topk.scored
+
+    def counted(wanted, *others):
+        read.append(wanted.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0])
+        return real(wanted, *others)
+
+    monkeypatch.setattr(topk, "scored", counted)
+    got = sorted(tuple(r) for r in topk.top_k(df, block=20, query_block=query_block).collect())
     assert got == brute_top_k(rows)
-    assert calls[0][1] < calls[0][0] / 2
+    # 20 queries and at least 50 blocks: five of them hold a query's direction
+    assert read[0] == 40 and sum(read) <= 20 * 12
+    assert len(read) < topk.ROUNDS + 1
+
+
+def test_top_k_reads_all_where_nothing_can_be_pruned(spark, monkeypatch):
+    """More blocks than the doubling rounds read, each with a bound that reaches every k-th score."""
+    monkeypatch.setattr(topk, "ROUNDS", 2)
+    draw = np.random.default_rng(5)
+    rows = [(i, draw.normal(size=12).round(3).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(df, every=20, block=8, query_block=3).collect()) == brute_top_k(rows, every=20)
 
 
 def test_top_k_of_nothing(spark):
