@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from juncture.llm.common import scratch_table
 
-#: Vectors of a block, queries of a query block, blocks of a group, and groups of a part of the index.
-BLOCK, QUERY_BLOCK, GROUP, PART = 1024, 512, 64, 64
+#: Vectors of a block, queries of a query block, blocks of a group, groups of a part of the index, and blocks a task cuts at least.
+BLOCK, QUERY_BLOCK, GROUP, PART, TASK = 1024, 512, 64, 64, 16
 #: Blocks that each query reads in the first round, and rounds that double them.
 FIRST, ROUNDS = 2, 5
 SCALE = 256
@@ -39,14 +39,14 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return found.filter(F.col("id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", component)).select("id", F.size("vector").alias("dim"), "vector")
 
 
-def cut_blocks(rows: DataFrame, size: int, once: bool = False) -> DataFrame:
+def cut_blocks(rows: DataFrame, size: int, tasks: int, once: bool = False) -> DataFrame:
     """Blocks (block, dim, n, low, high, ids, values) of at most ``size`` rows of one dimension, in order of their numbers.
 
-    Tasks read their sorted part of the numbers as a stream and hold one block, however often a number is repeated. With
+    At most ``tasks`` tasks, so that most blocks are full, read their sorted parts of the numbers as a stream and hold one block, however often a number is repeated. With
     ``once`` rows equal in number and vector count once. Values are floor(256 x) as 64-bit floats, exact below 2**53.
     """
     # numbers of a part and the parts' order make the ranges
-    ordered = rows.repartitionByRange("dim", "id").sortWithinPartitions("dim", "id", "vector")
+    ordered = rows.repartitionByRange("dim", "id").sortWithinPartitions("dim", "id", "vector").coalesce(tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -234,16 +234,22 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     them, and a candidate counts with the best of these scores. No rows give no rows.
     """
     rows = usable(vectors, id_col, vector_col)
-    index = scratch_table(cut_blocks(rows, block), "blocks")
-    asked = scratch_table(cut_blocks(rows.filter(F.pmod("id", F.lit(every)) == 0), query_block, once=True), "query-blocks")
+    tasks = lambda n, size: 1 + n // (size * TASK)
+    n = vectors.count()
+    index = scratch_table(cut_blocks(rows, block, tasks(n, block)), "blocks")
+    asked = scratch_table(cut_blocks(rows.filter(F.pmod("id", F.lit(every)) == 0), query_block, tasks(n // every, query_block), once=True), "query-blocks")
     asked = asked.select(F.col("block").alias("query_block"), "dim", "n", F.col("ids").alias("query_ids"), "values")
     groups = cut_groups(index)
-    parts = 1 + index.count() // (GROUP * PART)
+    blocks = index.count()
+    parts = 1 + blocks // (GROUP * PART)
     groups = scratch_table(groups.withColumn("_part", F.pmod(F.xxhash64("group"), F.lit(parts))), "block-groups")
     dealt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
 
     best, read = None, None
     for number in range(ROUNDS + 1):
+        if FIRST * ((1 << number) - 1) >= blocks and number:
+            # the rounds before have offered every block
+            break
         most = FIRST << number if number < ROUNDS else None
         state = scratch_table(with_state(asked, best, read, k), "query-state")
         pairs = state.withColumn("_part", dealt).join(groups, ["dim", "_part"])
