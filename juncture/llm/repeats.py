@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from juncture.llm.common import row_blocks, text_buffers
+from juncture.llm.common import row_blocks, scratch_table, text_buffers
 
 #: Bytes of a string, of an anchor, and grams in a string.
 LENGTH, GRAM = 50, 16
@@ -111,6 +111,13 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
+def grouped_rows(ids: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same by two keys."""
+    order = np.lexsort((texts, ids))
+    i, t = ids[order], texts[order]
+    return order, np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (t[1:] != t[:-1])])) if len(ids) else np.zeros(0, np.int64)
+
+
 def packed(x: np.ndarray) -> bytes:
     """Numbers byte plane by byte plane, so that those of little range compress to little."""
     return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -133,86 +140,95 @@ def packets(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows), schema)], [n for n, _ in schema])
 
 
-ANCHORS = [("bucket", pa.int32()), ("id", pa.int64()), ("hashes", pa.binary()), ("ids", pa.binary())]
+ANCHORS = [("bucket", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("hashes", pa.binary()), ("ids", pa.binary()), ("keys", pa.binary())]
 SLICES = [("bucket", pa.int32())] + [(c, pa.binary()) for c in ("ids", "keys", "starts", "ends", "places", "hashes", "text")]
 COVERS = [("id", pa.int64()), ("key", pa.int64()), ("first", pa.int64()), ("end", pa.int64())]
 
 
 def anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packets of anchors: (bucket, hashes, ids) to be compared, and (id, hashes) of those known to be shared inside a batch.
+    """Packets of anchors: (bucket, hashes, ids, keys) to be compared, and (id, key, hashes) of those known to be shared inside a batch.
 
-    A hash goes out once per batch, however many documents of the batch have it.
+    A hash goes out once per batch, however many documents of the batch have it, or once for each text of a single identifier.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            ids, texts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key"))
             found = [(row, key) for row, _, _, key, _ in runs_of_rows(*text_buffers(batch.column("text")))]
             if not found:
                 continue
             row, key = (np.concatenate(x) for x in zip(*found))
             del found
-            order = np.lexsort((ids[row], key))
+            order = np.lexsort((texts[row], ids[row], key))
             row, key = row[order], key[order]
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[row[1:]] != ids[row[:-1]])])
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[row[1:]] != ids[row[:-1]]) | (texts[row[1:]] != texts[row[:-1]])])
             row, key = row[new], key[new]
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            several = np.repeat(np.diff(np.append(start, len(key))) > 1, np.diff(np.append(start, len(key))))
+            size = np.diff(np.append(start, len(key)))
+            several = np.repeat(ids[row[start]] != ids[row[start + size - 1]], size)
+            send = ~several
+            send[start] = True
             out = []
-            sent_key, sent_id, sent_known = key[start], ids[row[start]], several[start]
+            sent_key, sent_row, sent_known = key[send], row[send], several[send]
             order, first = grouped(sent_key % np.uint64(buckets))
             for a, b in zip(first, np.append(first[1:], len(order))):
                 at = order[a:b]
                 # the last bit says that the batch has two documents with it
                 marked = (sent_key[at] << np.uint64(1)) | sent_known[at].astype(np.uint64)
-                out.append((int(sent_key[at[0]] % np.uint64(buckets)), None, packed_sorted(marked), packed(sent_id[at])))
-            order, first = grouped(ids[row[several]])
-            known_id, known_key = ids[row[several]][order], key[several][order]
+                out.append((int(sent_key[at[0]] % np.uint64(buckets)), None, None, packed_sorted(marked), packed(ids[sent_row[at]]), packed(texts[sent_row[at]])))
+            order, first = grouped_rows(ids[row[several]], texts[row[several]])
+            known_row, known_key = row[several][order], key[several][order]
             for a, b in zip(first, np.append(first[1:], len(order))):
-                out.append((int(known_id[a] % buckets), int(known_id[a]), known_key[a:b].tobytes(), None))
+                own = int(ids[known_row[a]])
+                out.append((own % buckets, own, int(texts[known_row[a]]), known_key[a:b].tobytes(), None, None))
             yield packets(ANCHORS, out)
 
-    return docs.mapInArrow(run, "bucket int, id long, hashes binary, ids binary")
+    return docs.mapInArrow(run, "bucket int, id long, key long, hashes binary, ids binary, keys binary")
 
 
 def shared_anchors(sent: DataFrame) -> DataFrame:
-    """(id, hashes): the anchors of a document that another one has too, as far as its own task couldn't tell."""
+    """(id, key, hashes): the anchors of a document that another one has too, as far as its own task couldn't tell."""
+    types, names = (pa.int64(), pa.int64(), pa.binary()), ["id", "key", "hashes"]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, keys, ids = None, [], []
+        bucket, keys, ids, texts = None, [], [], []
 
         def told() -> pa.RecordBatch | None:
-            key, own = np.concatenate(keys), np.concatenate(ids)
+            key, own, text = np.concatenate(keys), np.concatenate(ids), np.concatenate(texts)
             known, key = (key & 1).astype(bool), key >> 1
             order, first = grouped(key)
             count = np.diff(np.append(first, len(key)))
             low, high = np.minimum.reduceat(own[order], first), np.maximum.reduceat(own[order], first)
-            shared = np.repeat((count > 1) & (low != high) | np.logical_or.reduceat(known[order], first), count)
-            key, own = key[order][shared], own[order][shared]
-            order, first = grouped(own)
-            own, key, first = own[order], key[order].tobytes(), first.tolist()
-            rows = [(i, key[8 * a : 8 * b]) for i, a, b in zip(own[first].tolist(), first, [*first[1:], len(own)])]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary()))], ["id", "hashes"]) if rows else None
+            shared = np.repeat((low != high) | np.logical_or.reduceat(known[order], first), count)
+            key, own, text = key[order][shared], own[order][shared], text[order][shared]
+            order, first = grouped_rows(own, text)
+            own, text, key, first = own[order], text[order], key[order].tobytes(), first.tolist()
+            rows = [(i, t, key[8 * a : 8 * b]) for i, t, a, b in zip(own[first].tolist(), text[first].tolist(), first, [*first[1:], len(own)])]
+            return made(rows) if rows else None
 
         for batch in batches:
             passed = []
-            for at, one, hashes, many in zip(*(batch.column(c).to_pylist() for c in ("bucket", "id", "hashes", "ids"))):
+            for at, one, text, hashes, many, theirs in zip(*(batch.column(c).to_pylist() for c, _ in ANCHORS)):
                 if many is None:
-                    passed.append((one, hashes))
+                    passed.append((one, text, hashes))
                     continue
                 if at != bucket and keys:
                     if (rows := told()) is not None:
                         yield rows
-                    keys, ids = [], []
+                    keys, ids, texts = [], [], []
                 bucket = at
                 keys.append(unpacked_sorted(hashes))
                 ids.append(unpacked(many))
+                texts.append(unpacked(theirs))
             if passed:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*passed), (pa.int64(), pa.binary()))], ["id", "hashes"])
+                yield made(passed)
         if keys and (rows := told()) is not None:
             yield rows
 
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "id long, hashes binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "id long, key long, hashes binary")
 
 
 def slices(docs: DataFrame, buckets: int) -> DataFrame:
@@ -455,19 +471,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     buckets = max(16, int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
-    # texts of one identifier are told apart by their rank, which costs a shuffle nothing
-    nth = Window.partitionBy("id").orderBy("_text")
-    keyed = rows.withColumn("_text", F.xxhash64("text")).repartition("id").withColumn("key", F.dense_rank().over(nth).cast("long")).drop("_text")
-    told = shared_anchors(anchors(rows, buckets)).groupBy("id").agg(F.collect_list("hashes").alias("told"))
+    # texts of one identifier, or of none, are told apart by a hash; where each identifier has one row, the key says nothing and costs nothing
+    many = scratch_table(rows.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("id"), "repeated-ids")
+    keyed = rows.join(many.withColumn("_many", F.lit(True)), "id", "left")
+    keyed = keyed.select("id", "text", F.when(F.col("_many"), F.xxhash64("text")).otherwise(F.lit(1).cast("long")).alias("key"))
+    on = ["id", "key"]
+    told = shared_anchors(anchors(keyed, buckets)).groupBy(*on).agg(F.collect_list("hashes").alias("told"))
     # copies of a smaller document are covered as a whole
-    prints = rows.filter(F.octet_length("text") >= LENGTH).select("id", F.sha2("text", 256).alias("_sha"))
+    prints = keyed.filter(F.octet_length("text") >= LENGTH).select(*on, F.sha2("text", 256).alias("_sha"))
     least = prints.groupBy("_sha").agg(F.min("id").alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    copies = prints.join(least, "_sha").filter("id > _least").groupBy("id").agg(F.collect_set("_sha").alias("copied"))
-    is_copy = F.col("copied").isNotNull() & F.array_contains("copied", F.sha2("text", 256))
+    copies = prints.join(least, "_sha").filter("id > _least").select(*on).distinct().withColumn("copied", F.lit(True))
 
-    asked = keyed.join(told, "id").join(copies, "id", "left").filter(~is_copy)
-    found = covers(slices(asked.select("id", "key", "text", "told"), buckets)).groupBy("id").agg(F.collect_list(F.struct("key", "first", "end")).alias("covers"))
-    joined = keyed.join(found, "id", "left").join(copies, "id", "left").select("id", "key", "text", "covers", is_copy.alias("copy"))
+    texts = keyed.repartition(*on)
+    asked = texts.join(told, on).join(copies, on, "left").filter(F.col("copied").isNull())
+    found = covers(slices(asked.select("id", "key", "text", "told"), buckets)).groupBy(*on).agg(F.collect_list(F.struct("key", "first", "end")).alias("covers"))
+    joined = texts.join(found, on, "left").join(copies, on, "left").select("id", "key", "text", "covers", F.col("copied").isNotNull().alias("copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -148,6 +148,44 @@ def test_repeats_edge_cases(docs):
     assert by[(11, len(fx.EN) + 1)].n_removed >= len(fx.EN) - 1
 
 
+def brute_rows(rows):
+    """(id, text, removed bytes, spans) of rows whose identifiers may be null or repeated."""
+    number = [repeats.NO_ID if i is None else i for i, _ in rows]
+    least = {}
+    for i, (_, t) in zip(number, rows):
+        for a in range(len(t) - 49):
+            least[t[a : a + 50]] = min(i, least.get(t[a : a + 50], i))
+    out = []
+    for i, (own, t) in zip(number, rows):
+        gone = bytearray(len(t))
+        for a in range(len(t) - 49):
+            if least[t[a : a + 50]] < i:
+                gone[a : a + 50] = b"\1" * 50
+        out.append((own, t.decode(), sum(gone), len([x for x in bytes(gone).split(b"\0") if x])))
+    return out
+
+
+def test_repeats_of_null_and_repeated_identifiers(spark):
+    texts = list(fx.passages(5, 24).values())
+    own = [None, None, None, 4, 4, 4, 7, 8, None, 9, 2, None]
+    rows = [(own[n % len(own)], t.decode(errors="ignore").encode()) for n, t in enumerate(texts)]
+    rows += [(None, rows[3][1]), (4, rows[3][1]), (None, rows[0][1]), (4, rows[6][1])]
+    df = spark.createDataFrame([(i, t.decode()) for i, t in rows], "doc_id long, text string").repartition(3)
+    got = repeats.remove_repeats(df).collect()
+    want = Counter((i, len(t.encode()), removed, spans) for i, t, removed, spans in brute_rows(rows))
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got) == want
+    assert sum(n for (*_, removed, _), n in want.items() if removed) > 5
+
+
+def test_rows_without_identifier_carry_their_own_anchors_only(spark):
+    """What a row is told of grows with its text, not with the number of rows without an identifier."""
+    shared = fx.LONG[:128]
+    rows = [(None if n else 1, shared + "".join(f" {n}-{k}" for k in range(40))) for n in range(60)]
+    keyed = spark.createDataFrame(rows, "id long, text string").selectExpr(f"coalesce(id, {repeats.NO_ID}) as id", "text", "xxhash64(text) as key")
+    told = repeats.shared_anchors(repeats.anchors(keyed, 16)).groupBy("id", "key").agg(F.sum(F.length("hashes")).alias("n")).collect()
+    assert len(told) == 60 and max(r.n for r in told) <= 2 * 8 * 128
+
+
 def test_repeats_in_a_long_text_cut_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK", 700)
     docs = {i: t for i, t in fx.passages(3, 20).items()} | {100: b"".join(fx.passages(3, 20).values()) + fx.LONG.encode()[:5000], 101: fx.LONG.encode()[60:4000]}
