@@ -164,3 +164,18 @@ def test_cluster_matches_one_pass_over_all_variants(spark):
     df = spark.createDataFrame(rows, "sample string, isoform string, variant_list string, n_bc int")
     got = {r.isoform: r.clustered for r in I.variant_position_cluster(df, 3, 10, 3).collect()}
     assert got == want and any(want.values()) and not all(want.values())
+
+
+def test_cluster_search_is_linear_in_a_dense_stretch(spark):
+    # 60,000 first members in one stretch: comparing a variant with all of them takes minutes
+    import time
+
+    df = spark.range(60000).select(
+        F.lit("s").alias("sample"), F.lit("i").alias("isoform"),
+        F.concat(F.lit("1:"), (F.col("id") * 11).cast("string"), F.lit(":A:C")).alias("variant_list"), F.lit(5).alias("n_bc"))
+    more = spark.createDataFrame([("s", "j", f"1:{p}:A:C", n) for p, n in [(5, 7), (9, 1), (14, 1), (400, 2), (401, 2), (402, 2)]]
+                                 + [("s", "k", f"1:{p}:A:C", 2) for p in (5, 6, 7)], df.schema)
+    start = time.time()
+    got = {r.isoform: r.clustered for r in I.variant_position_cluster(df.unionByName(more), 3, 10, 3).collect()}
+    assert got == {"i": False, "j": True, "k": False}
+    assert time.time() - start < 60
