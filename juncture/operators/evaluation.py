@@ -95,10 +95,12 @@ def balanced_pr_bootstrap(
 ) -> DataFrame:
     """Mean and 95% interval of the balanced area over resamples of each category.
 
-    ``draw`` picks a row as in :func:`juncture.operators.statistics.bootstrap_null_by_count`.
+    ``draw`` picks a row as in :func:`juncture.operators.statistics.bootstrap_null_by_count`.  The histograms of the
+    resamples are written once to the shared folder: the running totals read them several times, and each time the
+    whole resampling, with the broadcasts of the caller's joins, would be planned and run again.
     """
     from juncture.operators.statistics import hashed_draw, index_rows
-    from juncture.sources.sinks import explode_range
+    from juncture.sources.sinks import explode_range, write_once
 
     rows = df.withColumn("group", F.explode(F.array(F.col(category), F.lit(whole))))
     rows = rows.filter(F.col("group").isNotNull() & F.col(truth).isNotNull() & F.col(pred).isNotNull())
@@ -108,7 +110,8 @@ def balanced_pr_bootstrap(
     grid = explode_range(grid.withColumn("_hi", (F.col("m") - 1).cast("int")), "_lo", "_hi", "d").drop("_lo", "_hi")
     drawn = grid.withColumn("idx", (draw or hashed_draw(seed))(F.col("m"), F.col("b"), F.col("d"), F.col("m")))
     sample = drawn.join(index_rows(rows, "_k", ["group"]), ["group", "idx"])
-    area = _balanced_area(score_histogram(sample, truth, [pred], ["group", "b"], ["raw"]), ["group", "b"])
+    hist = write_once(score_histogram(sample, truth, [pred], ["group", "b"], ["raw"]), "resampled")
+    area = _balanced_area(hist, ["group", "b"])
     return area.groupBy("group", "pred").agg(
         F.avg("pr_auc").alias("mean"),
         F.percentile("pr_auc", F.lit(0.025)).alias("low"),

@@ -301,3 +301,13 @@ def test_every_filter_code_occurs(spark):
     assert {r["filter"] for r in got} == {0, 1, 2, 3, 4, 5}
     first = load_all()["isoform_filter_code_first_junction"].run(spark, "/root/testdata/sf0.01").groupBy("filter").count().collect()
     assert 3 not in {r["filter"] for r in first}
+
+
+def test_resampled_curves_draw_rows_once(spark):
+    # the joins of the caller's rows must not come back once per pass over the histograms
+    left = spark.createDataFrame([(i, float(i % 7)) for i in range(60)], "k int, score double")
+    right = spark.createDataFrame([(i, i % 3 == 0, "a" if i % 2 else "b") for i in range(60)], "k int, truth boolean, cat string")
+    out = E.balanced_pr_bootstrap(left.join(F.broadcast(right), "k"), "truth", "score", "cat", "k", bootstraps=3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "cat" not in plan and plan.count("LogicalRDD") == 0
+    assert {r.group for r in out.collect()} == {"a", "b", "Transcriptome"}
