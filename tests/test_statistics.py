@@ -154,3 +154,12 @@ def test_pair_effects_keep_singles_and_pairs_apart(spark):
     r = out.groupBy("snv").agg(F.count("*").alias("n"), F.count("pos_snv2").alias("m"), F.count("splai_cat").alias("c")).collect()
     by = {x.snv: x for x in r}
     assert by[True].m == 0 and by[False].m == by[False].n and all(x.c == x.n for x in r)
+
+
+def test_kmers_are_cut_in_one_pass(spark):
+    texts = ["", "abc", "abcd", "a\nb\r cde", "x\U0001f600yz\U0001f600\U0001f601w", "\u00e9e\u0301abc", "\x00ab\u0085cd", "ab" * 9]
+    for k in (1, 4):
+        got = spark.createDataFrame([(t,) for t in texts], "s string").select("s", S.kmers("s", k).alias("k"))
+        assert "transform" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert {r.s: r.k for r in got.collect()} == {t: [t[i : i + k] for i in range(len(t) - k + 1)] for t in texts}
+    assert spark.createDataFrame([(None,)], "s string").select(S.kmers("s", 4).alias("k")).first().k == [None]
