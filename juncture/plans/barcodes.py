@@ -48,7 +48,7 @@ def _(t):
        "select barcode, num_reads, unmapped_reads, bad_starts, bad_ends, soft_clipped, other_isoform, usable_reads, "
        'iso_full as "FULL", iso_short as "SHORT", iso_skip as "SKIP" from fx_bc')
 def _(t):
-    return B.barcode_isoform_counts(t("fx_reads"), t("fx_isonames"), ["FULL", "SHORT", "SKIP"])
+    return B.barcode_isoform_counts(t("fx_reads_bc"), t("fx_isonames"), ["FULL", "SHORT", "SKIP"])
 
 
 @query("combine_isoform_groups", "barcode:s group:s usable_reads:i n:i psi:d",
@@ -58,8 +58,8 @@ def _(t):
 def _(t):
     bc = t("fx_bc")
     long = B.unpivot(bc, ["barcode"], ISOS, "isoform", "n").filter("n > 0")
-    mapping = t.spark.createDataFrame([("iso_full", "EXON"), ("iso_short", "EXON"), ("iso_skip", "NONE")], "isoform string, `group` string")
-    return B.combine_isoform_groups(long, bc, mapping)
+    mapping = t.spark.sql("select * from values ('iso_full', 'EXON'), ('iso_short', 'EXON'), ('iso_skip', 'NONE') as m(isoform, `group`)")
+    return B.combine_isoform_groups(long, bc, mapping, tasks=t.tasks("lineitem"))
 
 
 @query("add_unmapped_barcodes", "barcode:s num_reads:i unmapped_reads:i",
