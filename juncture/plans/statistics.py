@@ -93,6 +93,7 @@ def _(t):
        select varlist, coalesce(sum(zwmean_bs_null_skip * w), 0) / (select sqrt(sum(w * w)) from w) as z_skip,
          coalesce(sum(zwmean_bs_null_full * w), 0) / (select sqrt(sum(w * w)) from w) as z_full from {_Z} z join w on w.sample = z.sample group by varlist""")
 def _(t):
+    t.hold("fx_long")
     weights = t("fx_tbv").groupBy("sample").agg(F.sum("n_bc_passfilt").alias("weight"))
     names = {f"zwmean_bs_null_{i}": f"z_{i}" for i in PAIR}
     return S.stouffer_z(_scored(t), ["varlist"], list(names), weights).withColumnsRenamed(names)
