@@ -231,15 +231,22 @@ def scan_windows(tbv: DataFrame, chunks: DataFrame, size: int, rev: bool = False
     return df.select(*KEY, "step", turn(wt).alias("wt"), turn(var).alias("var"))
 
 
-def window_delta_scan(tbv: DataFrame, chunks: DataFrame, tables: dict[int, tuple[str, DataFrame]], rev: bool = False) -> DataFrame:
+def window_delta_scan(
+    tbv: DataFrame, chunks: DataFrame, tables: dict[int, tuple[str, DataFrame]], rev: bool = False, tasks: int | None = None
+) -> DataFrame:
     """Change of largest size, with its sign, over all windows of a variant.
 
-    ``tables`` maps a window size to (output column, score table).  A rise wins a tie.
+    ``tables`` maps a window size to (output column, score table).  A rise wins a tie. The windows are shared by ``tasks`` tasks
+    when they meet the tables, or by as many as Spark chooses.
     """
+
+    def dealt(df: DataFrame, window: str) -> DataFrame:
+        return df.repartition(tasks, window) if tasks else df
+
     out = tbv
     for size, (name, table) in tables.items():
         w = scan_windows(tbv, chunks, size, rev)
-        w = lookup(lookup(w, table, "wt", "_wt"), table, "var", "_var")
+        w = lookup(dealt(lookup(dealt(w, "wt"), table, "wt", "_wt").select(*KEY, "var", "_wt"), "var"), table, "var", "_var")
         d = F.col("_var") - F.col("_wt")
         ends = w.groupBy(*KEY).agg(F.max(d).alias("_hi"), F.min(d).alias("_lo"))
         best = F.when(F.abs("_hi") >= F.abs("_lo"), F.col("_hi")).otherwise(F.col("_lo"))

@@ -9,6 +9,7 @@ from juncture.operators.reference import with_window
 from juncture.plans.annotation import ANNOT_ALL, stranded, transcripts
 from juncture.plans.expressions import ORACLE_REF, chunks
 from juncture.plans.registry import query
+from juncture.sources.sinks import write_once
 
 KEYS = "chrom:s pos:i ref:s alt:s"
 VAR = ["chrom", "pos", "ref", "alt"]
@@ -181,11 +182,13 @@ def _scan_sql(size, name):
 def _(t):
     v = with_window(t("fx_scores"), chunks(t), 0, 2, "w")
     v = v.select("chrom", "pos", F.when(F.col("pos") % 7 == 0, F.col("w")).otherwise(F.col("ref")).alias("ref"), F.when(F.col("pos") % 5 == 0, F.concat("alt", F.lit("AC"))).otherwise(F.col("alt")).alias("alt"))
+    v = write_once(v, "changes")
     tabs = {}
     for size, name in ((23, "maxent_3ss"), (9, "maxent_5ss")):
         w = S.scan_windows(v, chunks(t), size)
         tabs[size] = (name, table(w.select("wt"), w.select("var")))
-    return S.window_delta_scan(v, chunks(t), tabs)
+    # up to 31 windows a variant
+    return S.window_delta_scan(v, chunks(t), tabs, tasks=4 * t.tasks("orders"))
 
 
 # ---- inputs of splicing models
