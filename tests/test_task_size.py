@@ -22,6 +22,15 @@ def test_reads_are_dealt_by_rows(spark, monkeypatch, view):
     assert 8 < t.tasks("lineitem") == _tasks(t(view))
 
 
+@pytest.mark.parametrize("view", ["fx_long", "fx_tbv", "fx_null"])
+def test_variants_and_null_count_reads_that_are_dealt_by_rows(spark, monkeypatch, view):
+    """Both sides of the join of reads and barcodes; a number that is given is not joined up again by adaptive execution."""
+    monkeypatch.setattr(registry, "TASK_BYTES", 10_000)
+    t = registry.Tables(spark, SF)
+    plan = t(view)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {t.tasks('lineitem')}), REPARTITION_BY_NUM") == 2
+
+
 @pytest.mark.parametrize("name", ["combine_isoform_groups", "barcode_isoform_counts_se"])
 def test_barcode_counts_are_made_in_as_many_tasks_as_rows_ask_for(spark, monkeypatch, name):
     monkeypatch.setattr(registry, "TASK_BYTES", 5_000)
