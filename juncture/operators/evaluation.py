@@ -106,10 +106,11 @@ def balanced_pr_bootstrap(
     rows = rows.filter(F.col("group").isNotNull() & F.col(truth).isNotNull() & F.col(pred).isNotNull())
     rows = rows.select("group", F.col(key).cast("string").alias("_k"), truth, pred)
     sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("m"))
-    grid = explode_range(sizes.withColumns({"_lo": F.lit(0), "_hi": F.lit(bootstraps - 1)}), "_lo", "_hi", "b")
+    grid = explode_range(sizes.withColumns({"_lo": F.lit(0), "_hi": F.lit(bootstraps - 1)}), "_lo", "_hi", "b").repartition(bootstraps, "group", "b")
     grid = explode_range(grid.withColumn("_hi", (F.col("m") - 1).cast("int")), "_lo", "_hi", "d").drop("_lo", "_hi")
     drawn = grid.withColumn("idx", (draw or hashed_draw(seed))(F.col("m"), F.col("b"), F.col("d"), F.col("m")))
-    sample = drawn.join(index_rows(rows, "_k", ["group"]), ["group", "idx"])
+    # the draws stand behind a table of one row per group, whose size is all that Catalyst sees of them: left to it, they are broadcast
+    sample = drawn.hint("merge").join(index_rows(rows, "_k", ["group"]), ["group", "idx"])
     hist = write_once(score_histogram(sample, truth, [pred], ["group", "b"], ["raw"]), "resampled")
     area = _balanced_area(hist, ["group", "b"])
     return area.groupBy("group", "pred").agg(

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import tracemalloc
 
 import numpy as np
@@ -311,3 +312,26 @@ def test_resampled_curves_draw_rows_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "cat" not in plan and plan.count("LogicalRDD") == 0
     assert {r.group for r in out.collect()} == {"a", "b", "Transcriptome"}
+
+
+def test_draws_and_histograms_are_not_broadcast(spark, monkeypatch, tmp_path):
+    # few groups make many draws, and many rows of a histogram a small file: sizes that Catalyst takes for small
+    from juncture.sources import sinks
+
+    kept = []
+    monkeypatch.setattr(sinks, "write_once", lambda df, name: kept.append(df) or df)
+    rows = [(i, float(i % 7), i % 3 == 0, "a" if i % 2 else "b") for i in range(60)] + [(60, None, True, "a"), (61, 2.0, None, "b"), (62, 3.0, False, None), (5, 5.0, False, "b")]
+    df = spark.createDataFrame(rows, "k int, score double, truth boolean, cat string")
+    out = E.balanced_pr_bootstrap(df, "truth", "score", "cat", "k", bootstraps=3)
+    drawn = {g: sum(r.p + r.n for r in kept[0].collect() if r.group == g) for g in ("a", "b", "Transcriptome")}
+    assert drawn == {"a": 3 * 30, "b": 3 * 31, "Transcriptome": 3 * 62}
+    plan = plan_of(kept[0])
+    assert re.search(r"SortMergeJoin \[[^]]*idx", plan) and not re.search(r"Broadcast\w+Join \[[^]]*idx", plan)
+    assert {r.group for r in out.collect()} == {"a", "b", "Transcriptome"}
+
+    path = str(tmp_path / "hist")
+    spark.range(2000).selectExpr("id % 4 as k", "cast(id as double) as score", "1 as n").write.parquet(path)
+    run = O.with_running(spark.read.parquet(path), "score", {"n": "cn"}, ["k"])
+    assert sorted(r.cn for r in run.collect()) == sorted(list(range(1, 501)) * 4)
+    plan = plan_of(run)
+    assert re.search(r"SortMergeJoin \[[^]]*_b#", plan) and not re.search(r"Broadcast\w+Join \[[^]]*_b#", plan)
