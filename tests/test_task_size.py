@@ -1,10 +1,16 @@
 """Rows per task, and tables that are read several times."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
+from juncture.operators import annotation as A
 from juncture.operators import barcodes as B
+from juncture.operators import pairs as P
+from juncture.operators.reference import reference_chunks
 from juncture.plans import fixtures, registry
+from juncture.plans.scoring import stub_ensemble
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +80,37 @@ def test_inputs_read_several_times_are_written_once(spark, name, table):
 def test_each_change_is_scored_once(spark):
     plan = entry.queries()["pair_effects"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" not in plan
+
+
+def _joins(df, kind, key):
+    """Joins by a key in the plan, the one that ran if ``df`` was collected."""
+    return re.findall(rf"{kind}\w*Join \[[^]]*{key}#", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_positions_pairs_and_single_changes_are_not_broadcast(spark):
+    """Few exons have many positions and pairs, and single changes that are read back stand in small files."""
+    seq = "ACGTTGCAAGGTCCATAGGT" * 20
+    base = spark.createDataFrame([("c", i + 1, b) for i, b in enumerate(seq)] + [("c", None, "A")], "chrom string, pos int, base string")
+    exons = spark.createDataFrame([("e1", "c", "+", 100, 104), ("e2", "c", "-", 200, 203), ("e1", "c", "+", 100, 104), ("e3", "c", "+", None, 9)], "exon string, chrom string, strand string, start_pos int, end_pos int")
+    snvs = A.all_snvs(exons, base, ("exon", "strand"))
+    one = lambda e, s, lo, hi: [(e, s, "c", p, seq[p - 1], a) for p in range(lo, hi + 1) for a in "ACGT" if a != seq[p - 1]]
+    want = 2 * one("e1", "+", 101, 104) + one("e2", "-", 201, 203)
+    assert sorted((r.exon, r.strand, r.chrom, r.pos, r.ref, r.alt) for r in snvs.collect()) == sorted(want)
+    assert _joins(snvs, "SortMerge", "pos") and not _joins(snvs, "Broadcast", "pos")
+    dnvs = A.all_dnvs(snvs, ("exon", "chrom", "strand"))
+    assert len(dnvs.collect()) == sum(a[0] == b[0] and a[3] < b[3] for a in want for b in want)
+    assert _joins(dnvs, "SortMerge", "_i") and not _joins(dnvs, "Broadcast", "_i")
+
+    kinds = "transcript_id string, name string, chrom string, strand string, tx_start int, tx_end int, exon_starts array<int>, exon_ends array<int>"
+    annot = spark.createDataFrame([("t1", "g1", "c", "+", 90, 150, [100], [104]), ("t2", "g2", "c", "-", 190, 250, [200], [203])], kinds)
+    bed = spark.createDataFrame([("E", 50, 350, 550, 10, 10)], "exon string, start_hg19 int, end_hg19 int, start_hg38 int, exon_len_hg19 int, exon_len_hg38 int")
+    freqs = [spark.createDataFrame([("c", 101 + s, seq[100], "T", 1, 2, 0, 0.5)], f"chrom string, {k} int, ref string, alt string, n_alt int, n_allele int, n_homo int, af double") for k, s in (("hg19_pos", 0), ("hg38_pos", 500))]
+    out = P.pair_effects(exons, base, reference_chunks(base), annot, bed, "E", 10, 20, stub_ensemble(), *freqs)["long"]
+    got = [r.snv for r in out.collect()]
+    assert (got.count(True), got.count(False)) == (len(want), dnvs.count())
+    assert _joins(out, "SortMerge", "_bin")
+
+
+def test_positions_are_not_broadcast_to_meet_the_barcodes(spark):
+    plan = entry.queries()["pair_effects"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [(o_custkey" in plan and "BroadcastHashJoin [(o_custkey" not in plan
